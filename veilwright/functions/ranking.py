@@ -25,6 +25,8 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], measu
         keys = ["_all"]
     ranged = df.repartitionByRange(*[col(c) for c in [*keys, *order]])
     staged = stage(ranged.withColumn("_slice", F.spark_partition_id()), "ranked")
+    if len(staged.inputFiles()) <= 1:
+        return _inside_one_slice(staged, df.columns, keys, order, measures, bool(group))
     totals = staged.groupBy(*[col(k) for k in keys], "_slice").agg(
         *[F.sum(col(m)).alias(f"_t_{m}") for m in measures]
     )
@@ -54,6 +56,19 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], measu
     return out.drop("_all") if not group else out
 
 
+def _inside_one_slice(staged: DataFrame, columns: Sequence[str], keys: Sequence[str], order: Sequence[str],
+                      measures: Sequence[str], grouped: bool) -> DataFrame:
+    """All rows fitted into one range partition of bounded size: plain windows over it."""
+    whole = Window.partitionBy(*[col(k) for k in keys])
+    before = whole.orderBy(*[col(o) for o in order]).rowsBetween(Window.unboundedPreceding, -1)
+    out = staged.select(
+        *[col(c) for c in columns],
+        *[F.coalesce(F.sum(col(m)).over(before), F.lit(0)).alias(f"{m}_before") for m in measures],
+        *[F.sum(col(m)).over(whole).alias(f"{m}_total") for m in measures],
+    )
+    return out if grouped else out.drop("_all")
+
+
 def row_ranks(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
     """Add a 0-based rank inside each group."""
     counted = prefix_sums(df.withColumn("_one", F.lit(1).cast("bigint")), group, order, ["_one"])

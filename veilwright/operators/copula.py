@@ -154,6 +154,29 @@ def category_marginals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+CATEGORY_SCHEMA = "column string, value string, n bigint, low double, high double"
+
+
+def _categories(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """Category intervals and vocabulary sizes; vocabularies found small are put together on the driver."""
+    counts = unpivot_text(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.limit(INLINE_CATEGORIES + 1).collect()
+    if len(rows) > INLINE_CATEGORIES:
+        table = stage(category_marginals(df, columns), "categories")
+        sizes = table.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()
+        return table, {r["column"]: r["k"] for r in sizes}
+    local, sizes = [], {}
+    for c in columns:
+        own = sorted((r for r in rows if r["column"] == c),
+                     key=lambda r: (r["value"] is not None, (r["value"] or "").encode()))
+        total, seen = sum(r["n"] for r in own), 0
+        sizes[c] = len(own)
+        for r in own:
+            local.append((c, r["value"], r["n"], seen / total, (seen + r["n"]) / total))
+            seen += r["n"]
+    return df.sparkSession.createDataFrame(local, CATEGORY_SCHEMA), sizes
+
+
 def _category_list(model: Copula, column: str) -> list:
     """At most INLINE_CATEGORIES rows: the caller has compared the size."""
     return model.categories.where(F.col("column") == column).orderBy("low").collect()
@@ -226,8 +249,7 @@ def fit(df: DataFrame, kinds: Mapping[str, str] | None = None, grid: int = GRID,
     categories, sizes = None, {}
     rows = df.count()
     if words:
-        categories = stage(category_marginals(df, words), "categories")
-        sizes = {r["column"]: r["k"] for r in categories.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+        categories, sizes = _categories(df, words)
     varied = [n for n in df.columns if (n in marginals and len(marginals[n].knots()[0]) > 1)
               or (n in words and sizes.get(n, 0) > 1)]
     model = Copula(df.schema, kinds, marginals, sizes, categories, varied, np.zeros((0, 0)), rows)

@@ -20,43 +20,57 @@ def category_columns(df: DataFrame, target: str | None, exclude: Sequence[str] =
     return [n for n in text_columns(df) if n != target and n not in exclude]
 
 
+INLINE_CATEGORIES = 256  # vocabularies up to this size travel in the plan, larger ones stay a table
+
+
 def vocabulary(tables: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
-    """``(column, value)``: the distinct categories of all tables together."""
-    longs = [unpivot_text(t, columns).where(F.col("value").isNotNull()).distinct() for t in tables]
+    """``(column, value)``: the distinct categories of all tables together; a NULL row tells that cells are missing."""
+    longs = [unpivot_text(t, columns).distinct() for t in tables]
     out = reduce(DataFrame.unionByName, longs)
     return out.distinct() if len(longs) > 1 else out
 
 
+def _sorted(values: Sequence[str]) -> list[str]:
+    return sorted(values, key=lambda s: s.encode())  # byte order, as Spark and other SQL engines sort
+
+
 @dataclass
 class BinaryEncoder:
     """Category → ordinal 1..n in alphabetical order → the bits of the ordinal, most significant first.
 
-    ``ordinals`` is a table ``(column, value, ordinal)`` on the cluster; only the sizes are known to the driver.
+    A vocabulary that was counted and found small is kept as a mapping; a large one stays a table
+    ``(column, value, ordinal)`` on the cluster and is joined, with only its size known to the driver.
     """
 
     columns: list[str]
-    ordinals: DataFrame | None
     sizes: dict[str, int]
     with_missing: set[str]
+    inline: dict[str, dict[str, int]] | None = None
+    ordinals: DataFrame | None = None
 
     @classmethod
     def fit(cls, tables: DataFrame | Sequence[DataFrame], target: str | None = None,
-            columns: Sequence[str] | None = None) -> BinaryEncoder:
+            columns: Sequence[str] | None = None, inline_limit: int = INLINE_CATEGORIES) -> BinaryEncoder:
         tables = [tables] if isinstance(tables, DataFrame) else list(tables)
         names = list(columns) if columns is not None else category_columns(tables[0], target)
         if not names:
-            return cls([], None, {}, set())
+            return cls([], {}, set(), {})
         words = vocabulary(tables, names)
-        ranked = row_ranks(words, ["column"], ["value"]).select(
+        rows = words.limit(inline_limit + 1).collect()
+        if len(rows) <= inline_limit:
+            found = {n: _sorted([r["value"] for r in rows if r["column"] == n and r["value"] is not None])
+                     for n in names}
+            gaps = {r["column"] for r in rows if r["value"] is None}
+            inline = {n: {v: i + 1 for i, v in enumerate(vs)} for n, vs in found.items()}
+            return cls(names, {n: len(vs) for n, vs in found.items()}, gaps, inline)
+        words = stage(words, "words")
+        gaps = {r["column"] for r in words.where("value is null").collect()}  # one row per column at most
+        ranked = row_ranks(words.where("value is not null"), ["column"], ["value"]).select(
             "column", "value", (F.col("rank") + 1).cast("bigint").alias("ordinal")
         )
         ordinals = stage(ranked, "ordinals")
         sizes = {r["column"]: r["n"] for r in ordinals.groupBy("column").agg(F.max("ordinal").alias("n")).collect()}
-        gaps: set[str] = set()
-        for t in tables:
-            row = t.agg(*[F.max(col(n).isNull()).alias(f"g{i}") for i, n in enumerate(names)]).first()
-            gaps |= {n for i, n in enumerate(names) if row[f"g{i}"]}
-        return cls(names, ordinals, {n: sizes.get(n, 0) for n in names}, gaps)
+        return cls(names, {n: sizes.get(n, 0) for n in names}, gaps, None, ordinals)
 
     def width(self, column: str) -> int:
         return self.sizes[column].bit_length()
@@ -79,6 +93,11 @@ class BinaryEncoder:
             return df
         out = df
         for i, c in enumerate(self.columns):
+            if self.inline is not None:
+                pairs = [F.lit(x) for item in self.inline[c].items() for x in item]
+                found = F.try_element_at(F.create_map(*pairs), col(c)) if pairs else F.lit(None)
+                out = out.withColumn(f"_ord{i}", found.cast("bigint"))
+                continue
             words = self.ordinals.where(F.col("column") == c).select(
                 F.col("value").alias(c), F.col("ordinal").alias(f"_ord{i}")
             )
@@ -117,15 +136,11 @@ class OneHotEncoder:
         names = list(columns) if columns is not None else category_columns(tables[0], target)
         if not names:
             return cls([], {})
-        words = vocabulary(tables, names)
-        sizes = words.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
-        wide = {r["column"]: r["n"] for r in sizes if r["n"] > max_categories}
-        if wide:
-            raise ValueError(f"too many categories for one column each: {wide}; use BinaryEncoder or one_hot_vector")
-        found: dict[str, list[str]] = {n: [] for n in names}
-        for r in words.collect():  # at most max_categories per column, checked above
-            found[r["column"]].append(r["value"])
-        return cls(names, {n: sorted(v, key=lambda s: s.encode()) for n, v in found.items()})
+        words = vocabulary(tables, names).where("value is not null")
+        rows = words.limit(max_categories + 1).collect()
+        if len(rows) > max_categories:
+            raise ValueError(f"more than {max_categories} categories: use BinaryEncoder or one_hot_vector")
+        return cls(names, {n: _sorted([r["value"] for r in rows if r["column"] == n]) for n in names})
 
     def transform(self, df: DataFrame) -> DataFrame:
         require_columns(df, self.columns)

@@ -14,10 +14,12 @@ Nothing is approximated: the bounds only skip cells that cannot matter.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,8 +97,7 @@ def nearest(train: DataFrame, test: DataFrame, features: Sequence[str] | str, tr
     if payload:
         out_fields.append(T.StructField("payload", base.schema["payload"].dataType))
     names = ["qid", "tid", "distance", *(["payload"] if payload else [])]
-    rows, width = base.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
-    if rows and rows * (width + 3) * 8 <= small_bytes:
+    if fits_in_memory(base, "x", small_bytes):
         found = _by_broadcast(base, asked, T.StructType(out_fields), names, k)
         return _named(found, test_id, train_id, payload)
 
@@ -191,26 +192,30 @@ def _smallest(by_gap: DataFrame, k: int) -> dict[int, list[float]]:
     return out
 
 
-def _training(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Ids, vectors and payload in id order, so that equal distances keep the smaller id first."""
+def _training(pdf: pd.DataFrame) -> tuple:
+    """Ids, vectors, payload and fold in id order, so that equal distances keep the smaller id first."""
     pdf = pdf.sort_values("tid", kind="stable")
-    return pdf["tid"].to_numpy(), _matrix(pdf["x"]), pdf["payload"].to_numpy() if "payload" in pdf else None
+    return (pdf["tid"].to_numpy(), _matrix(pdf["x"]), pdf["payload"].to_numpy() if "payload" in pdf else None,
+            pdf["fold"].to_numpy() if "fold" in pdf else None)
 
 
 def _best(asked: pd.DataFrame, training: tuple, names: Sequence[str], k: int) -> Iterator[pd.DataFrame]:
     """The k nearest training rows of every query row, a bounded block of distances at a time."""
-    tids, points, payload = training
+    tids, points, payload, folds = training
     wanted = _matrix(asked["x"])
     step = max(1, BLOCK_NUMBERS // max(1, len(points)))
     for i in range(0, len(wanted), step):
         gaps = _distances(wanted[i:i + step], points)
+        if folds is not None:
+            gaps[asked["fold"].to_numpy()[i:i + step][:, None] == folds[None, :]] = np.inf
         order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
         row, flat = np.repeat(np.arange(len(gaps)), order.shape[1]), order.ravel()
         out = {"qid": asked["qid"].to_numpy()[i:i + step][row], "tid": tids[flat], "distance": gaps[row, flat]}
         if payload is not None:
             out["payload"] = payload[flat]
         out["rank"] = np.tile(np.arange(1, order.shape[1] + 1, dtype="int32"), len(gaps))
-        yield pd.DataFrame(out)[[*names, "rank"]]
+        out = pd.DataFrame(out)[[*names, "rank"]]
+        yield out[np.isfinite(out["distance"])] if folds is not None else out
 
 
 def _by_broadcast(base: DataFrame, asked: DataFrame, schema: T.StructType, names: Sequence[str], k: int) -> DataFrame:
@@ -241,6 +246,27 @@ def _ranked(candidates: DataFrame, test_id: str, train_id: str, payload: str | N
     return _named(best, test_id, train_id, payload)
 
 
+def fits_in_memory(train: DataFrame, vector: str = "x", limit: int = SMALL_BYTES) -> bool:
+    """Counts the vectors; True when they may be broadcast."""
+    rows, width = train.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
+    return rows > 0 and rows * (width + 3) * 8 <= limit
+
+
+def knn_cross_validate(prepared: DataFrame, k: int = 5) -> DataFrame:
+    """``(key, prediction)`` for a small table ``key, label, x, fold``: every row asks the rows of the other folds.
+
+    All folds share one broadcast and one pass. The caller checks the size with ``fits_in_memory``.
+    """
+    base = prepared.select(F.col("key").alias("tid"), "x", F.col("label").alias("payload"), "fold")
+    asked = prepared.select(F.col("key").alias("qid"), "x", "fold")
+    schema = T.StructType([
+        T.StructField("qid", asked.schema["qid"].dataType), T.StructField("tid", base.schema["tid"].dataType),
+        T.StructField("distance", T.DoubleType()), T.StructField("payload", base.schema["payload"].dataType),
+    ])
+    found = _by_broadcast(base, asked, schema, ["qid", "tid", "distance", "payload"], k)
+    return vote(_named(found, "key", "neighbour", "label"), "key", "label")
+
+
 def vote(neighbours: DataFrame, test_id: str, label: str) -> DataFrame:
     """``(test_id, prediction)``: the most frequent label among the neighbours, the smallest one on a tie."""
     counts = neighbours.groupBy(col(test_id), col(label)).agg(F.count(F.lit(1)).alias("n"))
@@ -253,3 +279,7 @@ def knn_predict(train: DataFrame, test: DataFrame, features: Sequence[str] | str
                 label: str, k: int = 5, **options) -> DataFrame:
     """Majority vote of the k nearest training rows."""
     return vote(nearest(train, test, features, train_id, test_id, k, label, **options), test_id, label)
+
+
+# The functions that run in tasks travel with the job, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
