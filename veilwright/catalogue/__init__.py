@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import JOBS, SQL, Job
 
-MODULES = ("cleaning", "summaries")
+MODULES = ("cleaning", "summaries", "anonymisation")
 
 
 def _load() -> None:
