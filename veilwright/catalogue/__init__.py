@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import JOBS, SQL, Job
 
-MODULES = ("cleaning", "summaries", "anonymisation")
+MODULES = ("cleaning", "summaries", "anonymisation", "fidelity", "synthesis", "utility")
 
 
 def _load() -> None:
