@@ -78,7 +78,7 @@ def sensitive_of(models: Sequence[PrivacyModel]) -> list[str]:
 
 
 def _diversity(attribute: str) -> list[Column]:
-    n = F.col("n")
+    n = F.col("_n")
     total = F.sum(n).cast("double")
     return [
         F.count(col(attribute)).alias(f"distinct_{attribute}"),
@@ -88,7 +88,7 @@ def _diversity(attribute: str) -> list[Column]:
 
 def class_table(cells: DataFrame, keys: Sequence[str], models: Sequence[PrivacyModel],
                 sums: Sequence[str] = (), same: Sequence[str] = ()) -> DataFrame:
-    """Equivalence classes ``keys…, size, …, kept`` from weighted cells (column ``n``).
+    """Equivalence classes ``keys…, size, …, kept`` from weighted cells (column ``_n``).
 
     ``sums`` are added up, ``same`` are columns that the keys determine. With a sensitive attribute the cells are
     first combined per (class, value), so a class of any size is spread over many partial counts.
@@ -98,12 +98,12 @@ def class_table(cells: DataFrame, keys: Sequence[str], models: Sequence[PrivacyM
     attributes = sensitive_of(models)
     if len(attributes) == 1:
         a = attributes[0]
-        per_value = cells.groupBy(*group, col(a)).agg(F.sum("n").alias("n"), *carried)
-        table = per_value.groupBy(*group).agg(F.sum("n").alias("size"), *carried, *_diversity(a))
+        per_value = cells.groupBy(*group, col(a)).agg(F.sum("_n").alias("_n"), *carried)
+        table = per_value.groupBy(*group).agg(F.sum("_n").alias("size"), *carried, *_diversity(a))
     else:
-        table = cells.groupBy(*group).agg(F.sum("n").alias("size"), *carried)
+        table = cells.groupBy(*group).agg(F.sum("_n").alias("size"), *carried)
         for a in attributes:
-            per_value = cells.groupBy(*group, col(a)).agg(F.sum("n").alias("n"))
+            per_value = cells.groupBy(*group, col(a)).agg(F.sum("_n").alias("_n"))
             part = per_value.groupBy(*group).agg(*_diversity(a))
             table = lookup(table, part, keys, [f"distinct_{a}", f"entropy_{a}"])
     kept = F.lit(True)
@@ -148,12 +148,12 @@ def generalise(df: DataFrame, hierarchies: Sequence[Hierarchy], node: Mapping[st
 
 
 def frequency_table(df: DataFrame, hierarchies: Sequence[Hierarchy], sensitive: Sequence[str] = ()) -> DataFrame:
-    """The distinct quasi-identifier combinations with their counts ``n`` and label arrays, written once.
+    """The distinct quasi-identifier combinations with their counts ``_n`` and label arrays, written once.
 
     This is the only shuffle of the full table: the search, the classes and all loss metrics run on the result.
     """
     quasi = [h.attribute for h in hierarchies]
-    counts = df.groupBy(*[col(c) for c in [*quasi, *sensitive]]).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(*[col(c) for c in [*quasi, *sensitive]]).agg(F.count(F.lit(1)).alias("_n"))
     return stage(attach_all(counts, hierarchies), "frequency")
 
 
@@ -177,27 +177,28 @@ class Anonymised:
         return [generalised(a) for a in self.quasi]
 
     def marked(self, df: DataFrame) -> DataFrame:
-        """Add ``_g_…`` labels and ``kept`` to a table with the quasi-identifiers (the source or the counts)."""
+        """Add ``_g_…`` labels and ``_kept`` to a table with the quasi-identifiers (the source or the counts)."""
         labelled = with_generalised(df, self.hierarchies, self.node)
-        bad = stage(self.classes.where(~F.col("kept")).select(*[col(k) for k in self.keys], "kept"), "violating")
+        classes = self.classes.select(*[col(k) for k in self.keys], F.col("kept").alias("_kept"), "size")
+        bad = stage(classes.where(~F.col("_kept")).drop("size"), "violating")
         if plan_bytes(bad) <= broadcast_limit(df.sparkSession):
-            joined = lookup(labelled, bad, self.keys, ["kept"])
+            joined = lookup(labelled, bad, self.keys, ["_kept"])
         else:
-            joined = lookup_weighted(labelled, self.classes, self.keys, ["kept"], "size")
-        return joined.withColumn("kept", F.coalesce(F.col("kept"), F.lit(True)))
+            joined = lookup_weighted(labelled, classes, self.keys, ["_kept"], "size")
+        return joined.withColumn("_kept", F.coalesce(F.col("_kept"), F.lit(True)))
 
     def table(self, flag: str | None = None, drop_suppressed: bool = False) -> DataFrame:
         """The anonymised rows. A suppressed row has ``*`` in every quasi-identifier."""
         quasi = set(self.quasi)
         marked = self.marked(self.source)
         if drop_suppressed:
-            marked = marked.where(F.col("kept"))
+            marked = marked.where(F.col("_kept"))
         columns = [
-            F.when(F.col("kept"), col(generalised(c))).otherwise(F.lit(TOP)).alias(c) if c in quasi else col(c)
+            F.when(F.col("_kept"), col(generalised(c))).otherwise(F.lit(TOP)).alias(c) if c in quasi else col(c)
             for c in self.source.columns
         ]
         if flag:
-            columns.append((~F.col("kept")).alias(flag))
+            columns.append((~F.col("_kept")).alias(flag))
         return marked.select(*columns)
 
     def suppression(self) -> DataFrame:

@@ -39,7 +39,7 @@ class Lattice:
     """Weighted cells: one path (labels with weights, level 0 upwards) per quasi-identifier, plus bounds per level."""
 
     hierarchies: list[Hierarchy]
-    cells: DataFrame  # p0.., sensitive.., n, s
+    cells: DataFrame  # _p0.., sensitive.., _n, _s
     sensitive: list[str]
     rows: int
     cell_count: int
@@ -69,16 +69,16 @@ def build_lattice(frequency: DataFrame, hierarchies: Sequence[Hierarchy], object
         weight = F.coalesce(F.try_divide(F.col("leaves") - 1.0, F.col("domain") - 1.0), F.lit(0.0))
     else:
         weight = F.when(F.col("rows") > 0, F.log2(F.col("rows").cast("double"))).otherwise(F.lit(0.0))
-    weights = weights.withColumn("w", weight)
-    steps = values.where("n > 0").select(
-        "attribute", F.get("labels", F.lit(0)).alias("value"), "n", F.posexplode("labels").alias("level", "label")
+    weights = weights.withColumn("_w", weight)
+    steps = values.where("_n > 0").select(
+        "attribute", F.get("labels", F.lit(0)).alias("value"), "_n", F.posexplode("labels").alias("level", "label")
     )
-    weighted = lookup(steps, weights, ["attribute", "level", "label"], ["w"])
+    weighted = lookup(steps, weights, ["attribute", "level", "label"], ["_w"])
     paths = stage(
-        weighted.groupBy("attribute", "value", "n").agg(
+        weighted.groupBy("attribute", "value", "_n").agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("level", "label", "w"))),  # one entry per level
-                lambda e: F.struct(e["label"].alias("label"), e["w"].alias("w")),
+                F.array_sort(F.collect_list(F.struct("level", "label", "_w"))),  # one entry per level
+                lambda e: F.struct(e["label"].alias("label"), e["_w"].alias("_w")),
             ).alias("path")
         ),
         "paths",
@@ -86,41 +86,41 @@ def build_lattice(frequency: DataFrame, hierarchies: Sequence[Hierarchy], object
     cells = frequency
     for i, h in enumerate(hierarchies):
         own = paths.where(F.col("attribute") == h.attribute).select(
-            F.col("value").alias(f"_v{i}"), F.col("path").alias(f"p{i}")
+            F.col("value").alias(f"_v{i}"), F.col("path").alias(f"_p{i}")
         )
         cells = lookup(cells.withColumn(f"_v{i}", F.get(col(label_column(h.attribute)), F.lit(0))), own,
-                       [f"_v{i}"], [f"p{i}"])
+                       [f"_v{i}"], [f"_p{i}"])
     own_cost = F.lit(0.0)
     if objective == "entropy":
         for i in range(len(hierarchies)):
-            own_cost = own_cost + F.get(col(f"p{i}"), F.lit(0))["w"]
+            own_cost = own_cost + F.get(col(f"_p{i}"), F.lit(0))["_w"]
     cells = stage(
-        cells.select(*[f"p{i}" for i in range(len(hierarchies))], *[col(s) for s in sensitive], "n",
-                     (F.col("n") * own_cost).alias("s")),
+        cells.select(*[f"_p{i}" for i in range(len(hierarchies))], *[col(s) for s in sensitive], "_n",
+                     (F.col("_n") * own_cost).alias("_s")),
         "cells",
     )
     # Bounded driver state from here on: one number per (attribute, level), and totals.
-    per_level = paths.select("attribute", "n", F.posexplode("path").alias("level", "step")).groupBy(
+    per_level = paths.select("attribute", "_n", F.posexplode("path").alias("level", "step")).groupBy(
         "attribute", "level"
-    ).agg(F.sum(F.col("n") * F.col("step.w")).alias("cost"))
+    ).agg(F.sum(F.col("_n") * F.col("step._w")).alias("cost"))
     cost = {(r["attribute"], r["level"]): r["cost"] for r in per_level.collect()}
-    totals = cells.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells"), F.sum("s").alias("s")).first()
-    rows = totals["n"] or 0
+    totals = cells.agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("cells"), F.sum("_s").alias("_s")).first()
+    rows = totals["_n"] or 0
     bounds = []
     for h in hierarchies:
         base = cost.get((h.attribute, 0), 0.0) if objective == "entropy" else 0.0
         bounds.append([cost.get((h.attribute, level), 0.0) - base for level in range(h.height + 1)])
     q = len(hierarchies)
     top = float(q) if objective == "loss" else q * math.log2(rows) if rows else 0.0
-    scale = (rows * top - (totals["s"] or 0.0)) or 1.0
+    scale = (rows * top - (totals["_s"] or 0.0)) or 1.0
     return Lattice(list(hierarchies), cells, list(sensitive), rows, totals["cells"], top, bounds, scale)
 
 
 def _summary(classes: DataFrame, lattice: Lattice) -> DataFrame:
     """``(node, cost, suppressed, classes)`` from the class tables of many nodes."""
-    kept_cost = F.col("size") * F.col("w") - F.col("s")
-    lost_cost = F.col("size") * F.lit(lattice.top) - F.col("s")
-    return classes.groupBy("node").agg(
+    kept_cost = F.col("size") * F.col("_w") - F.col("_s")
+    lost_cost = F.col("size") * F.lit(lattice.top) - F.col("_s")
+    return classes.groupBy(F.col("_node").alias("node")).agg(
         (F.sum(F.when(F.col("kept"), kept_cost).otherwise(lost_cost)) / F.lit(lattice.scale)).alias("cost"),
         F.sum(F.when(F.col("kept"), 0).otherwise(F.col("size"))).alias("suppressed"),
         F.sum(F.when(F.col("kept"), 1).otherwise(0)).alias("classes"),
@@ -131,18 +131,18 @@ def _heads(lattice: Lattice, at: Column | None = None) -> list[Column]:
     steps = []
     for i in range(len(lattice.hierarchies)):
         index = F.lit(0) if at is None else F.get(at, F.lit(i))
-        steps.append(F.get(col(f"p{i}"), index))
+        steps.append(F.get(col(f"_p{i}"), index))
     return steps
 
 
 def _class_cells(cells: DataFrame, lattice: Lattice, at: Column | None) -> DataFrame:
     heads = _heads(lattice, at)
-    weight = heads[0]["w"]
+    weight = heads[0]["_w"]
     for h in heads[1:]:
-        weight = weight + h["w"]
+        weight = weight + h["_w"]
     return cells.select(
-        "node", *[h["label"].alias(f"k{i}") for i, h in enumerate(heads)],
-        *[col(s) for s in lattice.sensitive], "n", "s", weight.alias("w"),
+        "_node", *[h["label"].alias(f"_c{i}") for i, h in enumerate(heads)],
+        *[col(s) for s in lattice.sensitive], "_n", "_s", weight.alias("_w"),
     )
 
 
@@ -151,18 +151,18 @@ def score_nodes(lattice: Lattice, models: Sequence[PrivacyModel],
     """Score nodes in one job: ``(node array<int>, cost, suppressed, classes, bound)``."""
     nodes = list(nodes) if nodes is not None else lattice.nodes()
     wanted = F.array(*[F.array(*[F.lit(int(x)) for x in n]) for n in nodes])
-    cells = lattice.cells.select("*", F.explode(wanted).alias("node"))
-    keyed = _class_cells(cells, lattice, F.col("node"))
-    keys = ["node", *[f"k{i}" for i in range(len(lattice.hierarchies))]]
-    return _summary(class_table(keyed, keys, models, sums=["s"], same=["w"]), lattice)
+    cells = lattice.cells.select("*", F.explode(wanted).alias("_node"))
+    keyed = _class_cells(cells, lattice, F.col("_node"))
+    keys = ["_node", *[f"_c{i}" for i in range(len(lattice.hierarchies))]]
+    return _summary(class_table(keyed, keys, models, sums=["_s"], same=["_w"]), lattice)
 
 
 def _climb(lattice: Lattice, models: Sequence[PrivacyModel], limit: float) -> list[dict]:
     """Level by level, each layer of nodes one job over rolled-up cells; pruned by the best cost so far."""
     q = len(lattice.hierarchies)
-    paths = [f"p{i}" for i in range(q)]
+    paths = [f"_p{i}" for i in range(q)]
     start = tuple([0] * q)
-    layer = lattice.cells.withColumn("node", F.array(*[F.lit(0) for _ in range(q)]))
+    layer = lattice.cells.withColumn("_node", F.array(*[F.lit(0) for _ in range(q)]))
     alive, scored = [start], []
     best = _greedy_bound(lattice, models, limit)
     first = True
@@ -174,29 +174,29 @@ def _climb(lattice: Lattice, models: Sequence[PrivacyModel], limit: float) -> li
                 axis = max(i for i in range(q) if node[i] > 0)
                 parent = tuple(x - (i == axis) for i, x in enumerate(node))
                 moves.setdefault(parent, []).append((node, axis))
-            choices = F.lit(None).cast("array<struct<node:array<int>,axis:int>>")
+            choices = F.lit(None).cast("array<struct<_node:array<int>,axis:int>>")
             for parent, steps in moves.items():
                 here = F.array(*[
-                    F.struct(F.array(*[F.lit(int(x)) for x in n]).alias("node"), F.lit(a).alias("axis"))
+                    F.struct(F.array(*[F.lit(int(x)) for x in n]).alias("_node"), F.lit(a).alias("axis"))
                     for n, a in steps
                 ])
-                choices = F.when(F.col("node") == F.array(*[F.lit(int(x)) for x in parent]), here).otherwise(choices)
-            moved = layer.select(*paths, *[col(s) for s in lattice.sensitive], "n", "s",
-                                 F.explode(choices).alias("m"))
+                choices = F.when(F.col("_node") == F.array(*[F.lit(int(x)) for x in parent]), here).otherwise(choices)
+            moved = layer.select(*paths, *[col(s) for s in lattice.sensitive], "_n", "_s",
+                                 F.explode(choices).alias("_m"))
             layer = moved.select(
-                *[F.when(F.col("m.axis") == i, F.slice(col(p), 2, lattice.heights[i] + 1)).otherwise(col(p)).alias(p)
+                *[F.when(F.col("_m.axis") == i, F.slice(col(p), 2, lattice.heights[i] + 1)).otherwise(col(p)).alias(p)
                   for i, p in enumerate(paths)],
-                *[col(s) for s in lattice.sensitive], "n", "s", F.col("m.node").alias("node"),
+                *[col(s) for s in lattice.sensitive], "_n", "_s", F.col("_m._node").alias("_node"),
             )
             layer = stage(
-                layer.groupBy("node", *paths, *[col(s) for s in lattice.sensitive]).agg(
-                    F.sum("n").alias("n"), F.sum("s").alias("s")
+                layer.groupBy("_node", *paths, *[col(s) for s in lattice.sensitive]).agg(
+                    F.sum("_n").alias("_n"), F.sum("_s").alias("_s")
                 ),
                 "layer",
             )
         first = False
-        keys = ["node", *[f"k{i}" for i in range(q)]]
-        classes = class_table(_class_cells(layer, lattice, None), keys, models, sums=["s"], same=["w"])
+        keys = ["_node", *[f"_c{i}" for i in range(q)]]
+        classes = class_table(_class_cells(layer, lattice, None), keys, models, sums=["_s"], same=["_w"])
         found = [r.asDict() for r in _summary(classes, lattice).collect()]  # one row per node of this layer
         scored += found
         for r in found:

@@ -31,12 +31,12 @@ from .hierarchy import TOP, Hierarchy, label_column
 
 
 def ground_values(frequency: DataFrame, hierarchies: Sequence[Hierarchy]) -> DataFrame:
-    """``(attribute, labels, n)``: every ground value once, with its labels and its rows (0 if only listed)."""
+    """``(attribute, labels, _n)``: every ground value once, with its labels and its rows (0 if only listed)."""
     parts = F.array(*[
         F.struct(F.lit(h.attribute).alias("attribute"), col(label_column(h.attribute)).alias("labels"))
         for h in hierarchies
     ])
-    seen = frequency.select(F.explode(parts).alias("p"), "n").select("p.attribute", "p.labels", "n")
+    seen = frequency.select(F.explode(parts).alias("p"), "_n").select("p.attribute", "p.labels", "_n")
     for h in hierarchies:
         listed = h.listed(frequency.sparkSession)
         if listed is None:
@@ -44,18 +44,18 @@ def ground_values(frequency: DataFrame, hierarchies: Sequence[Hierarchy]) -> Dat
         labels = h.attach(listed.select(F.col("value").alias(h.attribute)))
         seen = seen.unionByName(labels.select(
             F.lit(h.attribute).alias("attribute"), col(label_column(h.attribute)).alias("labels"),
-            F.lit(0).cast("bigint").alias("n"),
+            F.lit(0).cast("bigint").alias("_n"),
         ))
-    return seen.groupBy("attribute", "labels").agg(F.sum("n").alias("n"))
+    return seen.groupBy("attribute", "labels").agg(F.sum("_n").alias("_n"))
 
 
 def label_weights(values: DataFrame, hierarchies: Sequence[Hierarchy]) -> DataFrame:
     """``(attribute, level, label, leaves, rows, domain, total)``. A ``*`` stands for the whole domain."""
-    exploded = values.select("attribute", "n", F.posexplode("labels").alias("level", "label"))
+    exploded = values.select("attribute", "_n", F.posexplode("labels").alias("level", "label"))
     counted = exploded.groupBy("attribute", "level", "label").agg(
-        F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("rows")
+        F.count(F.lit(1)).alias("leaves"), F.sum("_n").alias("rows")
     )
-    totals = values.groupBy("attribute").agg(F.count(F.lit(1)).alias("domain"), F.sum("n").alias("total"))
+    totals = values.groupBy("attribute").agg(F.count(F.lit(1)).alias("domain"), F.sum("_n").alias("total"))
     out = lookup(counted, totals, ["attribute"], ["domain", "total"])
     whole = (F.col("label") == TOP) & (F.col("level") > 0)
     return out.select(
@@ -160,7 +160,7 @@ def squared_error(a: Anonymised, columns: Sequence[str] | None = None) -> DataFr
     freq = a.frequency
     x = {q: as_number(freq, q) for q in names}
     means = freq.agg(*[
-        F.try_divide(F.sum(x[q] * F.col("n")), F.sum(F.when(x[q].isNotNull(), F.col("n")))).alias(f"m{i}")
+        F.try_divide(F.sum(x[q] * F.col("_n")), F.sum(F.when(x[q].isNotNull(), F.col("_n")))).alias(f"m{i}")
         for i, q in enumerate(names)
     ]).first()
     centred = freq
@@ -170,12 +170,12 @@ def squared_error(a: Anonymised, columns: Sequence[str] | None = None) -> DataFr
     sums = []
     for i in range(len(names)):
         sums += [
-            F.sum(F.when(F.col(f"_x{i}").isNotNull(), F.col("n")).otherwise(0)).alias(f"_n{i}"),
-            F.sum(F.col(f"_x{i}") * F.col("n")).alias(f"_s{i}"),
-            F.sum(F.col(f"_x{i}") * F.col(f"_x{i}") * F.col("n")).alias(f"_q{i}"),
+            F.sum(F.when(F.col(f"_x{i}").isNotNull(), F.col("_n")).otherwise(0)).alias(f"_n{i}"),
+            F.sum(F.col(f"_x{i}") * F.col("_n")).alias(f"_s{i}"),
+            F.sum(F.col(f"_x{i}") * F.col(f"_x{i}") * F.col("_n")).alias(f"_q{i}"),
         ]
     per_class = cells.groupBy(*[col(k) for k in a.keys]).agg(*sums)
-    per_class = lookup(per_class, a.classes, a.keys, ["kept"])
+    per_class = lookup(per_class, a.classes, a.keys, ["kept"])  # sums only: no column of the table is left
     parts = []
     for i, q in enumerate(names):
         inside = F.coalesce(
@@ -203,23 +203,24 @@ def non_uniform_entropy(a: Anonymised, weights: DataFrame | None = None) -> Data
     """``(attribute, bits_lost, bits_at_top, non_uniform_entropy)``."""
     weights = weights if weights is not None else _node_weights(a)
     cells = with_generalised(a.frequency, a.hierarchies, a.node)
-    cells = lookup(cells, a.classes, a.keys, ["kept"])
+    verdicts = a.classes.select(*[col(k) for k in a.keys], F.col("kept").alias("_kept"))
+    cells = lookup(cells, verdicts, a.keys, ["_kept"])
     parts = F.array(*[
         F.struct(F.lit(h.attribute).alias("attribute"), h.label(0).alias("value"),
                  col(generalised(h.attribute)).alias("label"))
         for h in a.hierarchies
     ])
-    lost = F.when(~F.col("kept"), F.col("n")).otherwise(0)
-    values = cells.select("n", lost.alias("lost"), F.inline(parts)).groupBy("attribute", "value", "label").agg(
-        F.sum("n").alias("n"), F.sum("lost").alias("lost")
+    lost = F.when(~F.col("_kept"), F.col("_n")).otherwise(0)
+    values = cells.select(F.col("_n"), lost.alias("lost"), F.inline(parts)).groupBy("attribute", "value", "label").agg(
+        F.sum("_n").alias("_n"), F.sum("lost").alias("lost")
     )
     values = lookup(values, weights, ["attribute", "label"], ["rows", "total"])
-    own = F.log2(F.col("n").cast("double"))
+    own = F.log2(F.col("_n").cast("double"))
     top = F.log2(F.col("total").cast("double")) - own
     here = F.log2(F.col("rows").cast("double")) - own
     return values.groupBy("attribute").agg(
-        F.sum((F.col("n") - F.col("lost")) * here + F.col("lost") * top).alias("bits_lost"),
-        F.sum(F.col("n") * top).alias("bits_at_top"),
+        F.sum((F.col("_n") - F.col("lost")) * here + F.col("lost") * top).alias("bits_lost"),
+        F.sum(F.col("_n") * top).alias("bits_at_top"),
     ).withColumn(
         "non_uniform_entropy", F.coalesce(F.try_divide(F.col("bits_lost"), F.col("bits_at_top")), F.lit(0.0))
     )
@@ -232,11 +233,11 @@ def generalisation_intensity(a: Anonymised) -> DataFrame:
         for h in a.hierarchies
     ]
     totals = a.classes.agg(
-        F.sum("size").alias("n"), F.sum(F.when(~F.col("kept"), F.col("size")).otherwise(0)).alias("lost")
+        F.sum("size").alias("_n"), F.sum(F.when(~F.col("kept"), F.col("size")).otherwise(0)).alias("lost")
     )
-    return totals.select("n", "lost", F.inline(F.array(*parts))).select(
+    return totals.select("_n", "lost", F.inline(F.array(*parts))).select(
         "attribute",
-        (F.lit(1.0) - ((F.col("n") - F.col("lost")) * F.col("share") + F.col("lost")) / F.col("n")).alias("intensity"),
+        (F.lit(1.0) - ((F.col("_n") - F.col("lost")) * F.col("share") + F.col("lost")) / F.col("_n")).alias("intensity"),
     )
 
 
