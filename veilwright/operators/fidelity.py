@@ -155,7 +155,7 @@ def tv_complement(real: DataFrame, synthetic: DataFrame, columns: Sequence[str],
     counts = counts if counts is not None else text_counts(real, synthetic, columns)
     r, s = _sizes(real, synthetic)
     gap = F.abs(F.try_divide(F.col("real_n"), r) - F.try_divide(F.col("synth_n"), s))
-    score = counts.groupBy("column").agg((F.lit(1.0) - F.sum(gap) / 2).alias("score"))
+    score = counts.withColumn("_gap", gap).groupBy("column").agg((F.lit(1.0) - F.sum("_gap") / 2).alias("score"))
     return _rows(score, "Column Shapes", "TVComplement")
 
 
@@ -261,7 +261,7 @@ def contingency_similarity(real: DataFrame, synthetic: DataFrame, categorical: S
     counts = long.groupBy("a", "b", "u", "v").agg(*_counters())
     r, s = _sizes(real, synthetic)
     gap = F.abs(F.try_divide(F.col("real_n"), r) - F.try_divide(F.col("synth_n"), s))
-    score = counts.groupBy("a", "b").agg((F.lit(1.0) - F.sum(gap) / 2).alias("score"))
+    score = counts.withColumn("_gap", gap).groupBy("a", "b").agg((F.lit(1.0) - F.sum("_gap") / 2).alias("score"))
     labels = F.array(*[F.lit(n) for n in names])
     return _rows(score, "Column Pair Trends", "ContingencySimilarity", F.get(labels, F.col("a")),
                  F.get(labels, F.col("b")))

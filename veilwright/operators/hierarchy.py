@@ -58,20 +58,21 @@ class LookupHierarchy(Hierarchy):
 
     def validate(self) -> LookupHierarchy:
         """Each value once; each label has one parent (the levels form a tree). Both are needed to roll up."""
-        twice = self.table.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-        if twice:
-            raise ValueError(f"hierarchy of {self.attribute!r} lists a value twice")
-        short = self.table.where(F.size("labels") != self.height).limit(1).count()
-        if short:
-            raise ValueError(f"hierarchy of {self.attribute!r} has lines of different length")
+        twice = self.table.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        short = self.table.where(F.size("labels") != self.height)
         steps = self.table.select(F.posexplode("labels").alias("level", "label"), "labels").select(
             "level", "label", F.get("labels", F.col("level") + 1).alias("parent")
         )
-        parents = steps.where("parent is not null").groupBy("level", "label").agg(
+        split = steps.where("parent is not null").groupBy("level", "label").agg(
             F.min("parent").alias("a"), F.max("parent").alias("b")
-        )
-        if parents.where("a <> b").limit(1).count():
-            raise ValueError(f"hierarchy of {self.attribute!r} is not a tree")
+        ).where("a <> b")
+        faults = {"lists a value twice": twice, "has lines of different length": short, "is not a tree": split}
+        found = None
+        for text, rows in faults.items():
+            one = rows.limit(1).select(F.lit(text).alias("fault"))
+            found = one if found is None else found.unionByName(one)
+        for r in found.collect():  # at most three rows
+            raise ValueError(f"hierarchy of {self.attribute!r} {r['fault']}")
         self.checked = True
         return self
 
