@@ -61,7 +61,8 @@ def as_number(df: DataFrame, name: str) -> Column:
 def from_number(value: Column, kind: T.DataType) -> Column:
     """The inverse of ``as_number`` for a target type; whole-number types round half up."""
     if isinstance(kind, T.TimestampNTZType):
-        return F.timestamp_micros(F.round(value * F.lit(1e6)).cast("long")).cast("timestamp_ntz")
+        start = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+        return F.timestamp_add("MICROSECOND", F.round(value * F.lit(1e6)).cast("long"), start)
     if isinstance(kind, T.TimestampType):
         return F.timestamp_micros(F.round(value * F.lit(1e6)).cast("long"))
     if isinstance(kind, T.DateType):

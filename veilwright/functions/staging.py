@@ -13,6 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_staged: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +36,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads it back."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _staged.append(path)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,3 +49,13 @@ def plan_bytes(df: DataFrame) -> int:
 def broadcast_limit(spark: SparkSession) -> int:
     """``spark.sql.autoBroadcastJoinThreshold`` in bytes; 0 when broadcasting is off."""
     return max(0, int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()))
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this process has staged; call it once their results are written. Returns how many."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    count = 0
+    while _staged:
+        path = hadoop.Path(_staged.pop())
+        count += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return count

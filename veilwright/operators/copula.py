@@ -30,6 +30,7 @@ GRID = 200
 INLINE_CATEGORIES = 1000  # larger vocabularies stay a table on the cluster
 SUPPORTED = "GAUSSIANCOPULA"
 NULL_STREAM = 1_000_000
+ROWS_PER_TASK = 2_000_000
 SMALL_MATRIX = 8  # up to here one aggregate of pairwise correlations, above it MLlib's Gram matrix
 
 
@@ -269,7 +270,8 @@ def sample(spark: SparkSession, model: Copula, rows: int, seed: int = 42,
     """``rows`` new rows with the columns, types, bounds, categories and NULL shares of the fitted table."""
     if rows < 0:
         raise ValueError("rows must not be negative")
-    base = spark.range(0, rows, 1, partitions) if partitions else spark.range(rows)
+    default = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+    base = spark.range(0, rows, 1, partitions or default)
     d = len(model.modelled)
     row_id = F.col("id")
     lower = np.linalg.cholesky(model.correlation) if d else np.zeros((0, 0))

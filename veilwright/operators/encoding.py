@@ -154,8 +154,14 @@ def one_hot_encode(df: DataFrame, target: str | None = None) -> DataFrame:
     return OneHotEncoder.fit(df, target).transform(df)
 
 
-def one_hot_vector(df: DataFrame, columns: Sequence[str], output: str = "categories"):
-    """Sparse one-hot vectors for wide vocabularies, with MLlib's indexer and encoder (alphabetical order)."""
+def one_hot_vector(df: DataFrame, columns: Sequence[str], output: str = "categories",
+                   max_categories: int = 1_000_000) -> DataFrame:
+    """Sparse one-hot vectors for wide vocabularies, with MLlib's indexer and encoder.
+
+    The indexer keeps its labels on the driver, so their number is checked first.
+    """
+    if vocabulary([df], columns).limit(max_categories + 1).count() > max_categories:
+        raise ValueError(f"more than {max_categories} categories: use BinaryEncoder")
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder as VectorEncoder
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -166,7 +172,7 @@ def one_hot_vector(df: DataFrame, columns: Sequence[str], output: str = "categor
         renamed = renamed.withColumn(p, col(c))
     indexed, hot = [f"{p}_i" for p in plain], [f"{p}_v" for p in plain]
     model = Pipeline(stages=[
-        StringIndexer(inputCols=plain, outputCols=indexed, stringOrderType="alphabetDesc", handleInvalid="keep"),
+        StringIndexer(inputCols=plain, outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid="keep"),
         VectorEncoder(inputCols=indexed, outputCols=hot, dropLast=False),
         VectorAssembler(inputCols=hot, outputCol=output),
     ]).fit(renamed)

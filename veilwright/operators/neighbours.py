@@ -28,6 +28,7 @@ from ..functions.columns import as_number, col
 from ..functions.staging import stage
 
 PIVOTS = 64
+SLOTS = 64
 CHUNK_ROWS = 20_000
 SMALL_BYTES = 64 * 1024 * 1024  # training vectors up to this size are broadcast
 BLOCK_NUMBERS = 4_000_000  # numbers in one distance block inside a task
@@ -108,11 +109,10 @@ def nearest(train: DataFrame, test: DataFrame, features: Sequence[str] | str, tr
 
     placed = stage(_with_cells(base, centre), "cells")
     # Per cell: rows, smallest and largest gap, and the k smallest gaps. At most pivots × (k + 4) numbers.
-    by_size = placed.groupBy("cell", F.round("gap", 9).alias("g")).agg(F.count(F.lit(1)).alias("n"))
     summary = placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high")
     ).collect()
-    small = _smallest(by_size, k)
+    small = _smallest(placed, k)
     cells = np.array([r["cell"] for r in summary])
     low = np.array([r["low"] for r in summary])
     high = np.array([r["high"] for r in summary])
@@ -136,20 +136,17 @@ def nearest(train: DataFrame, test: DataFrame, features: Sequence[str] | str, tr
             below = np.maximum(np.maximum(below, plane), 0.0)
             reach = above * (1 + SLACK) + SLACK
             row, hit = np.nonzero(below <= reach[:, None] + 2e-9)
-            times = chunks[hit]
-            row, hit = np.repeat(row, times), np.repeat(hit, times)
-            part = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, dtype=int)
             picked = pdf.iloc[row]
             yield pd.DataFrame({"qid": picked["qid"].to_numpy(), "x": picked["x"].to_numpy(),
-                                "cell": cells[hit].astype("int32"), "part": part.astype("int32")})
+                                "cell": cells[hit].astype("int32")})
 
     routed = asked.mapInPandas(route, T.StructType([
         T.StructField("qid", kind), T.StructField("x", T.ArrayType(T.DoubleType())),
-        T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()),
+        T.StructField("cell", T.IntegerType()),
     ]))
     # Query rows per cell may be many: they are cut too, and the chunks of training rows are repeated per cut.
     sent = stage(routed, "routed")
-    loads = {r["cell"]: r["n"] for r in sent.where("part = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    loads = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     cuts = {int(c): max(1, -(-loads.get(int(c), 0) // chunk_rows)) for c in cells}
     parts = {int(c): int(n) for c, n in zip(cells, chunks, strict=True)}
 
@@ -157,7 +154,9 @@ def nearest(train: DataFrame, test: DataFrame, features: Sequence[str] | str, tr
         dense = [values.get(i, 1) for i in range(len(centre))]
         return F.get(F.expr("array(" + ", ".join(str(v) for v in dense) + ")"), F.col("cell"))
 
-    queries = sent.withColumn("cut", F.pmod(F.xxhash64("qid"), per_cell(cuts)).cast("int"))
+    queries = sent.withColumn("cut", F.pmod(F.xxhash64("qid"), per_cell(cuts)).cast("int")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), per_cell(parts) - 1))
+    )
     training = placed.withColumn("part", F.pmod(F.xxhash64("tid"), per_cell(parts)).cast("int")).withColumn(
         "cut", F.explode(F.sequence(F.lit(0), per_cell(cuts) - 1))
     )
@@ -174,21 +173,21 @@ def nearest(train: DataFrame, test: DataFrame, features: Sequence[str] | str, tr
     return _ranked(candidates, test_id, train_id, payload, k)
 
 
-def _smallest(by_gap: DataFrame, k: int) -> dict[int, list[float]]:
-    """The k smallest gaps of each cell, from counts of equal gaps; at most pivots × k rows reach the driver."""
+def _smallest(placed: DataFrame, k: int) -> dict[int, list[float]]:
+    """The k smallest gaps of each cell: first k per slot of a cell, which Spark cuts before the shuffle, then k of those."""
     from pyspark.sql import Window
 
-    spread = F.pmod(F.xxhash64("g"), F.lit(64))
-    first = Window.partitionBy("cell", "slot").orderBy("g")
-    second = Window.partitionBy("cell").orderBy("g")
+    first = Window.partitionBy("cell", "slot").orderBy("gap")
+    second = Window.partitionBy("cell").orderBy("gap")
     rows = (
-        by_gap.withColumn("slot", spread).withColumn("i", F.row_number().over(first)).where(F.col("i") <= k)
+        placed.select("cell", "gap", F.pmod(F.xxhash64("tid"), F.lit(SLOTS)).alias("slot"))
+        .withColumn("i", F.row_number().over(first)).where(F.col("i") <= k)
         .withColumn("i", F.row_number().over(second)).where(F.col("i") <= k)
-        .select("cell", "g", "n").collect()
+        .select("cell", "gap").collect()  # pivots × k numbers
     )
     out: dict[int, list[float]] = {}
-    for r in sorted(rows, key=lambda r: (r["cell"], r["g"])):
-        out.setdefault(r["cell"], []).extend([r["g"] + 1e-9] * min(r["n"], k))
+    for r in sorted(rows, key=lambda r: (r["cell"], r["gap"])):
+        out.setdefault(r["cell"], []).append(r["gap"])
     return out
 
 
