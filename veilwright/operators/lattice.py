@@ -17,7 +17,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,25 +94,23 @@ def build_lattice(frequency: DataFrame, hierarchies: Sequence[Hierarchy], object
     if objective == "entropy":
         for i in range(len(hierarchies)):
             own_cost = own_cost + F.get(col(f"_p{i}"), F.lit(0))["_w"]
-    cells = stage(
-        cells.select(*[f"_p{i}" for i in range(len(hierarchies))], *[col(s) for s in sensitive], "_n",
-                     (F.col("_n") * own_cost).alias("_s")),
-        "cells",
-    )
+    cells = cells.select(*[f"_p{i}" for i in range(len(hierarchies))], *[col(s) for s in sensitive], "_n",
+                         (F.col("_n") * own_cost).alias("_s"))
     # Bounded driver state from here on: one number per (attribute, level), and totals.
     per_level = paths.select("attribute", "_n", F.posexplode("path").alias("level", "step")).groupBy(
         "attribute", "level"
     ).agg(F.sum(F.col("_n") * F.col("step._w")).alias("cost"))
     cost = {(r["attribute"], r["level"]): r["cost"] for r in per_level.collect()}
-    totals = cells.agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("cells"), F.sum("_s").alias("_s")).first()
-    rows = totals["_n"] or 0
+    totals = frequency.agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("cells")).first()
+    rows = totals["rows"] or 0
+    own_total = sum(cost.get((h.attribute, 0), 0.0) for h in hierarchies) if objective == "entropy" else 0.0
     bounds = []
     for h in hierarchies:
         base = cost.get((h.attribute, 0), 0.0) if objective == "entropy" else 0.0
         bounds.append([cost.get((h.attribute, level), 0.0) - base for level in range(h.height + 1)])
     q = len(hierarchies)
     top = float(q) if objective == "loss" else q * math.log2(rows) if rows else 0.0
-    scale = (rows * top - (totals["_s"] or 0.0)) or 1.0
+    scale = (rows * top - own_total) or 1.0
     return Lattice(list(hierarchies), cells, list(sensitive), rows, totals["cells"], top, bounds, scale)
 
 
@@ -162,6 +160,7 @@ def _climb(lattice: Lattice, models: Sequence[PrivacyModel], limit: float) -> li
     q = len(lattice.hierarchies)
     paths = [f"_p{i}" for i in range(q)]
     start = tuple([0] * q)
+    lattice = replace(lattice, cells=stage(lattice.cells, "cells"))
     layer = lattice.cells.withColumn("_node", F.array(*[F.lit(0) for _ in range(q)]))
     alive, scored = [start], []
     best = _greedy_bound(lattice, models, limit)
