@@ -39,13 +39,32 @@ def _rows(rows, columns):
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
+# What a column type counts as: whole number, real number, decimal, text, truth, time.
+FAMILIES = {
+    "whole": ("tinyint", "smallint", "int", "integer", "bigint", "hugeint", "utinyint", "uinteger", "ubigint"),
+    "real": ("float", "double"), "text": ("string", "varchar"), "truth": ("boolean",),
+    "time": ("timestamp", "timestamp_ntz", "timestamp_ns", "timestamp_us"), "date": ("date",),
+}
+
+
+def family(kind: str) -> str:
+    kind = kind.lower()
+    return next((f for f, names in FAMILIES.items() if kind in names), kind)
+
+
 def compare(df, con, sql: str) -> str:
     """Empty text when columns, row counts and values agree, else what differs."""
     left_columns, left = df.columns, df.collect()
     cur = con.execute(sql)
-    right_columns, right = [d[0] for d in cur.description], cur.fetchall()
+    cur_description = cur.description
+    right_columns, right = [d[0] for d in cur_description], cur.fetchall()
     if sorted(left_columns) != sorted(right_columns):
         return f"columns {sorted(left_columns)} against {sorted(right_columns)}"
+    spark_kinds = {f.name: family(f.dataType.simpleString()) for f in df.schema.fields}
+    other = {c: k for c, k in spark_kinds.items()
+             if family(str(dict((d[0], d[1]) for d in cur_description)[c])) != k}
+    if other:
+        return f"types {other} against {[d[:2] for d in cur_description if d[0] in other]}"
     if len(left) != len(right):
         return f"{len(left)} rows against {len(right)}"
     a, b = _rows(left, left_columns), _rows(right, right_columns)

@@ -197,8 +197,8 @@ MODELS = {
 
 
 @pytest.mark.parametrize("one_job", [10**9, 0])
-@pytest.mark.parametrize("objective", ["loss", "entropy"])
-@pytest.mark.parametrize("models,limit", [("k", 1.0), ("k", 0.02), ("distinct", 0.2), ("entropy", 0.0)])
+@pytest.mark.parametrize("objective,models,limit", [
+    ("loss", "k", 1.0), ("entropy", "k", 0.02), ("loss", "distinct", 0.2), ("entropy", "entropy", 0.0)])
 def test_search_equals_brute_force(spark, one_job, objective, models, limit):
     a_paths = {f"a{i}": [f"a{i}", f"A{i // 2}", f"B{i // 4}", "*"] for i in range(8)}
     b_paths = {f"b{i}": [f"b{i}", "low" if i < 2 else "high", "*"] for i in range(5)}
