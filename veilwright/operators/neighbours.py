@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_number, col
-from ..functions.staging import stage
+from ..functions.staging import plan_bytes, stage
 
 PIVOTS = 64
 SLOTS = 64
 CHUNK_ROWS = 20_000
 SMALL_BYTES = 64 * 1024 * 1024  # training vectors up to this size are broadcast
+SPREAD_BYTES = 16 * 1024 * 1024
 BLOCK_NUMBERS = 4_000_000  # numbers in one distance block inside a task
 SLACK = 1e-9
 
@@ -207,16 +208,33 @@ def _best(asked: pd.DataFrame, training: tuple, names: Sequence[str], k: int) ->
         gaps = _distances(wanted[i:i + step], points)
         if folds is not None:
             gaps[asked["fold"].to_numpy()[i:i + step][:, None] == folds[None, :]] = np.inf
-        order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-        row, flat = np.repeat(np.arange(len(gaps)), order.shape[1]), order.ravel()
+        row, flat, rank = _k_smallest(gaps, k)
         out = {"qid": asked["qid"].to_numpy()[i:i + step][row], "tid": tids[flat], "distance": gaps[row, flat]}
         if payload is not None:
             out["payload"] = payload[flat]
-        out["rank"] = np.tile(np.arange(1, order.shape[1] + 1, dtype="int32"), len(gaps))
+        out["rank"] = rank
         out = pd.DataFrame(out)[[*names, "rank"]]
         yield out[np.isfinite(out["distance"])] if folds is not None else out
 
 
+def _k_smallest(gaps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rank of the k smallest cells of each row; equal cells keep the order of their columns.
+
+    Only cells up to the k-th smallest value are sorted.
+    """
+    width = gaps.shape[1]
+    if width > k:
+        last = np.partition(gaps, k - 1, axis=1)[:, k - 1]
+        row, column = np.nonzero(gaps <= last[:, None])
+    else:
+        row, column = np.divmod(np.arange(gaps.size), width)
+    order = np.lexsort((column, gaps[row, column], row))
+    row, column = row[order], column[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    keep = rank <= k
+    return row[keep], column[keep], rank[keep].astype("int32")
+
+
 def _by_broadcast(base: DataFrame, asked: DataFrame, schema: T.StructType, names: Sequence[str], k: int) -> DataFrame:
     """Search a training table whose size has been checked: it is broadcast, query rows stay where they are."""
     shared = base.sparkSession.sparkContext.broadcast(_training(base.toPandas()))
@@ -226,6 +244,10 @@ def _by_broadcast(base: DataFrame, asked: DataFrame, schema: T.StructType, names
             if len(pdf):
                 yield from _best(pdf, shared.value, names, k)
 
+    spark = base.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if plan_bytes(asked) < cores * SPREAD_BYTES:
+        asked = asked.repartition(cores)  # few bytes but much work per row: let every core take part
     return asked.mapInPandas(search, T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
 
 
