@@ -74,6 +74,31 @@ def test_lookup_weighted_with_hot_keys(spark, setting):
     assert {(r["i"], r["v"]) for r in hot.collect()} == small and len(small) == 3000
 
 
+def test_staging_without_a_shared_folder(spark, monkeypatch):
+    from veilwright.functions import staging
+
+    class Conf:
+        def get(self, key, default=None):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    root = staging.scratch_root(Session())
+    assert root == staging.scratch_root(Session()) and "veilwright" in root
+
+    class Cluster(Session):
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
+    with pytest.raises(RuntimeError):
+        staging.scratch_root(Cluster())
+    kept = staging.stage(spark.range(3))
+    assert kept.count() == 3
+    monkeypatch.setattr(staging, "_staged", staging._staged[-1:])
+    assert staging.release(spark) == 1
+
+
 def test_small_helpers(spark):
     df = spark.createDataFrame([(" 1.5 ", 0.125), ("", 1.0), ("x", 0.0), (None, None)], "t string, s double")
     out = df.select(parse_double(F.col("t")).alias("d"), percent_text(F.col("s")).alias("p")).collect()

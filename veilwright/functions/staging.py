@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _staged: list[str] = []
+_local_root: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -23,9 +24,9 @@ def scratch_root(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="veilwright-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _local_root:
+        _local_root.append(tempfile.mkdtemp(prefix="veilwright-"))
+    return _local_root[0]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
