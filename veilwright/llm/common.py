@@ -60,7 +60,7 @@ class Memo(dict):
         return value
 
 
-WORD_HASH = Memo(xxhash.xxh64_intdigest, 600_000)
+WORD_HASH = Memo(xxhash.xxh64_intdigest, 400_000)
 
 
 def word_hashes(words: Sequence[bytes]) -> np.ndarray:
@@ -71,8 +71,11 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def arrays(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*[column(batch, n) for n in names], strict=True)
+def arrays(batch: pa.RecordBatch, *names: str, rows: int = 256) -> Iterator[tuple]:
+    """The rows of a batch, turned into Python values a few at a time."""
+    for s in range(0, batch.num_rows, rows):
+        part = batch.slice(s, rows)
+        yield from zip(*[column(part, n) for n in names], strict=True)
 
 
 def running(df: DataFrame, group: Sequence[str], draw: Column, order: Sequence[Column], weight: Column, name: str,

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
-from .common import arrays, draw_of, running
+from .common import column, draw_of, running
 from .tokenization import encoder
 
 
@@ -87,16 +87,17 @@ def _pieces(p: Packing):
         enc = encoder(p.tokenizer, p.keeps_space)
         end = np.array([p.end_id], enc.dtype)
         for batch in batches:
-            out = []
-            ids, texts = zip(*arrays(batch, "doc_id", "text"), strict=True) if batch.num_rows else ((), ())
-            for doc, got in zip(ids, enc.ids(texts), strict=True):
-                all_ids = np.concatenate((got, end)).astype("<u4")
-                for i, s in enumerate(range(0, len(all_ids), p.capacity)):
-                    part = all_ids[s:s + p.capacity]
-                    out.append((doc, i, s, len(part), zlib.crc32(part.tobytes())))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), *[pa.int64()] * 3))],
-                ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                out = []
+                for doc, got in zip(column(part, "doc_id"), enc.ids(column(part, "text")), strict=True):
+                    all_ids = np.concatenate((got, end)).astype("<u4")
+                    for i, s in enumerate(range(0, len(all_ids), p.capacity)):
+                        piece = all_ids[s:s + p.capacity]
+                        out.append((doc, i, s, len(piece), zlib.crc32(piece.tobytes())))
+                kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)],
+                                                 ["doc_id", "piece", "start", "length", "ids_crc32"])
     return job
 
 

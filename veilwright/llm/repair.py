@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.staging import scratch_path
-from .common import arrays, partitions
+from .common import column, partitions
 from .tokenization import encoder
 
 
@@ -137,8 +137,8 @@ def _encode(p: RePair):
 
         for batch in batches:
             for s in range(0, batch.num_rows, 500):
-                ids, texts = zip(*arrays(batch.slice(s, 500), "doc_id", "text"), strict=True)
-                for doc, got in zip(ids, enc.ids(texts), strict=True):
+                some = batch.slice(s, 500)
+                for doc, got in zip(column(some, "doc_id"), enc.ids(column(some, "text")), strict=True):
                     docs.append(doc)
                     parts.append(np.concatenate((got.astype(np.uint32), end)))
                     size += len(parts[-1])

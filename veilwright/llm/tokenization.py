@@ -20,7 +20,7 @@ WITH_SPACE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 NO_SPACE = re.compile(r"[^ \t\n\r]+")
 #: The word tokenizer's own pieces of a lower-case ASCII word.
 ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-LIMIT = 700_000
+LIMIT = 400_000
 
 
 class Encoder:

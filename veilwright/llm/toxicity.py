@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays, id_remainder
+from .common import arrays, column, id_remainder
 
 STRIP = b".,;:!?\"'()[]{}|*&%$#<>"
 STOPS = (b".", b"!", b"?")
@@ -122,7 +122,7 @@ def clean(word: bytes) -> list[str]:
 class Describer:
     """Best matches of each sentence with each landmark, as bytes (255: equal); remembers words within a worker's task."""
 
-    LIMIT = 250_000
+    LIMIT = 200_000
 
     def __init__(self, kernel: Kernel) -> None:
         self.kernel = kernel
@@ -305,8 +305,10 @@ def _score(model: Model | None):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describer = Describer(Kernel(model.landmarks, model.decay)) if model else None
         for batch in batches:
-            texts = [t for (t,) in arrays(batch, "text")]
-            scores = [model.score(model.margins(m)) for m in describer.texts(texts)] if model else [0.0] * len(texts)
+            scores = []
+            for s in range(0, batch.num_rows, 200):
+                texts = column(batch.slice(s, 200), "text")
+                scores += [model.score(model.margins(m)) for m in describer.texts(texts)] if model else [0.0] * len(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "held_out", "text_key")]
                 + [pa.array(scores, pa.float64())], ["doc_id", "held_out", "text_key", "score"])
