@@ -6,7 +6,7 @@ accepts whole moves, in an order by hash, as long as the linked rows it then hol
 turns to shards with room in the next round. Documents without links have no wish. A last step evens the counts out:
 shards above their quota hand over surplus rows, unlinked ones first, to shards below it.
 
-The law is ``rows``: counts at most one apart. A group larger than half a quota is cut into blocks of that size first, so
+The law is ``rows``: counts at most one apart. A group larger than a quota is cut into blocks of that size first, so
 copies that cannot share a shard are split into few parts. Texts are reduced to hashes before anything is shuffled.
 """
 
@@ -24,7 +24,7 @@ from .common import draw_of, running
 @dataclass(frozen=True)
 class Sharding:
     shards: int = 16
-    rounds: int = 4
+    rounds: int = 6
 
 
 def _quota(total: int, shards: int) -> list[int]:
@@ -32,7 +32,7 @@ def _quota(total: int, shards: int) -> list[int]:
 
 
 def _lookup(values: list[int], key):
-    return F.element_at(F.array(*[F.lit(int(v)) for v in values]), key + 1).cast("long")
+    return F.element_at(F.array(*[F.lit(int(v)) for v in values]), (key + 1).cast("int")).cast("long")
 
 
 def _counts(df: DataFrame, shards: int, where: str = "true") -> list[int]:
@@ -52,26 +52,27 @@ def shard(docs: DataFrame, p: Sharding = Sharding()) -> DataFrame:
         F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_key")), "rows")
     total = rows.count()
     quota = _quota(total, p.shards)
-    block = max(1, total // p.shards // 2)
+    block = max(1, total // p.shards)
 
-    # Members of a group are numbered only where a group needs blocks; a block is a group of its own.
     sizes = rows.groupBy("text_key", "text_crc32", "size").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     keys = ["text_key", "text_crc32", "size"]
     sizes = stage(sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], "members"), "groups")
     joined = rows.join(sizes, [F.col(k) == F.col(f"_{k}") for k in keys], "left").drop(*[f"_{k}" for k in keys])
     draw = draw_of(F.col("doc_id"), F.col("text_key"))
-    alone = joined.where("members is null").withColumn("part", F.lit(None).cast("int"))
-    parts = F.ceil(F.col("members") / block).cast("int")
-    some = joined.where("members is not null").withColumn("part", F.floor(draw * parts).cast("int"))
+    alone = joined.where("members is null").withColumn("part", F.lit(None).cast("long"))
+    some = joined.where(F.col("members") <= block).withColumn("part", F.lit(0).cast("long"))
+    # A group beyond a quota is numbered and cut into blocks that fill a shard each.
+    large = running(joined.where(F.col("members") > block), keys, draw, [draw, F.col("doc_id")], F.lit(1), "rank") \
+        .withColumn("part", F.floor(F.col("rank") / block)).drop("rank")
     start = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(1)), F.lit(p.shards)).cast("int")
-    state = stage(alone.unionByName(some).select(
+    state = stage(alone.unionByName(some).unionByName(large).select(
         "doc_id", *keys, F.when(F.col("part").isNotNull(), F.xxhash64("text_key", "part")).alias("group"),
         start.alias("shard")), "state")
 
     linked = state.where("group is not null").groupBy("group", "shard").agg(F.count(F.lit(1)).alias("held"))
     wishes = stage(linked, "labels")
-    for _ in range(p.rounds):
-        moved = _round(wishes, quota, p)
+    for turn in range(p.rounds):
+        moved = _round(wishes, quota, turn, p)
         if moved is None:
             break
         wishes = moved
@@ -97,9 +98,8 @@ def _main(labels: DataFrame) -> DataFrame:
         "group", F.col("best.shard").alias("shard"), F.col("best.held").alias("held"), "members")
 
 
-def _round(labels: DataFrame, quota: list[int], p: Sharding) -> DataFrame | None:
+def _round(labels: DataFrame, quota: list[int], turn: int, p: Sharding) -> DataFrame | None:
     """One round over (group, shard, held); None when no group is split."""
-    held = {r[0]: r[1] for r in labels.groupBy("shard").agg(F.sum("held")).collect()}
     whole = labels.groupBy("group").agg(F.count(F.lit(1)).alias("places"), F.sum("held").alias("members"))
     if not whole.where("places > 1").limit(1).count():
         return None
@@ -108,19 +108,22 @@ def _round(labels: DataFrame, quota: list[int], p: Sharding) -> DataFrame | None
              .agg(F.sum("held")).collect()}
     room = [quota[i] - fixed.get(i, 0) for i in range(p.shards)]
     open_groups = labels.join(settled, F.col("group") == F.col("_g"), "left_anti")
-    # A group asks for the shard with most of it among those that could take it whole, else for the one with most room.
+    # A group asks for the shard with most of it among those that could take it whole, else for one with much room.
     fits = open_groups.join(whole.select(F.col("group").alias("_w"), "members"), F.col("group") == F.col("_w")) \
         .withColumn("room", _lookup(room, F.col("shard")))
-    roomiest = max(range(p.shards), key=lambda i: (room[i], -i))
+    roomy = sorted(range(p.shards), key=lambda i: (-room[i], i))[:max(1, p.shards // 2)]
+    elsewhere = _lookup(roomy, F.pmod(F.xxhash64("group", F.lit(turn)), F.lit(len(roomy)))).cast("int")
     rank = F.struct((F.col("room") >= F.col("members")).alias("fits"), F.col("held"), F.xxhash64("group", "shard"),
                     F.col("shard"))
     asked = fits.groupBy("group").agg(F.max(rank).alias("best"), F.first("members").alias("members")).select(
-        "group", "members", F.when(F.col("best.fits"), F.col("best.shard")).otherwise(F.lit(roomiest)).alias("shard"))
-    queue = running(asked, ["shard"], draw_of(F.col("group")), [F.col("group")], F.col("members"), "ahead")
+        "group", "members", F.when(F.col("best.fits"), F.col("best.shard")).otherwise(elsewhere).alias("shard"))
+    # Large groups come first, the many small ones in an order by hash.
+    share = F.least(F.lit(1.0), F.col("members") / max(1, max(quota)))
+    lead = F.when(share > 0.125, (1 - share) / 2).otherwise(0.5 + draw_of(F.col("group")) / 2)
+    queue = running(asked, ["shard"], lead, [lead, F.col("group")], F.col("members"), "ahead")
     accepted = stage(queue.where(F.col("ahead") + F.col("members") <= _lookup(room, F.col("shard")))
                      .select("group", "shard", F.col("members").alias("held")), "accepted")
     rest = labels.join(accepted.select(F.col("group").alias("_a")), F.col("group") == F.col("_a"), "left_anti")
-    del held
     return stage(rest.unionByName(accepted), "labels")
 
 

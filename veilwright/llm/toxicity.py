@@ -31,7 +31,7 @@ STOPS = (b".", b"!", b"?")
 SPAN = 6
 #: Triples (i, j, k) of a window that begin at its first place: 0 < j < k < SPAN.
 STEPS = np.array([(j, k) for j in range(1, SPAN - 1) for k in range(j + 1, SPAN)])
-POWER = 8  # a power of a kernel is a kernel; a higher one sets close matches apart from chance ones
+POWER = 5  # a power of a kernel is a kernel; a higher one sets close matches apart from chance ones
 LONGEST = 24  # longer words are cut into overlapping parts, each a word of the same sentence
 
 
@@ -114,9 +114,11 @@ class Kernel:
 
 
 def clean(word: bytes) -> list[str]:
-    """A word without marks around it, in parts of at most LONGEST characters."""
+    """A word without marks around it, and also without marks inside if it has any; in parts of at most LONGEST characters."""
     w = word.strip(STRIP).decode().lower()
-    return [w[i:i + LONGEST] for i in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2)] if len(w) > LONGEST else [w]
+    forms = [w] if w.isalpha() or not w else [w, "".join(c for c in w if c.isalpha())]
+    half = LONGEST // 2
+    return [f[i:i + LONGEST] for f in forms for i in range(0, max(1, len(f) - half), half)]
 
 
 class Describer:
@@ -182,7 +184,7 @@ class Model:
 
 def _top(margins: np.ndarray) -> np.ndarray:
     """What a document's score sees: its five highest margins, and a constant."""
-    five = np.full(5, -3.0)
+    five = np.full(5, -1.0)  # where a clean sentence lies
     high = np.sort(margins)[::-1][:5]
     five[:len(high)] = np.clip(high, -3, 3)
     return np.array([*five, 1.0])
@@ -230,7 +232,7 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1e-3) -> np
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
