@@ -1,79 +1,123 @@
 """Ids of whole texts from a public tokenizer file, with each distinct piece of text encoded once per worker.
 
-Both tokenizers first split a text at white space: no piece of theirs reaches from a character that is not white space into
-white space. So a text is cut before each run of blanks, the pieces are encoded by the tokenizers library and remembered, and
-their ids joined are the ids of the text. Texts with unusual white space or control characters are encoded whole.
+Both tokenizers first split a text at white space: no part of theirs reaches from a character that is not white space into
+white space. So a text is cut before each blank and line feed, the pieces are encoded by the tokenizers library and remembered,
+and their ids joined are the ids of the text. Where white space runs on, or a piece holds other white space or control
+characters, the text is encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from collections.abc import Iterable
+from array import array
+from collections.abc import Sequence
 
 import numpy as np
+import regex
 
-#: White space beyond blank, tab, line feed and carriage return, and characters that engines class in different ways.
-UNUSUAL = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\xa0\\xad\\u0300-\\u036f\\u061c\\u1680\\u180e"
-                     "\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]")
-WITH_SPACE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-NO_SPACE = re.compile(r"[^ \t\n\r]+")
-#: The word tokenizer's own pieces of a lower-case ASCII word.
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-LIMIT = 400_000
+#: White space beyond blank and line feed, and characters that engines class in different ways.
+UNUSUAL = regex.compile("[\\x00-\\x09\\x0b-\\x1f\\x7f-\\xa0\\xad\\u0300-\\u036f\\u061c\\u1680\\u180e"
+                        "\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]")
+# The patterns by which the tokenizer files split a text.
+BYTE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+LIMIT = 900_000
 
 
 class Encoder:
-    """``keeps_space``: white space is part of the ids, as in byte-level vocabularies."""
+    """``keeps_space``: white space is part of the ids, as in byte-level vocabularies; else it is dropped, and so is case."""
 
     def __init__(self, path: str, keeps_space: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            source = json.load(f)
         self.full = Tokenizer.from_file(path)
         self.full.encode_special_tokens = True
-        self.plain = Tokenizer.from_file(path)  # for pieces the tokenizer would neither change nor split
-        self.plain.encode_special_tokens = True
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # For parts that are split and in lower case already.
+        self.part = Tokenizer.from_str(json.dumps(source | {"normalizer": None, "pre_tokenizer": PLAIN, "added_tokens": []}))
         self.keeps_space = keeps_space
-        self.dtype = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.code = "H" if self.full.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
+        self.known: dict[str, bytes | bool] = {}  # a piece after a blank, or from a line feed on; False: unusual
         self.parts: dict[str, bytes] = {}
 
     def _pack(self, encodings) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in encodings]
+        return [array(self.code, e.ids).tobytes() for e in encodings]
 
     def _learn(self, pieces: list[str]) -> None:
-        if self.keeps_space:
-            self.known.update(zip(pieces, self._pack(self.full.encode_batch_fast(pieces, add_special_tokens=False)),
-                                  strict=True))
-            return
-        odd = [p for p in pieces if not p.isascii()]
-        self.known.update(zip(odd, self._pack(self.full.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
-        split = {p: ASCII_PARTS.findall(p.lower()) for p in pieces if p.isascii()}
-        new = [w for w in {w for ws in split.values() for w in ws} if w not in self.parts]
-        self.parts.update(zip(new, self._pack(self.plain.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        for p, ws in split.items():
-            self.known[p] = b"".join([self.parts[w] for w in ws])
-
-    def ids(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        known, parts, blank = self.known, self.parts, " " if self.keeps_space else ""
+        one: dict[str, str] = {}  # pieces that are a single part
+        more: dict[str, list[str]] = {}
+        whole = []
+        for p in pieces:
+            if not (p.isascii() or max(p) < "Ā"):  # beyond Latin-1, engines may split and lower-case in different ways
+                if UNUSUAL.search(p):
+                    known[p] = False
+                else:
+                    whole.append(p)
+            elif p.isalpha():
+                one[p] = blank + p if blank else p.lower()
+            elif p[-1] in ",." and p[:-1].isalpha():
+                more[p] = [blank + p[:-1] if blank else p[:-1].lower(), p[-1]]
+            elif UNUSUAL.search(p):
+                known[p] = False
+            elif blank:
+                more[p] = BYTE_PARTS.findall(p if p[0] == "\n" else " " + p)
+            else:
+                more[p] = WORD_PARTS.findall(p.lower())
+        needed = set(one.values()).union(*more.values())
+        new = [w for w in needed if w not in parts]
+        parts.update(zip(new, self._pack(self.part.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        known.update(zip(one, map(parts.__getitem__, one.values()), strict=True))
+        for p, ws in more.items():
+            known[p] = b"".join([parts[w] for w in ws])
+        texts = [p if p[0] == "\n" else blank + p for p in whole]
+        known.update(zip(whole, self._pack(self.full.encode_batch_fast(texts, add_special_tokens=False)), strict=True))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def ids(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text; of NULL as of an empty text."""
-        find = (WITH_SPACE if self.keeps_space else NO_SPACE).findall
-        cut = [[] if not t else None if UNUSUAL.search(t) else find(t) for t in texts]
         if len(self.known) > LIMIT:
             self.known.clear()
         if len(self.parts) > LIMIT:
             self.parts.clear()
-        known = self.known
-        new = {p for c in cut if c for p in c if p not in known}
+        get = self.known.get
+        cut, found, new = [], [], set()
+        for t in texts:
+            # A text begins like a line: its first piece is kept as one that follows a line feed.
+            pieces = ("\n" + t).replace("\n", " \n").split(" ")[1:] if t else []
+            if "" in pieces or "\n" in pieces:
+                cut.append(None)
+                found.append(None)
+                continue
+            ids = list(map(get, pieces))
+            if None in ids:
+                new.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
+                cut.append(pieces)
+            else:
+                cut.append(None)
+            found.append(ids)
         if new:
             self._learn(list(new))
+        feed = self._whole("\n") if self.keeps_space else b""
         out = []
-        for t, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(np.array(self.full.encode(t, add_special_tokens=False).ids, self.dtype))
+        for t, pieces, ids in zip(texts, cut, found, strict=True):
+            if pieces is not None:
+                ids = [get(p) if x is None else x for p, x in zip(pieces, ids, strict=True)]
+            if ids is None or False in ids:
+                data = self._whole(t)
             else:
-                out.append(np.frombuffer(b"".join([known[p] for p in c]), self.dtype))
+                data = b"".join(ids)
+                if ids and self.keeps_space:
+                    # Before a character that is not white space a line feed is a part, and so ids, of its own.
+                    data = data[len(feed):]
+            out.append(np.frombuffer(data, self.dtype))
         return out
 
 
