@@ -63,7 +63,7 @@ def test_lookup_is_null_safe(spark):
 
 
 def test_lookup_weighted_with_hot_keys(spark, setting):
-    """Without broadcast joins the hot key (a third of the rows) takes the salted way; the answer is the same."""
+    """Without broadcast joins the hot key (a third of the rows) is answered by a broadcast; the answer is the same."""
     base = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 700).alias("k"), F.col("id").alias("i"))
     dim = base.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("n") * 2)
@@ -109,3 +109,22 @@ def test_small_helpers(spark):
     assert [r[0] for r in bins.select(bin_index(F.col("x"), 3.0, 3.0, 10)).collect()] == [0, 0, 0, 0, None]
     odd = spark.createDataFrame([(1,)], "`a.b ``c` int")
     assert odd.select(col("a.b `c")).first()[0] == 1
+
+
+def test_lookup_weighted_with_equal_rows(spark, setting):
+    """Nine tenths of the rows are one row: they never reach the join's shuffle, and none is lost or doubled."""
+    base = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    dim = base.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = lookup_weighted(base, dim.withColumn("v", F.col("k") + 1), ["k"], ["v"], "n")
+    assert got.count() == 20_000 and got.where("v <> k + 1 or v is null").count() == 0
+
+
+def test_row_key_spreads_equal_rows(spark):
+    from veilwright.plans.utility import KEY, with_row_key
+
+    df = spark.range(0, 20_000, numPartitions=8).select(F.when(F.col("id") % 10 > 0, F.lit(1)).otherwise(F.col("id")).alias("x"))
+    keyed = with_row_key(df)
+    assert keyed.count() == keyed.select(KEY).distinct().count() == 20_000
+    sizes = [r["count"] for r in keyed.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 20_000 / 8 * 2

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilwright.operators.classifiers import ALL_MODELS, KNN, Task, all_predictions, check_target, fit_model
+from veilwright.operators.classifiers import ALL_MODELS, KNN, Task, all_predictions, fit_model
 from veilwright.operators.neighbours import knn_predict, nearest
 from veilwright.operators.scoring import accuracy, class_scores, confusion, result_table, weighted_scores
 from veilwright.operators.splitting import train_test_split
@@ -95,9 +95,14 @@ def test_shared_vocabulary_and_targets(spark, separable):
     ready = prepare_variants({"Original": a, "Synthetic": b}, a, "t", "k", {"uid": "id", "w": "categorical"})
     assert ready.task.features == ("w_0", "w_1")
     assert ready.train["Synthetic"].columns == ready.test.columns
-    with pytest.raises(ValueError):
-        check_target(spark.range(500), "id")
     keyed = with_row_key(spark.createDataFrame([("a",), ("a",), ("b",)], "v string"))
     assert keyed.select("_row_key").distinct().count() == 3
     results = run_utility(*train_test_split(separable, "id"), "label", "id")
     assert [r["Dataset"] for r in results.collect()] == ["Original"]
+
+
+def test_a_target_of_many_classes(spark):
+    rows = spark.range(360).select("id", (F.col("id") % 120).cast("double").alias("x"), (F.col("id") % 120).cast("string").alias("label"))
+    train, test = rows.where("id < 240"), rows.where("id >= 240")
+    result = run_utility(train, test, "label", "id", models=(KNN,), folds=2, options={KNN: {"neighbours": 1}}).first()
+    assert result["Dataset"] == "Original" and result["Recall"] == 1.0

@@ -92,6 +92,34 @@ def interval_labels(spark, sf):
         "c_custkey", h.bucket(F.col("c_acctbal")).cast("bigint").alias("bucket"), h.label(1).alias("label"))
 
 
+@query("d3_large_numbers", """WITH x AS (SELECT o_orderkey, o_totalprice * 1e9 AS v FROM orders),
+r AS (SELECT min(v) AS mn, max(v) AS mx FROM x)
+SELECT o_orderkey, CAST(least(floor((v - mn) / ((mx - mn) / 10.0)), 9) AS BIGINT) AS bucket, v = mx AS largest,
+       true AS inside FROM x, r""")
+def large_number_intervals(spark, sf):
+    """Where the closing margin is lost in the size of the numbers, the largest value still has its interval."""
+    orders = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") * 1e9).alias("v"))
+    h = IntervalHierarchy.from_data(orders, "v", 10)
+    top = orders.agg(F.max("v")).first()[0]
+    return h.attach(orders).select("o_orderkey", h.bucket(F.col("v")).cast("bigint").alias("bucket"),
+                                   (F.col("v") == top).alias("largest"), (h.label(1) != "*").alias("inside"))
+
+
+@query("d10_repeated_value_refused", """SELECT n_regionkey, count(*) AS nations, true AS refused
+FROM nation GROUP BY n_regionkey""")
+def repeated_value_refused(spark, sf):
+    """A hierarchy that lists a value twice would multiply rows: it is refused before any row is touched."""
+    nation = table(spark, sf, "nation")
+    listed = nation.select(F.col("n_nationkey").cast("string").alias("value"), F.array("n_name", F.lit("*")).alias("labels"))
+    twice = LookupHierarchy("n_nationkey", listed.unionByName(listed.limit(1)), 2)
+    try:
+        generalise(nation, [twice], {"n_nationkey": 1})
+        refused = False
+    except ValueError:
+        refused = True
+    return nation.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("nations")).withColumn("refused", F.lit(refused))
+
+
 BANDS = [0.0, 5.0, 10.0, 15.0, 20.0, 25.0, 30.0, 35.0, 40.0]
 BAND_NAMES = ["<5", "5 to 10", "10 to 15", "15 to 20", "20 to 25", "25 to 30", "30 to 35", ">35"]
 

@@ -27,6 +27,15 @@ def load_delimited(spark, sf):
     return load_table(spark, path, ";")[0]
 
 
+@query("a1_load_quoted_text", """SELECT doc_id, '  ' || text || chr(10) || '"quoted";  ' AS text, lang, source, n_chars
+FROM documents""")
+def load_quoted_text(spark, sf):
+    """Whole texts with line breaks, quotes, separators and outer blanks go out and come back as they were."""
+    docs = table(spark, sf, "documents").withColumn("text", F.concat(F.lit("  "), "text", F.lit('\n"quoted";  ')))
+    path = write_table(docs, scratch_path(spark, "documents"), "csv", ";")
+    return load_table(spark, path, ";", docs.schema)[0]
+
+
 @query("a2_write_cleaned", f"WITH {LABELLED} SELECT * FROM labelled WHERE quality IS NOT NULL AND toxic IS NOT NULL")
 def write_cleaned(spark, sf):
     cleaned = handle_missing(labelled_documents(spark, sf), "drop")

@@ -12,7 +12,6 @@ from .columns import col
 from .staging import broadcast_limit, plan_bytes
 
 HOT_SHARE = 256  # a key is hot when it holds more than 1/HOT_SHARE of all rows
-SPREAD = 4096
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
@@ -31,25 +30,18 @@ def lookup_weighted(base: DataFrame, dim: DataFrame, keys: Sequence[str], payloa
                     weight: str) -> DataFrame:
     """``lookup`` for a ``dim`` that records how many base rows each key has.
 
-    Keys above 1/256 of the rows (at most 256 of them, by arithmetic) are answered by a broadcast; their rows
-    then carry a spread-out salt, so the shuffle that serves all other keys never sees a hot key.
+    Keys above 1/256 of the rows (at most 256 of them, by arithmetic) are answered by a broadcast; only rows of other
+    keys are shuffled.
     """
     if plan_bytes(dim) <= broadcast_limit(base.sparkSession):
         return lookup(base, dim, keys, payload)
 
+    names = base.columns
     total = dim.agg(F.sum(col(weight))).first()[0] or 0
-    hot = dim.filter(col(weight) > F.lit(total / HOT_SHARE)).select(
-        *[col(k).alias(f"_h_{k}") for k in keys],
-        *[col(p).alias(f"_hot_{p}") for p in payload],
-        F.lit(True).alias("_is_hot"),
-    )
+    is_hot = col(weight) > F.lit(total / HOT_SHARE)
+    hot = dim.filter(is_hot).select(*[col(k).alias(f"_h_{k}") for k in keys], *[col(p).alias(f"_hot_{p}") for p in payload],
+                                    F.lit(True).alias("_is_hot"))
     marked = base.join(F.broadcast(hot), _same(base, hot, keys, "_h_"), "left").drop(*[f"_h_{k}" for k in keys])
-    names = [c for c in base.columns]
-    spread = F.pmod(F.xxhash64(*[col(c) for c in names]), F.lit(SPREAD)) + F.lit(1)
-    marked = marked.withColumn("_salt", F.when(col("_is_hot"), spread).otherwise(F.lit(0).cast("bigint")))
-    cold = dim.withColumn("_salt", F.lit(0).cast("bigint"))
-    joined = lookup(marked, cold, [*keys, "_salt"], payload)
-    return joined.select(
-        *[col(c) for c in names],
-        *[F.when(col("_is_hot"), col(f"_hot_{p}")).otherwise(col(p)).alias(p) for p in payload],
-    )
+    answered = marked.where("_is_hot").select(*[col(c) for c in names], *[col(f"_hot_{p}").alias(p) for p in payload])
+    rest = marked.where("_is_hot is null").select(*[col(c) for c in names])
+    return answered.unionByName(lookup(rest, dim.filter(~F.coalesce(is_hot, F.lit(False))), keys, payload))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, entropy_term, percent_text, require_columns
 from ..functions.joins import lookup, lookup_weighted
 from ..functions.staging import broadcast_limit, plan_bytes, stage
-from .hierarchy import TOP, Hierarchy, attach_all, label_column
+from .hierarchy import TOP, Hierarchy, attach_all, label_column, validate_all
 
 MARGIN = 1e-9  # so that a class whose entropy is exactly ln(l) passes in spite of rounding
 
@@ -140,6 +140,7 @@ def with_generalised(df: DataFrame, hierarchies: Sequence[Hierarchy], node: Mapp
 
 def generalise(df: DataFrame, hierarchies: Sequence[Hierarchy], node: Mapping[str, int]) -> DataFrame:
     """Replace every quasi-identifier by its label: a projection, plus one lookup join per lookup hierarchy."""
+    validate_all(hierarchies)
     quasi = {h.attribute for h in hierarchies}
     marked = with_generalised(df, hierarchies, node)
     return marked.select(
@@ -152,6 +153,7 @@ def frequency_table(df: DataFrame, hierarchies: Sequence[Hierarchy], sensitive:
 
     This is the only shuffle of the full table: the search, the classes and all loss metrics run on the result.
     """
+    validate_all(hierarchies)
     quasi = [h.attribute for h in hierarchies]
     counts = df.groupBy(*[col(c) for c in [*quasi, *sensitive]]).agg(F.count(F.lit(1)).alias("_n"))
     return stage(attach_all(counts, hierarchies), "frequency")

@@ -130,15 +130,16 @@ class OneHotEncoder:
 
     @classmethod
     def fit(cls, tables: DataFrame | Sequence[DataFrame], target: str | None = None,
-            columns: Sequence[str] | None = None, max_categories: int = 2000) -> OneHotEncoder:
-        """One output column per category makes the vocabulary part of the schema, so its size is checked first."""
+            columns: Sequence[str] | None = None, max_categories: int | None = None) -> OneHotEncoder:
+        """One output column per category: the vocabulary is part of the schema and so on the driver. ``max_categories``
+        refuses wider tables if a caller wants that; by default every table is encoded whole."""
         tables = [tables] if isinstance(tables, DataFrame) else list(tables)
         names = list(columns) if columns is not None else category_columns(tables[0], target)
         if not names:
             return cls([], {})
         words = vocabulary(tables, names).where("value is not null")
-        rows = words.limit(max_categories + 1).collect()
-        if len(rows) > max_categories:
+        rows = (words if max_categories is None else words.limit(max_categories + 1)).collect()
+        if max_categories is not None and len(rows) > max_categories:
             raise ValueError(f"more than {max_categories} categories: use BinaryEncoder or one_hot_vector")
         return cls(names, {n: _sorted([r["value"] for r in rows if r["column"] == n]) for n in names})
 
@@ -155,12 +156,12 @@ def one_hot_encode(df: DataFrame, target: str | None = None) -> DataFrame:
 
 
 def one_hot_vector(df: DataFrame, columns: Sequence[str], output: str = "categories",
-                   max_categories: int = 1_000_000) -> DataFrame:
+                   max_categories: int | None = None) -> DataFrame:
     """Sparse one-hot vectors for wide vocabularies, with MLlib's indexer and encoder.
 
-    The indexer keeps its labels on the driver, so their number is checked first.
+    The indexer keeps its labels on the driver; ``max_categories`` refuses wider tables if a caller wants that.
     """
-    if vocabulary([df], columns).limit(max_categories + 1).count() > max_categories:
+    if max_categories is not None and vocabulary([df], columns).limit(max_categories + 1).count() > max_categories:
         raise ValueError(f"more than {max_categories} categories: use BinaryEncoder")
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder as VectorEncoder

@@ -26,6 +26,13 @@ def number_text(x: float) -> str:
     return "0" if text in ("-0", "") else text
 
 
+def validate_all(hierarchies: Sequence[Hierarchy]) -> None:
+    """Refuse lookup hierarchies that would multiply or confuse rows; each is examined once."""
+    for h in hierarchies:
+        if getattr(h, "validate", None) and not getattr(h, "checked", True):
+            h.validate()
+
+
 def label_column(attribute: str) -> str:
     return f"_labels_{attribute}"
 
@@ -153,6 +160,7 @@ class IntervalHierarchy(Hierarchy):
         inside = (x >= F.lit(self.bounds[0])) & (x < F.lit(self.bounds[-1]))
         if self.equal_width:
             high = self.bounds[-1] - END_MARGIN
+            inside = inside | ((x >= F.lit(self.bounds[0])) & (x <= F.lit(high)))  # the margin is lost in large numbers
             return F.when(inside, bin_index(x, self.bounds[0], high, self.intervals))
         out = F.lit(None).cast("int")
         for i in reversed(range(self.intervals)):

@@ -26,7 +26,7 @@ from ..functions.columns import col
 from ..functions.joins import lookup
 from ..functions.staging import stage
 from .anonymity import MARGIN, KAnonymity, PrivacyModel, class_table, frequency_table, sensitive_of
-from .hierarchy import Hierarchy, label_column
+from .hierarchy import Hierarchy, label_column, validate_all
 from .loss import ground_values, label_weights
 
 OBJECTIVES = ("loss", "entropy")
@@ -241,11 +241,9 @@ def find_optimum(df: DataFrame | None, hierarchies: Sequence[Hierarchy],
                  one_job_cells: int = ONE_JOB_CELLS) -> Optimum:
     """The node with the lowest cost within the suppression limit; ties go to the lowest total level, then levels."""
     sensitive = sensitive_of(models)
+    validate_all(hierarchies)
     if frequency is None:
         frequency = frequency_table(df, hierarchies, sensitive)
-    for h in hierarchies:
-        if getattr(h, "validate", None) and not getattr(h, "checked", True):
-            h.validate()
     lattice = build_lattice(frequency, hierarchies, objective, sensitive)
     nodes = lattice.nodes()
     if lattice.cell_count * len(nodes) <= one_job_cells:

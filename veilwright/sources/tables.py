@@ -20,10 +20,11 @@ def dataset_name(path: str) -> str:
     return os.path.splitext(os.path.basename(path.rstrip("/")))[0]
 
 
-def _reader(spark: SparkSession, sep: str):
+def _reader(spark: SparkSession, sep: str, multi_line: bool):
     return (
         spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-        .option("encoding", "UTF-8")
+        .option("encoding", "UTF-8").option("multiLine", multi_line)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     )
 
 
@@ -56,17 +57,20 @@ def _typed(text: DataFrame) -> DataFrame:
 
 
 def load_table(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None,
-               na_tokens: Sequence[str] = NA_TOKENS) -> tuple[DataFrame, str]:
+               na_tokens: Sequence[str] = NA_TOKENS, multi_line: bool = True) -> tuple[DataFrame, str]:
     """Read delimited text with a header and return ``(table, name of the file without its ending)``.
 
     With ``schema`` nothing is scanned before the query runs: pass one for large inputs. Without it, types are
     found by one aggregate over the text, after missing-value tokens have become NULL, so a single ``NA`` does not
     turn a number column into text.
+
+    With ``multi_line`` quoted cells may hold line breaks, and one file is read by one task: write many files, as
+    ``write_table`` does. Turn it off for large single files that are known to have no such cell, which can then be split.
     """
-    text = _reader(spark, sep).csv(path)
+    text = _reader(spark, sep, multi_line).csv(path)
     if schema is not None:
         names = [f.name for f in schema.fields]
-        text = _reader(spark, sep).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
+        text = _reader(spark, sep, multi_line).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
     cleaned = text.select(
         *[F.when(~col(n).isin(*na_tokens), col(n)).alias(n) for n in text.columns]
     )
@@ -95,7 +99,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ",")
     if fmt == "parquet":
         writer.parquet(path)
     elif fmt == "csv":
-        writer.option("header", True).option("sep", sep).option("escape", '"').csv(path)
+        writer.option("header", True).option("sep", sep).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+            .option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         raise ValueError(f"unknown format {fmt!r}: parquet or csv")
     return path
