@@ -43,7 +43,7 @@ class Toxicity:
     modulus: int = 4
     held: int = 2
     sample: int = 3000
-    landmarks: int = 120
+    landmarks: int = 56
     contrast: int = 8
     decay: float = 0.75
     least_documents: int = 3
@@ -68,19 +68,18 @@ def triples(words: list[str], decay: float) -> tuple[np.ndarray, np.ndarray, np.
     owner = np.repeat(np.arange(len(words)), lens)
     ends = np.repeat(np.cumsum(lens), lens)
     at = np.arange(len(codes))
-    keys, weights = [], []
+    # A key holds word, subsequence and span, so one sort of numbers brings equal subsequences of a word together.
+    keys = []
     for j, k in STEPS.tolist():
         i = at[at + k < ends]
-        keys.append((owner[i] << 15) | (codes[i] << 10) | (codes[i + j] << 5) | codes[i + k])
-        weights.append(np.full(len(i), decay ** (k + 1), np.float32))
+        keys.append((owner[i] << 18) | (codes[i] << 13) | (codes[i + j] << 8) | (codes[i + k] << 3) | k)
     # Words of one or two characters have no triple: they stand for themselves by a padded one.
     short = np.flatnonzero((lens > 0) & (lens < 3))
     first = (np.cumsum(lens) - lens)[short]
-    keys.append((short << 15) | (codes[first] << 10) | (codes[first + lens[short] - 1] << 5) | 31)
-    weights.append(np.ones(len(short), np.float32))
-    key, weight = np.concatenate(keys), np.concatenate(weights)
-    order = np.argsort(key, kind="stable")
-    key, weight = key[order], weight[order]
+    keys.append((short << 18) | (codes[first] << 13) | (codes[first + lens[short] - 1] << 8) | (31 << 3))
+    key = np.sort(np.concatenate(keys))
+    weight = (decay ** (np.arange(8) + 1)).astype(np.float32)[key & 7]
+    key >>= 3
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
     key, weight = key[start], np.add.reduceat(weight, start) if len(start) else weight
     norm = np.sqrt(np.bincount(key >> 15, weight.astype(np.float64) ** 2, len(words)))
