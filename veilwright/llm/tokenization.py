@@ -12,6 +12,7 @@ import json
 import os
 from array import array
 from collections.abc import Sequence
+from itertools import filterfalse
 
 import numpy as np
 import regex
@@ -24,6 +25,7 @@ BYTE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{
 WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 LIMIT = 900_000
+CHARS = 4_000_000
 
 
 class Encoder:
@@ -48,11 +50,10 @@ class Encoder:
     def _pack(self, encodings) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in encodings]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: set[str]) -> None:
         known, parts, blank = self.known, self.parts, " " if self.keeps_space else ""
-        one: dict[str, str] = {}  # pieces that are a single part
+        words, ended, whole = [], [], []  # ended: a word with a comma or stop after it
         more: dict[str, list[str]] = {}
-        whole = []
         for p in pieces:
             if not (p.isascii() or max(p) < "Ā"):  # beyond Latin-1, engines may split and lower-case in different ways
                 if UNUSUAL.search(p):
@@ -60,19 +61,21 @@ class Encoder:
                 else:
                     whole.append(p)
             elif p.isalpha():
-                one[p] = blank + p if blank else p.lower()
+                words.append(p)
             elif p[-1] in ",." and p[:-1].isalpha():
-                more[p] = [blank + p[:-1] if blank else p[:-1].lower(), p[-1]]
+                ended.append(p)
             elif UNUSUAL.search(p):
                 known[p] = False
             elif blank:
                 more[p] = BYTE_PARTS.findall(p if p[0] == "\n" else " " + p)
             else:
                 more[p] = WORD_PARTS.findall(p.lower())
-        needed = set(one.values()).union(*more.values())
-        new = [w for w in needed if w not in parts]
+        words += {p[:-1] for p in ended}.difference(known, words)
+        alone = [blank + w for w in words] if blank else [w.lower() for w in words]
+        known.update(zip(words, self._pack(self.part.encode_batch_fast(alone, add_special_tokens=False)), strict=True))
+        new = [w for w in {",", "."}.union(*more.values()) if w not in parts]
         parts.update(zip(new, self._pack(self.part.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        known.update(zip(one, map(parts.__getitem__, one.values()), strict=True))
+        known.update([(p, known[p[:-1]] + parts[p[-1]]) for p in ended])
         for p, ws in more.items():
             known[p] = b"".join([parts[w] for w in ws])
         texts = [p if p[0] == "\n" else blank + p for p in whole]
@@ -82,41 +85,41 @@ class Encoder:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def ids(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        """The ids of each text; of NULL as of an empty text."""
+        """The ids of each text; of NULL as of an empty text. Some ``CHARS`` characters are in pieces at a time."""
+        out, some, size = [], [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t or "")
+            if size > CHARS:
+                out += self._ids(some)
+                some, size = [], 0
+        return out + self._ids(some)
+
+    def _ids(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > LIMIT:
             self.known.clear()
         if len(self.parts) > LIMIT:
             self.parts.clear()
-        get = self.known.get
-        cut, found, new = [], [], set()
+        cut, new = [], set()
         for t in texts:
             # A text begins like a line: its first piece is kept as one that follows a line feed.
-            pieces = ("\n" + t).replace("\n", " \n").split(" ")[1:] if t else []
-            if "" in pieces or "\n" in pieces:
-                cut.append(None)
-                found.append(None)
+            s = ("\n" + t).replace("\n", " \n") if t else ""
+            if "  " in s or " \n " in s or s.endswith((" ", " \n")):
+                cut.append(None)  # white space runs on
                 continue
-            ids = list(map(get, pieces))
-            if None in ids:
-                new.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
-                cut.append(pieces)
-            else:
-                cut.append(None)
-            found.append(ids)
+            pieces = s.split(" ")[1:]
+            new.update(filterfalse(self.known.__contains__, pieces))
+            cut.append(pieces)
         if new:
-            self._learn(list(new))
-        feed = self._whole("\n") if self.keeps_space else b""
+            self._learn(new)
+        # Before a character that is not white space a line feed is a part, and so ids, of its own.
+        feed = len(self._whole("\n")) if self.keeps_space else 0
         out = []
-        for t, pieces, ids in zip(texts, cut, found, strict=True):
-            if pieces is not None:
-                ids = [get(p) if x is None else x for p, x in zip(pieces, ids, strict=True)]
-            if ids is None or False in ids:
+        for t, pieces in zip(texts, cut, strict=True):
+            try:
+                data = self._whole(t) if pieces is None else b"".join(map(self.known.get, pieces))[feed:]
+            except TypeError:  # a piece is unusual
                 data = self._whole(t)
-            else:
-                data = b"".join(ids)
-                if ids and self.keeps_space:
-                    # Before a character that is not white space a line feed is a part, and so ids, of its own.
-                    data = data[len(feed):]
             out.append(np.frombuffer(data, self.dtype))
         return out
 
