@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import as_number, col, field_type
 from ..functions.joins import lookup
+from ..functions.staging import stage
 from .anonymity import Anonymised, KAnonymity, generalised, with_generalised
 from .hierarchy import TOP, Hierarchy, label_column
 
@@ -71,7 +72,9 @@ def _node_weights(a: Anonymised) -> DataFrame:
         lambda out, h: F.when(F.col("attribute") == h.attribute, F.lit(a.node[h.attribute])).otherwise(out),
         a.hierarchies, F.lit(-1),
     )
-    return label_weights(ground_values(a.frequency, a.hierarchies), a.hierarchies).where(F.col("level") == level)
+    # Staged: domain sizes, leaves and entropies all read it, and small sides of joins are seen to be small.
+    return stage(label_weights(ground_values(a.frequency, a.hierarchies), a.hierarchies).where(F.col("level") == level),
+                 "weights")
 
 
 def _domain_sizes(weights: DataFrame) -> dict[str, int]:
@@ -255,7 +258,7 @@ def attribute_report(a: Anonymised) -> DataFrame:
 def loss_report(a: Anonymised) -> DataFrame:
     """All metrics as ``(metric, value)`` rows: quality, class statistics and suppression."""
     weights = _node_weights(a)
-    leaves = classes_with_leaves(a, weights)
+    leaves = stage(classes_with_leaves(a, weights), "leaves")
 
     def rows(df: DataFrame, **names: str) -> DataFrame:
         parts = [F.struct(F.lit(m).alias("metric"), col(c).cast("double").alias("value")) for m, c in names.items()]
