@@ -17,6 +17,9 @@ from veilwright.llm import decontamination, jaccard_join, packing, quality, toxi
 from veilwright.llm.common import table
 from veilwright.llm.queries import WORD_BPE
 
+#: What counts as a near copy in a corpus; the defaults of jaccard_join are those of the op1 query.
+NEAR = jaccard_join.JaccardJoin(words=5, percent=80)
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -44,7 +47,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the smallest doc_id. Rows without an id are in no group."""
-    found = stage(jaccard_join.jaccard_join(docs), "found")
+    found = stage(jaccard_join.jaccard_join(docs, NEAR), "found")
     rest = _without(docs, found.where("doc_id <> component_id"), _text_key())
     if not found.where("doc_id is not null").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
         return rest

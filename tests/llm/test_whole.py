@@ -2,7 +2,9 @@
 
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
+from conftest import SF
 from llm.conftest import PROSE, frame
 
 from veilwright.llm import jaccard_join
@@ -54,3 +56,23 @@ def test_join_of_many_near_copies_of_one_group(spark):
     rng = np.random.default_rng(8)
     docs = edited(rng, [60] * 3 + [4, 9, 300], 40, 40)
     assert found(spark, docs) == joined(docs, 3, 90)
+
+
+def test_near_duplicates_of_the_pipeline(spark):
+    rng = np.random.default_rng(5)
+    sizes = [int(x) for x in rng.integers(5, 400, 14)]
+    docs = edited(rng, sizes, 12, 40)
+    loose, strict = joined(docs, 5, 80), joined(docs, 3, 90)
+    assert found(spark, docs, corpus_pipeline.NEAR) == loose
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, docs), SF).collect()} == {
+        d for d, c, _ in loose if d == c} != {d for d, c, _ in strict if d == c}
+
+
+def test_join_meets_few_at_a_low_limit():
+    """Few fingerprints say nothing: texts that have no shingle in common share none."""
+    rng = np.random.default_rng(6)
+    seen = Counter()
+    for i in range(600):
+        h = jaccard_join.shingles(" ".join(f"x{i}_{k}" for k in range(int(rng.integers(20, 400)))).encode(), 5)
+        seen.update(set(jaccard_join.signatures(h, corpus_pipeline.NEAR).tolist()))
+    assert sum(n > 1 for n in seen.values()) <= 10
