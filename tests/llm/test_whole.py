@@ -7,7 +7,7 @@ import numpy as np
 from conftest import SF
 from llm.conftest import PROSE, frame
 
-from veilwright.llm import jaccard_join
+from veilwright.llm import html_text, jaccard_join
 
 
 def joined(docs, words, percent):
@@ -76,3 +76,19 @@ def test_join_meets_few_at_a_low_limit():
         h = jaccard_join.shingles(" ".join(f"x{i}_{k}" for k in range(int(rng.integers(20, 400)))).encode(), 5)
         seen.update(set(jaccard_join.signatures(h, corpus_pipeline.NEAR).tolist()))
     assert sum(n > 1 for n in seen.values()) <= 10
+
+
+def test_html_below_many_open_elements():
+    page = ("a<p style='display:none'>no</p><template>no</template><noscript>no</noscript><ul><li>x<li>y</ul>"
+            "<table><tr><th>name<th>n<tr><td>long name<td>1</table><b>z</b> end<div>block</div>tail")
+    plain = html_text.extract(page)
+    assert "no" not in plain.split() and "- x\n- y" in plain and "long name  1" in plain
+    for tag in ("div", "font", "span"):
+        assert html_text.extract(f"<{tag}>" * 300 + page) == plain
+    assert html_text.extract("<font>" * 100_000 + page) == plain
+    assert html_text.extract("<p><table><tr><td>" + "<div>" * 20_000 + "deep</div>er") == "deep\ner"
+
+
+def test_html_drawings_and_formulas():
+    assert html_text.extract("<svg><title>t</title><desc>no</desc><path d='x'/><g/><text>drawn</text></svg> after") == "drawn after"
+    assert html_text.extract("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>") == "x=1"

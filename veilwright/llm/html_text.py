@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +21,7 @@ from .common import arrays
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 UNSEEN = frozenset("script style template noscript head title meta link iframe noembed noframes datalist object "
-                   "audio video canvas svg math select textarea param source track".split())
+                   "audio video canvas select textarea param source track".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address form li dt dd tr td th hr "
                            "caption thead tbody tfoot figcaption details summary center legend dir menu hgroup".split())
@@ -37,7 +37,8 @@ IMPLIED = {
     "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 SCOPE = frozenset("table td th caption button object html template".split())
-DEPTH = 200  # elements nested deeper are read as inline
+#: In drawings and formulas: what is not shown there.
+FOREIGN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
 WIDEST = 40  # a table column is padded to so many characters at most; longer cells keep their text
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
@@ -65,17 +66,25 @@ def _attributes(source: str) -> dict[str, str]:
 def parse(page: str) -> Node:
     root = Node("html", {})
     stack = [root]
+    places: dict[str, list[int]] = {}  # where a tag is open above the root, so that no open element is looked at twice
     at = 0
 
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        for node in stack[i:]:
+            places[node.tag].pop()
+        del stack[i:]
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def end(tags: set, fence: set) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in fence:
-                return
-            if stack[i].tag in tags:
-                del stack[i:]
-                tags = tags & {"td", "th", "tr", "tbody", "thead", "tfoot"} if stack[-1].tag in tags else set()
-                if not tags:
-                    return
+        while tags and (i := last(tags)) > last(fence):
+            cut(i)
+            tags = tags & {"td", "th", "tr", "tbody", "thead", "tfoot"} if stack[-1].tag in tags else set()
 
     while at < len(page):
         m = TOKEN.match(page, at)
@@ -88,15 +97,11 @@ def parse(page: str) -> Node:
             continue
         tag = named[1].lower()
         if token[1] == "/":
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            i = last((tag,))
+            if tag == "p" and not i:
                 stack[-1].children.append(Node("p", {}))
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and tag not in BLOCK:
-                    break
+            elif i and (tag in BLOCK or i >= last(SCOPE)):
+                cut(i)
             continue
         attributes = _attributes(token[named.end():-1])
         if tag in ("html", "body"):
@@ -111,17 +116,22 @@ def parse(page: str) -> Node:
             if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 row = Node("tr", {})
                 stack[-1].children.append(row)
-                stack.append(row)
+                push(row)
         elif stack[-1].tag == "head" and tag not in UNSEEN and tag != "base":
-            stack.pop()
+            cut(len(stack) - 1)
+        foreign = tag in ("svg", "math") or places.get("svg") or places.get("math")
+        if foreign and tag in FOREIGN:
+            attributes["hidden"] = ""
         node = Node(tag, attributes)
         stack[-1].children.append(node)
+        if foreign and token.endswith("/>"):
+            continue
         if tag in RAW_END and tag != "plaintext":
             stop = RAW_END[tag].search(page, at)
             node.children.append(page[at:stop.start() if stop else len(page)])
             at = stop.end() if stop else len(page)
-        elif tag not in VOID and not (token.endswith("/>") and tag in ("path", "circle", "rect")) and len(stack) < DEPTH:
-            stack.append(node)
+        elif tag not in VOID and not (token.endswith("/>") and tag in ("path", "circle", "rect")):
+            push(node)
     return root
 
 
@@ -186,13 +196,29 @@ class _Page:
         return lines
 
 
-def _lines(node: Node, kept: bool = False) -> list[str]:
+Steps = Generator["Steps", list[str] | None, list[str] | None]
+
+
+def _run(steps: Steps) -> list[str]:
+    """What ``steps`` return; each yields the steps whose result it waits for, so depth costs no recursion."""
+    waiting, value = [steps], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as e:
+            waiting.pop()
+            value = e.value
+    return value
+
+
+def _lines(node: Node, kept: bool = False) -> Steps:
     page = _Page()
-    _inside(node, page, kept)
+    yield _inside(node, page, kept)
     return page.done()
 
 
-def _inside(node: Node, page: _Page, kept: bool) -> None:
+def _inside(node: Node, page: _Page, kept: bool) -> Steps:
     for x in node.children:
         if isinstance(x, str):
             page.text(x, kept)
@@ -205,40 +231,40 @@ def _inside(node: Node, page: _Page, kept: bool) -> None:
             page.stop()
         elif x.tag == "table":
             page.stop(2)
-            page.block(_table(x))
+            page.block((yield _table(x)))
             page.stop(2)
         elif x.tag in ("ul", "ol", "menu", "dir"):
             gap = 1 if node.tag == "li" else 2
             page.stop(gap)
-            page.block(_list(x))
+            page.block((yield _list(x)))
             page.stop(gap)
         elif x.tag == "li":
             page.stop()
-            page.block(_item("- ", x))
+            page.block((yield _item("- ", x)))
             page.stop()
         elif x.tag == "dd":
             page.stop()
-            page.block(["    " + s if s else s for s in _lines(x)])
+            page.block(["    " + s if s else s for s in (yield _lines(x))])
             page.stop()
         elif x.tag in BLOCK:
             gap = 2 if x.tag in SPACED else 1
             page.stop(gap)
-            _inside(x, page, kept or x.tag == "pre")
+            yield _inside(x, page, kept or x.tag == "pre")
             page.stop(gap)
         elif x.tag == "q":
             page.put('"')
-            _inside(x, page, kept)
+            yield _inside(x, page, kept)
             page.put('"')
         else:
-            _inside(x, page, kept)
+            yield _inside(x, page, kept)
 
 
-def _item(mark: str, node: Node) -> list[str]:
-    lines = _lines(node)
+def _item(mark: str, node: Node) -> Steps:
+    lines = yield _lines(node)
     return [(mark if i == 0 else " " * len(mark)) + s if s else s for i, s in enumerate(lines)]
 
 
-def _list(node: Node) -> list[str]:
+def _list(node: Node) -> Steps:
     out: list[str] = []
     start = node.attributes.get("start", "1")
     number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
@@ -248,10 +274,10 @@ def _list(node: Node) -> list[str]:
                 out.append(BLANKS.sub(" ", x.strip()))
         elif visible(x):
             if x.tag == "li":
-                out += _item(f"{number}. " if node.tag == "ol" else "- ", x)
+                out += yield _item(f"{number}. " if node.tag == "ol" else "- ", x)
                 number += 1
             else:
-                out += ["  " + s if s else s for s in _lines(_wrap(x))]
+                out += ["  " + s if s else s for s in (yield _lines(_wrap(x)))]
     return out
 
 
@@ -261,11 +287,11 @@ def _wrap(node: Node) -> Node:
     return outer
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node) -> Steps:
     above: list[str] = []
     rows: list[list[tuple[list[str], int]]] = []
 
-    def walk(n: Node) -> None:
+    def walk(n: Node) -> Steps:
         for x in n.children:
             if isinstance(x, str):
                 if x.strip():
@@ -273,7 +299,7 @@ def _table(node: Node) -> list[str]:
             elif not visible(x) or x.tag in ("col", "colgroup"):
                 continue
             elif x.tag in ("tbody", "thead", "tfoot"):
-                walk(x)
+                yield walk(x)
             elif x.tag == "tr":
                 cells = []
                 for c in x.children:
@@ -282,14 +308,14 @@ def _table(node: Node) -> list[str]:
                             cells.append(([BLANKS.sub(" ", c.strip())], 1))
                     elif visible(c):
                         span = c.attributes.get("colspan", "1")
-                        cells.append((_lines(c if c.tag in ("td", "th") else _wrap(c)),
+                        cells.append(((yield _lines(c if c.tag in ("td", "th") else _wrap(c))),
                                       max(1, min(int(span), 1000)) if span.isascii() and span.isdigit() else 1))
                 if cells:
                     rows.append(cells)
             else:
-                above.extend(_lines(_wrap(x)))
+                above.extend((yield _lines(_wrap(x))))
 
-    walk(node)
+    yield walk(node)
     width: dict[int, int] = {}
     for cells in rows:
         at = 0
@@ -311,7 +337,7 @@ def _table(node: Node) -> list[str]:
 
 def extract(page: str | None) -> str:
     """The visible text of a page; of NULL or an empty page the empty text."""
-    return "\n".join(_lines(parse(page))) if page else ""
+    return "\n".join(_run(_lines(parse(page)))) if page else ""
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
