@@ -1,13 +1,13 @@
 """Operators on inputs that only the whole job gets right."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
 from conftest import SF
 from llm.conftest import PROSE, frame
 
-from veilwright.llm import html_text, jaccard_join
+from veilwright.llm import html_text, jaccard_join, sharding
 
 
 def joined(docs, words, percent):
@@ -92,3 +92,25 @@ def test_html_below_many_open_elements():
 def test_html_drawings_and_formulas():
     assert html_text.extract("<svg><title>t</title><desc>no</desc><path d='x'/><g/><text>drawn</text></svg> after") == "drawn after"
     assert html_text.extract("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>") == "x=1"
+
+
+def test_shards_of_a_hot_group_next_to_many_pairs(spark):
+    texts = ["hot"] * 1000 + [f"pair {i // 2}" for i in range(1600)] + ["warm"] * 150 + [f"text {i}" for i in range(250)]
+    got = sharding.shard(frame(spark, list(enumerate(texts)))).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == len(texts) and max(sizes.values()) - min(sizes.values()) <= 1
+    homes = defaultdict(set)
+    for r in got:
+        homes[texts[r.doc_id]].add(r.shard)
+    assert len(homes["hot"]) <= 7 and len(homes["warm"]) == 1  # 187 rows a shard: five full ones and a rest of 65
+    assert sum(len(homes[f"pair {i}"]) > 1 for i in range(800)) <= 16
+
+
+def test_shards_of_groups_that_leave_no_room(spark):
+    texts = [f"group {i % 24}" for i in range(480)]  # 30 rows a shard, groups of 20: every third one must be split
+    got = sharding.shard(frame(spark, list(enumerate(texts)))).collect()
+    homes = defaultdict(set)
+    for r in got:
+        homes[texts[r.doc_id]].add(r.shard)
+    assert set(Counter(r.shard for r in got).values()) == {30}
+    assert sorted(len(s) for s in homes.values()) == [1] * 16 + [2] * 8

@@ -6,13 +6,15 @@ accepts whole moves, in an order by hash, as long as the linked rows it then hol
 turns to shards with room in the next round. Documents without links have no wish. A last step evens the counts out:
 shards above their quota hand over surplus rows, unlinked ones first, to shards below it.
 
-The law is ``rows``: counts at most one apart. A group larger than a quota is cut into blocks of that size first, so
-copies that cannot share a shard are split into few parts. Texts are reduced to hashes before anything is shuffled.
+The law is ``rows``: counts at most one apart. A group larger than a quota is cut into blocks of that size first; full blocks
+get a shard each, where nothing else starts. Rounds go on until no group is split or nothing moves any more; the groups that
+are left are laid one after the other into the room of the shards, so each is split into few parts. Texts are reduced to hashes before anything is shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from .common import draw_of, running
 
 @dataclass(frozen=True)
 class Sharding:
+    """After ``rounds`` rounds, the first one that moves nothing is the last."""
+
     shards: int = 16
     rounds: int = 6
 
@@ -64,26 +68,26 @@ def shard(docs: DataFrame, p: Sharding = Sharding()) -> DataFrame:
     # A group beyond a quota is numbered and cut into blocks that fill a shard each.
     large = running(joined.where(F.col("members") > block), keys, draw, [draw, F.col("doc_id")], F.lit(1), "rank") \
         .withColumn("part", F.floor(F.col("rank") / block)).drop("rank")
-    start = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(1)), F.lit(p.shards)).cast("int")
+    full, filled = F.lit(None).cast("int"), 0
+    for g in sizes.where(F.col("members") > block).orderBy(F.desc("members"), *[f"_{k}" for k in keys]).collect():
+        mine = (F.col("members") > block) & (F.col("part") < g.members // block)
+        for k in keys:
+            mine = mine & (F.col(k) == F.lit(g[f"_{k}"]))
+        full = F.when(mine, F.pmod(F.lit(filled) + F.col("part"), F.lit(p.shards)).cast("int")).otherwise(full)
+        filled += g.members // block
+    free = list(range(filled, p.shards)) or list(range(p.shards))
+    start = F.coalesce(full, _lookup(free, F.pmod(F.xxhash64("doc_id", "text_key", F.lit(1)), F.lit(len(free)))).cast("int"))
     state = stage(alone.unionByName(some).unionByName(large).select(
         "doc_id", *keys, F.when(F.col("part").isNotNull(), F.xxhash64("text_key", "part")).alias("group"),
         start.alias("shard")), "state")
 
     linked = state.where("group is not null").groupBy("group", "shard").agg(F.count(F.lit(1)).alias("held"))
     wishes = stage(linked, "labels")
-    for turn in range(p.rounds):
-        moved = _round(wishes, quota, turn, p)
-        if moved is None:
+    for turn in count():
+        wishes, moved = _round(wishes, quota, turn, p)
+        if moved is None or (not moved and turn >= p.rounds - 1):
             break
-        wishes = moved
-    home = _main(wishes).select(F.col("group").alias("_group"), F.col("shard").alias("_home"))
-    spread = wishes.groupBy("group").count().where("count > 1").select(F.col("group").alias("_split"))
-    settled = state.join(home, F.col("group") == F.col("_group"), "left").join(
-        spread, F.col("group") == F.col("_split"), "left")
-    # A group that was moved whole sits at its home; members of one that was not stay where they are.
-    placed = stage(settled.select("doc_id", *keys, "group", F.when(
-        F.col("_group").isNotNull() & F.col("_split").isNull(), F.col("_home")).otherwise(F.col("shard")).alias("shard")),
-        "placed")
+    placed = stage(_settle(state, wishes, quota, draw, p).select("doc_id", *keys, "group", "shard"), "placed")
     even = _even_out(placed, quota, p)
     slots = running(even, ["shard"], draw_of(F.col("doc_id"), F.col("text_key"), F.lit(2)),
                     [F.col("doc_id"), F.col("text_key")], F.lit(1), "slot")
@@ -91,18 +95,43 @@ def shard(docs: DataFrame, p: Sharding = Sharding()) -> DataFrame:
                         "slot", F.lit(None).cast("int").alias("grown_shard"), "text_key")
 
 
-def _main(labels: DataFrame) -> DataFrame:
-    """The shard that holds most of a group; ties by hash, so that they spread evenly."""
-    rank = F.struct(F.col("held"), F.xxhash64("group", "shard"), F.col("shard"))
-    return labels.groupBy("group").agg(F.max(rank).alias("best"), F.sum("held").alias("members")).select(
-        "group", F.col("best.shard").alias("shard"), F.col("best.held").alias("held"), "members")
+def _lead(members, group, quota: list[int]):
+    """A place in [0, 1): large groups come first, the many small ones in an order by hash."""
+    share = F.least(F.lit(1.0), members / max(1, max(quota)))
+    return F.when(share > 0.125, (1 - share) / 2).otherwise(0.5 + draw_of(group) / 2)
 
 
-def _round(labels: DataFrame, quota: list[int], turn: int, p: Sharding) -> DataFrame | None:
-    """One round over (group, shard, held); None when no group is split."""
+def _settle(state: DataFrame, labels: DataFrame, quota: list[int], draw, p: Sharding) -> DataFrame:
+    """Rows at the homes of their groups. Groups without one are laid end to end into the room that is left, widest first."""
+    whole = labels.groupBy("group").agg(F.count(F.lit(1)).alias("places"), F.sum("held").alias("members"),
+                                        F.first("shard").alias("shard"))
+    homes = stage(whole.where("places = 1"), "homes")
+    lead = _lead(F.col("members"), F.col("group"), quota)
+    refused = stage(running(whole.where("places > 1"), [], lead, [lead, F.col("group")], F.col("members"), "ahead").select(
+        F.col("group").alias("_split"), "ahead"), "refused")
+    home = homes.select(F.col("group").alias("_group"), F.col("shard").alias("_home"))
+    placed = state.join(home, F.col("group") == F.col("_group"), "left").withColumn("shard", F.coalesce("_home", "shard"))
+    if not refused.limit(1).count():
+        return placed
+    fixed = {r[0]: r[1] for r in homes.groupBy("shard").agg(F.sum("members")).collect()}
+    room = {i: max(0, quota[i] - fixed.get(i, 0)) for i in range(p.shards)}
+    order = sorted(room, key=lambda i: (-room[i], i))
+    at = F.col("ahead") + F.col("rank")
+    target = F.lit(order[-1])
+    for k in range(p.shards - 2, -1, -1):
+        target = F.when(at < sum(room[i] for i in order[:k + 1]), F.lit(order[k])).otherwise(target)
+    same = F.col("group") == F.col("_split")
+    cut = running(state.join(refused, same), ["group"], draw, [draw, F.col("doc_id")], F.lit(1), "rank")
+    columns = state.columns
+    return placed.join(refused, same, "left_anti").select(columns).unionByName(
+        cut.withColumn("shard", target.cast("int")).select(columns))
+
+
+def _round(labels: DataFrame, quota: list[int], turn: int, p: Sharding) -> tuple[DataFrame, int | None]:
+    """One round over (group, shard, held), and how many groups moved; None when no group is split."""
     whole = labels.groupBy("group").agg(F.count(F.lit(1)).alias("places"), F.sum("held").alias("members"))
     if not whole.where("places > 1").limit(1).count():
-        return None
+        return labels, None
     settled = whole.where("places = 1").select(F.col("group").alias("_g"))
     fixed = {r[0]: r[1] for r in labels.join(settled, F.col("group") == F.col("_g")).groupBy("shard")
              .agg(F.sum("held")).collect()}
@@ -117,14 +146,12 @@ def _round(labels: DataFrame, quota: list[int], turn: int, p: Sharding) -> DataF
                     F.col("shard"))
     asked = fits.groupBy("group").agg(F.max(rank).alias("best"), F.first("members").alias("members")).select(
         "group", "members", F.when(F.col("best.fits"), F.col("best.shard")).otherwise(elsewhere).alias("shard"))
-    # Large groups come first, the many small ones in an order by hash.
-    share = F.least(F.lit(1.0), F.col("members") / max(1, max(quota)))
-    lead = F.when(share > 0.125, (1 - share) / 2).otherwise(0.5 + draw_of(F.col("group")) / 2)
+    lead = _lead(F.col("members"), F.col("group"), quota)
     queue = running(asked, ["shard"], lead, [lead, F.col("group")], F.col("members"), "ahead")
     accepted = stage(queue.where(F.col("ahead") + F.col("members") <= _lookup(room, F.col("shard")))
                      .select("group", "shard", F.col("members").alias("held")), "accepted")
     rest = labels.join(accepted.select(F.col("group").alias("_a")), F.col("group") == F.col("_a"), "left_anti")
-    return stage(rest.unionByName(accepted), "labels")
+    return stage(rest.unionByName(accepted), "labels"), accepted.count()
 
 
 def _even_out(placed: DataFrame, quota: list[int], p: Sharding) -> DataFrame:
