@@ -21,7 +21,7 @@ def test_stages_keep_columns_and_rows(spark):
     for (_, step), gone in zip(corpus_pipeline.STAGES[:4], (
             lambda d: quality.judge(d).where("not kept"),
             lambda d: toxicity.classify(d, table(spark, SF, "labels")).where("predicted = 1"),
-            lambda d: jaccard_join.jaccard_join(d).where("doc_id <> component_id"),
+            lambda d: jaccard_join.jaccard_join(d, corpus_pipeline.NEAR).where("doc_id <> component_id"),
             lambda d: decontamination.scan(d, table(spark, SF, "benchmark")).where("contaminated")), strict=True):
         kept = step(spark, docs, SF)
         assert kept.columns == docs.columns
@@ -43,4 +43,4 @@ def test_stages_take_odd_rows(spark, odd, none):
 
 
 def test_names():
-    assert len([n for n in JOBS if n.startswith("op")]) == 10 and "pipeline" in JOBS
+    assert len([n for n in JOBS if n.startswith("op")]) == 13 and "pipeline" in JOBS

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html_text, jaccard_join, packing, ppm, quality, repair, sharding, toxicity
+from . import (chat, collocations, decontamination, html_text, importance, jaccard_join, license_scan, packing, ppm, quality,
+               repair, sharding, toxicity)
 from .common import table
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +134,106 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(chat.as_events(conversations(spark, sf_dir)))
 
 
+@query("op11_phrase_collocations", rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, m, g, count(*) AS f FROM (
+    SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g
+    FROM w CROSS JOIN (VALUES (1), (2), (3), (4)) AS k(m) WHERE len(w) >= m)
+  GROUP BY lang, m, g HAVING count(*) >= 30),
+c AS (SELECT lang, m, g, f, string_split(g, ' ') AS w FROM g WHERE m > 1),
+cut AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT cut.lang, cut.g, cut.f AS a, k, x.f AS l, y.f AS r, (2000000::hugeint * cut.f) // (x.f + y.f) AS score
+  FROM cut JOIN g x ON x.lang = cut.lang AND x.g = array_to_string(cut.w[1:k], ' ')
+  JOIN g y ON y.lang = cut.lang AND y.g = array_to_string(cut.w[k + 1:cut.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+o AS (
+  SELECT lang, o, max(f) AS most FROM (
+    SELECT lang, f, array_to_string(w[i:i + q - 1], ' ') AS o FROM (
+      SELECT lang, f, w, m, q, unnest(range(1, m - q + 2)) AS i FROM c CROSS JOIN (VALUES (2), (3)) AS k(q) WHERE q < m))
+  GROUP BY lang, o)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.g) AS rank, b.g AS phrase,
+       b.a, b.l, b.r, n.n::bigint AS n, b.score::bigint AS score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN o ON o.lang = b.lang AND o.o = b.g
+WHERE o.most IS NULL OR 100 * o.most < 80 * b.a QUALIFY rank <= 2000""")
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@query("op12_importance_resampling", rf"""
+WITH t AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT range::bigint AS i FROM range(256)))),
+d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS w FROM d),
+q AS (SELECT unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+v AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM (SELECT w FROM e UNION ALL SELECT w FROM q)),
+y AS (
+  SELECT w, list_concat([4294967295], list_transform(range(0, len(h) // 2),
+    lambda i: ('0x' || substr(h, (2 * i + 1)::int, 2))::bigint)) AS y FROM v),
+k AS (
+  SELECT w, xor(list_reduce(y, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM y CROSS JOIN t),
+s AS (SELECT b, count(*) AS s FROM e JOIN k ON e.w = k.w GROUP BY b),
+u AS (SELECT b, count(*) AS t FROM q JOIN k ON q.w = k.w GROUP BY b),
+a AS (SELECT (SELECT count(*) FROM e)::double + 10000 AS big_s, (SELECT count(*) FROM q)::double + 10000 AS big_t),
+g AS (
+  SELECT s.b, floor(1000 * ln((coalesce(t, 0) + 1)::double * big_s / ((s + 1)::double * big_t)))::bigint AS gain
+  FROM s LEFT JOIN u ON s.b = u.b CROSS JOIN a),
+m AS (
+  SELECT doc_id, floor(sum(gain)::double / count(*))::bigint AS weight
+  FROM e JOIN k ON e.w = k.w JOIN g ON k.b = g.b GROUP BY doc_id),
+r AS (
+  SELECT d.doc_id, len(d.w)::bigint AS n_features, coalesce(m.weight, 0) AS weight, coalesce(m.weight, 0) + floor(-1000 * ln(-ln(
+      (('0x' || substr(sha256('2024:' || d.doc_id::varchar), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint AS score
+  FROM d LEFT JOIN m ON d.doc_id = m.doc_id),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE n_features >= 20)
+SELECT r.doc_id, n_features, weight, score, z.rank::bigint AS rank FROM r
+LEFT JOIN z ON z.doc_id = r.doc_id AND z.rank <= 10 * (SELECT count(*) FROM z) // 100""")
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def license_sql() -> str:
+    """Phrases by position in the list of words, templates as expressions over words written ``<word>``."""
+    found = []
+    for phrase, label in license_scan.PHRASES.items():
+        w = phrase.split(" ")
+        test = " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(w))
+        found.append(f"SELECT doc_id, '{label}' AS label, true AS base, i - 1 AS place, {len(w)} AS size FROM "
+                     f"(SELECT doc_id, w, unnest(range(1, len(w) - {len(w) - 2})) AS i FROM d WHERE len(w) >= {len(w)}) WHERE {test}")
+    for label, template in license_scan.TEMPLATES.items():
+        e = license_scan.expression(license_scan.parse(template))
+        found.append(f"SELECT doc_id, '{label}', false, NULL, len(string_split(x, '<')) - 1 FROM "
+                     f"(SELECT doc_id, unnest(regexp_extract_all(t, '{e}')) AS x FROM d)")
+    places = "\nUNION ALL ".join(found)
+    return rf"""
+WITH b AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT doc_id, w, array_to_string(list_transform(w, lambda x: '<' || x || '>'), '') AS t FROM b),
+p AS ({places}),
+s AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, label, sum(size) AS n FROM p GROUP BY doc_id, label) GROUP BY doc_id),
+a AS (
+  SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(place) AS first_word, max(place) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word,
+  last_word::bigint AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(s.n::double / len(d.w), 0.0::double) AS score
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id LEFT JOIN s ON d.doc_id = s.doc_id"""
+
+
+@query("op13_license_scans", license_sql())
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("places", "text_key")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
