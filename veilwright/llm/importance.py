@@ -147,14 +147,14 @@ def gains(corpus: DataFrame, target: DataFrame, p: Resampling) -> DataFrame:
     buckets = corpus.sparkSession.range(p.buckets).select(F.col("id").cast("int").alias("bucket"))
     both = buckets.join(corpus.withColumnRenamed("n", "s"), "bucket", "left").join(
         target.withColumnRenamed("n", "t"), "bucket", "left").fillna(0, ["s", "t"])
-    total = corpus.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_s")).crossJoin(
-        target.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_t")))  # one row with one row
+    whole = {"all_s": corpus.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar(),
+             "all_t": target.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()}
 
     def number(name: str, more: int) -> Column:
         return F.col(name).cast("double") + F.lit(float(more))
 
     ratio = number("t", 1) * number("all_s", p.buckets) / (number("s", 1) * number("all_t", p.buckets))
-    return both.join(F.broadcast(total)).select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).alias("gain"))
+    return both.withColumns(whole).select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).alias("gain"))
 
 
 WEIGHTS = "doc_id long, text_key long, n_words long, n_features long, weight long"
@@ -192,7 +192,7 @@ def resample(docs: DataFrame, target: DataFrame, p: Resampling = Resampling(), t
     """
     found = stage(features(docs, p), "features")
     wanted = features(target, p, target_id)
-    table = gains(histogram(found, p), histogram(wanted, p), p).orderBy("bucket").collect()
+    table = gains(stage(histogram(found, p), "histogram"), stage(histogram(wanted, p), "histogram"), p).orderBy("bucket").collect()
     gain = docs.sparkSession.sparkContext.broadcast(np.array([r.gain for r in table], np.int64))
     scored = stage(found.mapInArrow(_weigh(gain, p), WEIGHTS).withColumn("score", F.col("weight") + _noise(p)), "scores")
 

@@ -46,7 +46,7 @@ version <<var;name="version";original="3";match="[0-9]+";words="1-2">> of the Li
     "apache-2.0-notice": GRANT + 'Apache License<<beginOptional>>, Version<<endOptional>> 2.0',
     "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at
-<<beginOptional>>http<<var;name="s";original="";match="s|www";words="0-1">> www.apache.org/licenses/LICENSE-2.0<<endOptional>>
+<<beginOptional>><<var;name="scheme";original="http";match="https?";words="1-1">> www.apache.org/licenses/LICENSE-2.0<<endOptional>>
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
 BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
     "cc-by-notice": GRANT + '<<beginOptional>>a<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> CC BY '
