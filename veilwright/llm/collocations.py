@@ -6,8 +6,8 @@ The text's suffixes, cut off at ``longest`` words or the end of a piece, are par
    suffixes than the memory budget is heavy and is extended by another word in the next scan.
 2. The prefixes that are not heavy, in order, are cut into groups of one budget (less than two). Only the first prefix of each group and
    the heavy prefixes are broadcast: at most two entries per budget of words.
-3. Every suffix goes to the group of its prefix, equal ones of a task as one row with a count. A group is one task's work: it sorts
-   its suffixes, which are the leaves of its truncated subtree, and adds up leaf totals at each inner node. A node's prefixes lie on
+3. Every suffix goes to the group of its prefix, equal ones of a task with a count. A task sends one row to each group: the words in
+   use, and the suffixes as codes of these. A group is one task's work: it sorts its suffixes, which are the leaves of its truncated subtree, and adds up leaf totals at each inner node. A node's prefixes lie on
    its path, so their counts come with it.
 
 Scores need the counts of a phrase's last words too, which lie in other subtrees: a join of distinct phrases. Heavy ones are answered
@@ -48,7 +48,7 @@ class Collocations:
     inside: int = 80
     top: int = 2000
     scale: int = 2_000_000
-    budget: int = 2_000_000
+    budget: int = 1_000_000
     small: int = 50_000
     chunk: int = 4_000_000
 
@@ -228,45 +228,108 @@ def _partition(rows: DataFrame, p: Collocations) -> tuple[DataFrame, DataFrame,
     return totals, first, Partition(heavy, [(r.s.lang, bytes(r.s.prefix)) for r in begins])
 
 
-SUFFIXES = "group int, lang string, suffix binary, n long"
+SUFFIXES = "group int, lang string, words binary, codes binary, counts binary"
+
+
+class Outbox:
+    """Suffixes of one language on their way to the groups: codes of a task's own vocabulary, counts, and the group of each."""
+
+    def __init__(self) -> None:
+        self.words: dict[bytes, int] = {b"": 0}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, chunk: Chunk, windows: np.ndarray, n: np.ndarray, group: np.ndarray) -> None:
+        words = self.words
+        of = np.fromiter((words.setdefault(w, len(words)) for w in [b"", *list(chunk.codes)[1:]]), np.int32, len(chunk.codes))
+        codes = np.stack([of[_codes(windows, k)] for k in range(LONGEST)], axis=1)
+        self.parts.append((codes, n.astype(np.uint32), group))
+        self.size += len(n)
+
+    def rows(self) -> Iterator[tuple]:
+        """A row per group: the words its suffixes use, their codes among these, and counts."""
+        codes, n, group = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        spelled = list(self.words)
+        cuts = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)])).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = order[a:b]
+            used, place = np.unique(codes[own], return_inverse=True)
+            kind = "<u2" if len(used) <= 1 << 16 else "<u4"
+            yield (int(group[a]), b" ".join([spelled[i] for i in used.tolist()]), place.astype(kind).tobytes(),
+                   n[own].astype("<u4").tobytes())
 
 
 def _route(partition, limit: int):
-    """Distinct suffixes of a chunk with their counts and groups."""
+    """Distinct suffixes of a task with their counts, packed by group."""
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: Partition = partition.value
+        boxes: dict[str, Outbox] = {}
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for lang, box in boxes.items():
+                some, size = [], 0
+                for row in box.rows():
+                    some.append(row)
+                    size += sum(map(len, row[1:]))
+                    if size > 4_000_000:
+                        yield _packed(lang, some)
+                        some, size = [], 0
+                if some:
+                    yield _packed(lang, some)
+            boxes.clear()
+
         for lang, chunk in _chunks(batches, limit):
             windows, n = chunk.counted()
             if not len(windows):
                 continue
             spelled = _spelled(chunk)
-            suffixes = _joined(spelled, windows, LONGEST)
             # A word that is no heavy prefix decides alone, the few others with the words after them.
-            names = spelled.to_pylist()
-            by_word = np.array([-1 if (lang, w) in plan.heavy else plan.group(lang, w + b" ") for w in names], np.int32)
+            by_word = np.array([-1 if (lang, w) in plan.heavy else plan.group(lang, w + b" ") for w in spelled.to_pylist()], np.int32)
             group = by_word[_codes(windows, 0)]
             rest = np.flatnonzero(group < 0)
-            group[rest] = [plan.group(lang, x + b" ") for x in suffixes.take(pa.array(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(group), pa.array([lang] * len(group), pa.string()), suffixes, pa.array(n)],
-                ["group", "lang", "suffix", "n"])
+            if len(rest):
+                group[rest] = [plan.group(lang, x + b" ") for x in _joined(spelled, windows[rest], LONGEST).to_pylist()]
+            boxes.setdefault(lang, Outbox()).add(chunk, windows, n, group)
+            if sum(b.size for b in boxes.values()) >= limit:
+                yield from send()
+        yield from send()
     return job
 
 
+def _packed(lang: str, rows: list[tuple]) -> pa.RecordBatch:
+    group, *cells = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(group, pa.int32()), pa.array([lang] * len(group), pa.string()), *[pa.array(c, pa.binary()) for c in cells]],
+        ["group", "lang", "words", "codes", "counts"])
+
+
 NODES = "lang string, phrase string, words int, f long, prefixes array<long>"
 
 
-def subtree(langs: pa.Array, suffixes: pa.Array, n: np.ndarray, heavy: dict[tuple[str, bytes], int], least: int) -> list[tuple]:
+def unpack(rows: Iterator[tuple[str, bytes, bytes, bytes]]) -> tuple[list[str], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, words, and per leaf its language, its four word codes and its count, of all packed rows of a group."""
+    langs: dict[str, int] = {}
+    index: dict[bytes, int] = {}
+    of, code, n = [], [], []
+    for lang, words, codes, counts in rows:
+        spelled = words.split(b" ")
+        own = np.fromiter((index.setdefault(w, len(index)) for w in spelled), np.int64, len(spelled))
+        count = np.frombuffer(counts, "<u4")
+        kind = "<u2" if len(codes) == 2 * LONGEST * len(count) else "<u4"
+        code.append(own[np.frombuffer(codes, kind)].reshape(-1, LONGEST))
+        n.append(count.astype(np.int64))
+        of.append(np.full(len(count), langs.setdefault(lang, len(langs)), np.int64))
+    return list(langs), list(index), np.concatenate(of), np.concatenate(code), np.concatenate(n)
+
+
+def subtree(names: list[str], spelled: list[bytes], of: np.ndarray, code: np.ndarray, n: np.ndarray,
+            heavy: dict[tuple[str, bytes], int], least: int) -> list[tuple]:
     """Nodes (lang, phrase, words, count, counts of its proper prefixes) of the truncated suffix tree over the given leaves that
     occur ``least`` times or more. Heavy prefixes are not whole here: their counts are taken from ``heavy``."""
-    parts = pc.split_pattern(suffixes, b" ").flatten().dictionary_encode()
-    words = parts.dictionary
-    code = parts.indices.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, LONGEST)
-    lang = langs.dictionary_encode()
-    names = lang.dictionary.to_pylist()
-    spelled = words.to_pylist()
+    words = pa.array(spelled, pa.binary())
     empty = spelled.index(b"") if b"" in spelled else -1
-    of = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     order = np.lexsort(((code[:, 2] << 32) | code[:, 3], (code[:, 0] << 32) | code[:, 1], of))
     code, of, n = code[order], of[order], n[order]
     new = np.concatenate(([True], of[1:] != of[:-1]))
@@ -302,9 +365,8 @@ def subtree(langs: pa.Array, suffixes: pa.Array, n: np.ndarray, heavy: dict[tupl
 
 def _trees(partition, least: int):
     def job(table: pa.Table) -> pa.Table:
-        t = table.combine_chunks()
-        nodes = subtree(t["lang"].combine_chunks(), t["suffix"].combine_chunks(), t["n"].to_numpy(), partition.value.heavy,
-                        least) if t.num_rows else []
+        nodes = subtree(*unpack(zip(*[table.column(c).to_pylist() for c in ("lang", "words", "codes", "counts")], strict=True)),
+                        partition.value.heavy, least) if table.num_rows else []
         cells = list(zip(*nodes, strict=True)) if nodes else [[] for _ in range(5)]
         kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
         made = [pa.array(list(c), k) for c, k in zip(cells, kinds, strict=True)]
