@@ -1,13 +1,18 @@
 """Language-model scores by prediction by partial matching over bytes, next to a unigram base of words.
 
-*Model.* Counts of every byte after its last 4, 2, 1 and 0 bytes, gathered from all training texts. A byte is coded in its longest
-context; a byte that never followed there costs an escape (method C: as many escape counts as distinct followers), and the
-followers seen above are excluded from the next shorter context; below order 0 all bytes left are equally likely. The end of a
-text is a symbol too (0xFF, which UTF-8 never uses), so the probabilities of all texts sum to one. Contexts of order 4 are
-hashed into 2**17 slots: the model has a proven bound however large the corpus is, and contexts that meet in a slot share it.
-
-*Base.* A word's training count is needed at every place the word stands. Texts are cut into chunks of bounded size with their
-own vocabularies; only (word, chunk) pairs are shuffled to sum counts, then the counts of a chunk go back to it.
+*Model.* A trie of byte contexts: the counts of every byte after its last ``order`` bytes, and by summing along the path after fewer
+bytes, down to none. A byte is coded in its longest context; one that never followed there costs an escape, whose probability is
+estimated from the number of distinct followers (method D: q followers among n bytes leave q/2n to the escape, a follower seen c times
+gets (2c-1)/2n), and the followers seen above are excluded from the next shorter context. Below order 0 all bytes left are equally
+likely. The end of a text is a symbol too (0xFF, which UTF-8 never uses), so the probabilities of all texts sum to one.
+
+*Base.* The smoothed share of each word in the training texts.
+
+*Plan.* The trie grows with the corpus and is nowhere in one piece. Texts are cut into chunks of bounded size, each with its distinct
+words and its distinct (context, byte) pairs. A chunk sends them packed, one row to each bucket: words by hash, pairs by
+the two bytes before the coded one, so a bucket holds whole subtrees from depth two on; the two levels above them are a table of 256
+x 256 counts. A bucket adds the counts of all chunks up, works out counts and log probabilities once for each distinct key,
+and sends them back the same way. A common word or context is one entry per chunk, so no bucket grows with one key.
 """
 
 from __future__ import annotations
@@ -21,228 +26,305 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.staging import stage
-from .common import arrays, id_remainder, partitions, split_words, word_hashes
+from .common import arrays, id_remainder, mix, partitions, split_words, word_hashes
 
-ORDER, SLOTS, END = 4, 1 << 17, b"\xff"
-PAD = b"\x00" * ORDER
-UNSEEN = np.float16(1.0)  # where a log probability would stand
+END = b"\xff"
+WORD, PAIR, TEXT = 0, 1, 2  # kinds of rows, in the order in which a chunk is put together again
+DOCS = 60_000  # documents whose bytes are sorted together: an index has 16 bits
 
 
 @dataclass(frozen=True)
 class Scoring:
-    """Rows with crc32(doc_id) % ``held_modulus`` = 0 are held out. ``chunk_words``, ``chunk_bytes`` close a chunk."""
+    """Rows with crc32(doc_id) % ``held_modulus`` = 0 are held out. ``order``: bytes of context, 2 to 5. ``chunk_bytes`` close a
+    chunk (a longer text is one by itself); there is a bucket of either kind for every ``bucket_bytes`` of text, and
+    ``least_buckets`` at least."""
 
     held_modulus: int = 10
-    chunk_words: int = 1_000_000
-    chunk_bytes: int = 8_000_000
-    piece_bytes: int = 4_000_000
+    order: int = 5
+    chunk_bytes: int = 6_000_000
+    bucket_bytes: int = 64_000_000
+    least_buckets: int = 16
 
+    def __post_init__(self) -> None:
+        if not 2 <= self.order <= 5:
+            raise ValueError("order must be 2 to 5: a pair and the index of a document share 64 bits")
 
-def slot_of(context: np.ndarray) -> np.ndarray:
-    """The slot of a context of four bytes (a uint32)."""
-    return (context * np.uint32(2654435761)) >> np.uint32(15)
 
-
-def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts, padded and closed: the context before each coded byte, the byte, and where each text begins."""
-    b = np.frombuffer(b"".join([x for t in texts for x in (PAD, t, END)]), np.uint8).astype(np.uint32)
+def pairs_of(texts: list[bytes], order: int) -> np.ndarray:
+    """For each byte of each text and its end: the bytes before it, the last one highest, and below them the byte itself."""
+    pad = b"\x00" * order
+    b = np.frombuffer(b"".join([x for t in texts for x in (pad, t, END)]), np.uint8).astype(np.uint64)
     lens = np.array([len(t) for t in texts], np.int64) + 1
     coded = np.ones(len(b), bool)
-    first = np.cumsum(lens + ORDER) - lens - ORDER
-    for i in range(ORDER):
+    first = np.cumsum(lens + order) - lens - order
+    for i in range(order):
         coded[first + i] = False
-    context = np.zeros(len(b), np.uint32)
-    context[4:] = (b[:-4] << np.uint32(24)) | (b[1:-3] << np.uint32(16)) | (b[2:-2] << np.uint32(8)) | b[3:-1]
-    return context[coded], b[coded], np.cumsum(lens) - lens
+    keys = b.copy()
+    for j in range(1, order + 1):
+        keys[j:] |= b[:-j] << np.uint64(8 * (order + 1 - j))
+    return keys[coded]
 
 
-def _pieces(rows: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
-    piece, size = [], 0
-    for row in rows:
-        piece.append(row)
-        size += len(row[-1])
-        if size >= most:
-            yield piece
-            piece, size = [], 0
-    if piece:
-        yield piece
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where equal keys begin."""
+    return np.flatnonzero(np.concatenate((sorted_keys[:1] == sorted_keys[:1], sorted_keys[1:] != sorted_keys[:-1])))
 
 
-def _count(p: Scoring):
-    """(order, key, count): keys are slot and byte for order 4, two bytes and the byte for order 2."""
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, tuple] = {}
-        rows = ((t or b"",) for batch in batches for (t,) in arrays(batch, "text"))
-        for piece in _pieces(rows, p.piece_bytes):
-            context, byte, _ = _windows([t for (t,) in piece])
-            keys = {4: (slot_of(context) << np.uint32(8)) | byte,
-                    2: ((context & np.uint32(0xFFFF)) << np.uint32(8)) | byte}
-            for order, k in keys.items():
-                values, n = np.unique(k, return_counts=True)
-                if order in total:
-                    old, m = total[order]
-                    values, where = np.unique(np.concatenate((old, values)), return_inverse=True)
-                    n = np.bincount(where, np.concatenate((m, n))).astype(np.int64)
-                total[order] = (values, n)
-        for order, (values, n) in total.items():
-            for s in range(0, len(values), 100_000):
-                v = values[s:s + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(v), order, np.int32)), pa.array(v.astype(np.int64)),
-                     pa.array(n[s:s + 100_000].astype(np.int64))], ["order", "key", "n"])
-    return job
+def _bucket(keys: np.ndarray, kind: int, buckets: int, order: int) -> np.ndarray:
+    if kind == PAIR:
+        keys = mix(keys >> np.uint64(8 * order - 8))  # the two bytes before
+    return (keys % np.uint64(buckets)).astype(np.int64)
 
 
-class Model:
-    """Tables for scoring, from the counts."""
-
-    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
-        top = np.zeros((SLOTS, 256), np.float32)
-        key, n = counts.get(4, (np.empty(0, np.int64), np.empty(0)))
-        top.reshape(-1)[key] = n
-        sums, kinds = top.sum(axis=1, dtype=np.float64), (top > 0).sum(axis=1)
-        self.top = np.full((SLOTS, 256), UNSEEN, np.float16)
-        at = np.nonzero(top)
-        self.top[at] = np.log10(top[at] / (sums + kinds)[at[0]])
-        self.top[at] = np.minimum(self.top[at], 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.escape = np.where(kinds > 0, np.log10(kinds / (sums + kinds)), 0.0)
-        del top
-        c2 = np.zeros((1 << 16, 256), np.float32)
-        key, n = counts.get(2, (np.empty(0, np.int64), np.empty(0)))
-        c2.reshape(-1)[key] = n
-        c1 = c2.reshape(256, 256, 256).sum(axis=0, dtype=np.float64)
-        self.lower = (c2, c1, c1.sum(axis=0)[None, :])
-
-    def escaped(self, context: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """Log probabilities of bytes that their slot has not seen."""
-        slot = slot_of(context).astype(np.int64)
-        out = self.escape[slot].astype(np.float64)
-        gone = self.top[slot] <= 0
-        rows = np.arange(len(byte))
-        places = ((context & np.uint32(0xFFFF)).astype(np.int64), (context & np.uint32(0xFF)).astype(np.int64),
-                  np.zeros(len(byte), np.int64))
-        open_ = np.ones(len(byte), bool)
-        for table, place in zip(self.lower, places, strict=True):
-            seen = table[place]
-            left = np.where(gone, 0, seen)
-            n, q, c = left.sum(axis=1, dtype=np.float64), (left > 0).sum(axis=1), left[rows, byte]
-            hit, miss = open_ & (c > 0), open_ & (c == 0) & (q > 0)
-            out[hit] += np.log10(c[hit] / (n + q)[hit])
-            out[miss] += np.log10(q[miss] / (n + q)[miss])
-            open_ &= ~hit
-            gone |= seen > 0
-        out[open_] -= np.log10(256 - gone[open_].sum(axis=1))
-        return out
+def _by_bucket(keys: np.ndarray, kind: int, buckets: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of sorted keys by bucket, the buckets in use and where each begins."""
+    of = _bucket(keys, kind, buckets, order)
+    place = np.argsort(of, kind="stable")
+    first = _runs(of[place])
+    return place, of[place][first], np.append(first, len(of))
+
+
+def _packed(numbers: np.ndarray, kind: str) -> bytes:
+    return zlib.compress(numbers.astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
+
+
+def _keys(data: bytes) -> np.ndarray:
+    """Sorted keys from their packed differences."""
+    return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
+
+
+SENT = ("kind int, part int, seq int, bucket int, keys binary, counts binary, doc_ids array<long>, held array<boolean>, "
+        "lens array<int>, texts binary, train_words long, train_docs long, low binary")
+SENT_KINDS = [pa.int32()] * 4 + [pa.binary()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(),
+                                                   pa.int64(), pa.int64(), pa.binary()]
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """The log10 probability of each text."""
-        context, byte, first = _windows(texts)
-        cost = self.top[slot_of(context), byte].astype(np.float64)
-        at = np.flatnonzero(cost > 0)
-        if len(at):
-            keys, where = np.unique((context[at].astype(np.uint64) << np.uint64(8)) | byte[at], return_inverse=True)
-            found = np.empty(len(keys))
-            for s in range(0, len(keys), 4096):
-                k = keys[s:s + 4096]
-                found[s:s + 4096] = self.escaped((k >> np.uint64(8)).astype(np.uint32), (k & np.uint64(255)).astype(np.int64))
-            cost[at] = found[where]
-        return np.add.reduceat(cost, first) if len(first) else np.empty(0)
 
+def _batch(rows: list[tuple], kinds: list, schema: str) -> pa.RecordBatch:
+    cells = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cells, kinds, strict=True)],
+                                      [x.split()[0] for x in schema.split(", ")])
 
-CHUNK = ("part int, seq int, doc_ids array<long>, held array<boolean>, n_words array<int>, scores array<double>, tokens binary, "
-         "vocabulary array<long>, train array<int>, train_words long, train_docs long")
 
+class Chunk:
+    """Documents that are scored together."""
 
-def _chunk(counts, p: Scoring):
+    def __init__(self, texts: list[bytes], order: int) -> None:
+        words = [word_hashes(split_words(t)) for t in texts]
+        self.n_words = np.array([len(w) for w in words], np.int64)
+        self.words, self.word_at = np.unique(np.concatenate(words), return_inverse=True)
+        self.lens = np.array([len(t) + 1 for t in texts], np.int64)
+        # Keys with the index of their document below them: one sort of numbers groups equal pairs.
+        self.pieces = []
+        for s in range(0, len(texts), DOCS):
+            some = texts[s:s + DOCS]
+            doc = np.repeat(np.arange(len(some), dtype=np.uint64), self.lens[s:s + DOCS])
+            self.pieces.append(np.sort((pairs_of(some, order) << np.uint64(16)) | doc))
+        runs = [p[_runs(p >> np.uint64(16))] >> np.uint64(16) for p in self.pieces]
+        self.pairs = runs[0] if len(runs) == 1 else np.unique(np.concatenate(runs))
+
+    def counts(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each distinct word and pair, how often it stands in the documents to learn from."""
+        words = np.bincount(self.word_at[np.repeat(learn, self.n_words)], minlength=len(self.words))
+        pairs = np.zeros(len(self.pairs), np.int64)
+        for s, piece in enumerate(self.pieces):
+            key = piece >> np.uint64(16)
+            known = learn[s * DOCS:(s + 1) * DOCS][(piece & np.uint64(0xFFFF)).astype(np.int64)]
+            first = _runs(key)
+            pairs[np.searchsorted(self.pairs, key[first])] += np.add.reduceat(known.astype(np.int64), first)
+        return words, pairs
+
+    def sums(self, logs: np.ndarray) -> np.ndarray:
+        """Per document, the sum of its pairs' values."""
+        out = []
+        for s, piece in enumerate(self.pieces):
+            key = piece >> np.uint64(16)
+            first = _runs(key)
+            value = np.repeat(logs[np.searchsorted(self.pairs, key[first])], np.diff(np.append(first, len(key))))
+            out.append(np.bincount((piece & np.uint64(0xFFFF)).astype(np.int64), value, len(self.lens[s * DOCS:(s + 1) * DOCS])))
+        return np.concatenate(out)
+
+
+def _send(p: Scoring, buckets: int):
+    """Chunks: a row with the texts, and a row of keys and counts for each bucket."""
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(counts.value)
         part, seq = TaskContext.get().partitionId(), 0
-        ids, held, n_words, scores, hashes, words, size = [], [], [], [], [], 0, 0
-
-        def out() -> pa.RecordBatch:
-            vocabulary, where = np.unique(np.concatenate(hashes), return_inverse=True)
-            learn = np.repeat(~np.array(held, bool), n_words)
-            train = np.bincount(where[learn], minlength=len(vocabulary))
-            row = [part, seq, ids, held, n_words, np.concatenate(scores).tolist(),
-                   zlib.compress(where.astype("<u4").tobytes(), 1), vocabulary.view(np.int64), train.astype(np.int32),
-                   int(learn.sum()), int((~np.array(held, bool)).sum())]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()),
-                     pa.list_(pa.float64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)],
-                                              [x.split()[0] for x in CHUNK.split(", ")])
-
-        rows = ((d, h, t or b"") for batch in batches for d, h, t in arrays(batch, "doc_id", "held_out", "text"))
-        for piece in _pieces(rows, p.piece_bytes):
-            scores.append(model.scores([t for *_, t in piece]))
-            for doc, h, text in piece:
-                w = word_hashes(split_words(text))
+        ids: list = []
+        held: list[bool] = []
+        texts: list[bytes] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            chunk = Chunk(texts, p.order)
+            learn = ~np.array(held, bool)
+            counts = chunk.counts(learn)
+            low = np.bincount(((chunk.pairs >> np.uint64(8 * p.order)) << np.uint64(8) | (chunk.pairs & np.uint64(255))).astype(np.int64),
+                              counts[1], 1 << 16)
+            rows = []
+            for kind, keys, n in ((WORD, chunk.words, counts[0]), (PAIR, chunk.pairs, counts[1])):
+                place, used, first = _by_bucket(keys, kind, buckets, p.order)
+                for b, a, z in zip(used.tolist(), first, first[1:], strict=False):
+                    own = keys[place[a:z]]
+                    rows.append((kind, part, seq, b, _packed(np.diff(own, prepend=np.uint64(0)), "<u8"), _packed(n[place[a:z]], "<u8"),
+                                 *[None] * 7))
+            yield _batch(rows, SENT_KINDS, SENT)
+            yield _batch([(TEXT, part, seq, 0, None, None, ids, held, [len(t) for t in texts], zlib.compress(b"".join(texts), 1),
+                           int(chunk.n_words[learn].sum()), int(learn.sum()), _packed(low, "<u8"))], SENT_KINDS, SENT)
+
+        for batch in batches:
+            for doc, h, text in arrays(batch, "doc_id", "held_out", "text"):
                 ids.append(doc)
                 held.append(h)
-                n_words.append(len(w))
-                hashes.append(w)
-                words += len(w)
-                size += len(text)
-            if words >= p.chunk_words or size >= p.chunk_bytes:
-                yield out()
-                seq += 1
-                ids, held, n_words, scores, hashes, words, size = [], [], [], [], [], 0, 0
+                texts.append(text or b"")
+                size += len(texts[-1]) + 16
+                if size >= p.chunk_bytes:
+                    yield from out()
+                    seq += 1
+                    ids, held, texts, size = [], [], [], 0
         if ids:
-            yield out()
+            yield from out()
     return job
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by chunk and place to one row per chunk: its counts in order."""
-    key, parts, new = None, [], 0
+def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (last byte, byte) over the chunks of a task."""
+    total = np.zeros(1 << 16, np.uint64)
+    for batch in batches:
+        for (data,) in arrays(batch, "low"):
+            total += _unpacked(data, "<u8")
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used].astype(np.int64))], ["pair", "n"])
+
+
+class Subtrees:
+    """All (context, byte) pairs below some two-byte contexts, sorted, with their training counts; ``low`` holds the counts of bytes
+    after their last byte."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: np.ndarray, order: int) -> None:
+        self.keys, self.counts, self.order = keys, counts.astype(np.float64), order
+        known = counts > 0
+        self.levels = []  # per order: (context, byte) in training, counts
+        for d in range(order, -1, -1):
+            if d >= 2:
+                at = self._at(keys[known], d)
+                values, place = np.unique(at, return_inverse=True)
+                self.levels.append((d, values, np.bincount(place, self.counts[known], len(values))))
+            else:
+                n = low.reshape(256, 256) if d else low.reshape(256, 256).sum(axis=0)[None, :]
+                cell = np.flatnonzero(n)
+                self.levels.append((d, cell.astype(np.uint64), n.reshape(-1)[cell].astype(np.float64)))
+
+    def _at(self, keys: np.ndarray, d: int) -> np.ndarray:
+        """The byte in its context of ``d`` bytes."""
+        context = (keys >> np.uint64(8)) >> np.uint64(8 * (self.order - d))
+        return (context << np.uint64(8)) | (keys & np.uint64(255))
+
+    def logs(self) -> np.ndarray:
+        """log10 of the probability of each pair's byte in its context."""
+        out = np.zeros(len(self.keys))
+        context = self.keys >> np.uint64(8)
+        first = _runs(context)
+        size = np.diff(np.append(first, len(context)))
+        n = np.repeat(np.add.reduceat(self.counts, first), size) if len(first) else out
+        seen = np.flatnonzero(self.counts > 0)
+        out[seen] = np.log10((2 * self.counts[seen] - 1) / (2 * n[seen]))
+        new = np.flatnonzero(self.counts == 0)
+        for s in range(0, len(new), 8192):
+            out[new[s:s + 8192]] = self.escaped(self.keys[new[s:s + 8192]])
+        return out
+
+    def escaped(self, keys: np.ndarray) -> np.ndarray:
+        """The same for any pairs, followed from the longest context down."""
+        out = np.zeros(len(keys))
+        byte = (keys & np.uint64(255)).astype(np.int64)
+        gone = np.zeros((len(keys), 256), bool)
+        open_ = np.arange(len(keys))
+        for d, values, counts in self.levels:
+            if not len(open_):
+                break
+            context = self._at(keys[open_], d) & ~np.uint64(255)
+            low = np.searchsorted(values, context)
+            size = np.searchsorted(values, context | np.uint64(255), "right") - low
+            ends = np.cumsum(size)
+            row = np.repeat(np.arange(len(open_)), size)
+            cell = np.repeat(low - (ends - size), size) + np.arange(ends[-1])
+            follower = (values[cell] & np.uint64(255)).astype(np.int64)
+            left = ~gone[open_[row], follower]
+            row, cell, follower = row[left], cell[left], follower[left]
+            n = np.bincount(row, counts[cell], len(open_))
+            kinds = np.bincount(row, minlength=len(open_))
+            c = np.bincount(row, counts[cell] * (follower == byte[open_][row]), len(open_))
+            hit, miss = c > 0, (c == 0) & (kinds > 0)
+            out[open_[hit]] += np.log10((2 * c[hit] - 1) / (2 * n[hit]))
+            out[open_[miss]] += np.log10(kinds[miss] / (2 * n[miss]))
+            gone[open_[row], follower] = True
+            open_ = open_[~hit]
+        out[open_] -= np.log10(np.maximum(1, 256 - gone[open_].sum(axis=1)))
+        return out
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()),
-             pa.array([zlib.compress(np.concatenate(parts).astype("<i8").tobytes(), 1)], pa.binary()),
-             pa.array([int(new)], pa.int64())], ["g_part", "g_seq", "counts", "new_words"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part, seq, c, first = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False)
-                               for n in ("part", "seq", "c", "is_first"))
-        cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(seq) != 0)) + 1
-        for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(c)])), strict=True):
-            if key != (part[a], seq[a]):
-                if key is not None:
-                    yield out()
-                key, parts, new = (part[a], seq[a]), [], 0
-            parts.append(c[a:b])
-            new += (first[a:b] & (c[a:b] > 0)).sum()
-    if key is not None:
-        yield out()
+VALUES = "part int, seq int, kind int, bucket int, values binary, new_words long"
+
+
+def _answer(low, p: Scoring):
+    """A bucket's keys from all chunks: counts of words, log probabilities of pairs, back to each chunk."""
+    def job(table: pa.Table) -> pa.Table:
+        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+        keys = [_keys(k) for k in table.column("keys").to_pylist()]
+        counts = np.concatenate([_unpacked(c, "<u8") for c in table.column("counts").to_pylist()]).astype(np.int64)
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, counts, len(distinct)).astype(np.int64)  # exact below 2**53
+        if kind == WORD:
+            values, form = total, "<u8"
+        else:
+            values, form = Subtrees(distinct, total, low.value, p.order).logs(), "<f4"
+        ends = np.cumsum([len(k) for k in keys])
+        rows = [(part, seq, kind, bucket, _packed(values[place[e - len(k):e]], form), 0)
+                for part, seq, k, e in zip(table.column("part").to_pylist(), table.column("seq").to_pylist(), keys, ends, strict=True)]
+        rows[0] = (*rows[0][:5], int((total > 0).sum()) if kind == WORD else 0)
+        made = _batch(rows, [pa.int32()] * 4 + [pa.binary(), pa.int64()], VALUES)
+        return pa.Table.from_batches([made])
+    return job
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double"
 
 
-def _finish(end_count: int):
+def _finish(p: Scoring, buckets: int, end_count: int):
+    """Rows sorted by chunk, the values by kind and bucket before the texts: scores."""
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values: dict[int, list[np.ndarray]] = {WORD: [], PAIR: []}
         for batch in batches:
-            for row in batch.to_pylist():
-                n = np.array(row["n_words"], np.int64)
-                known = np.zeros(len(n), np.int64)
-                logs = np.zeros(len(n))
-                if n.sum():
-                    c = np.frombuffer(zlib.decompress(row["counts"]), "<i8")[
-                        np.frombuffer(zlib.decompress(row["tokens"]), "<u4")]
-                    ends = np.concatenate(([0], np.cumsum(n)))
-                    some = np.flatnonzero(n)
-                    logs[some] = np.add.reduceat(np.log10(c + 0.1), ends[some])
-                    known[some] = np.add.reduceat((c > 0).astype(np.int64), ends[some])
+            for kind, data, ids, held, lens, texts in arrays(batch, "kind", "values", "doc_ids", "held", "lens", "texts", rows=64):
+                if kind != TEXT:
+                    values[kind].append(_unpacked(data, "<u8" if kind == WORD else "<f4").astype(np.float64))
+                    continue
+                whole, ends = zlib.decompress(texts), np.cumsum(lens).tolist()
+                chunk = Chunk([whole[e - n:e] for e, n in zip(ends, lens, strict=True)], p.order)
+                found = []
+                for k, keys in ((WORD, chunk.words), (PAIR, chunk.pairs)):
+                    v = np.zeros(len(keys))
+                    if len(keys):
+                        v[_by_bucket(keys, k, buckets, p.order)[0]] = np.concatenate(values[k])
+                    found.append(v)
+                    values[k] = []
+                n = chunk.n_words
+                known, logs = np.zeros(len(n), np.int64), np.zeros(len(n))
+                some = np.flatnonzero(n)
+                if len(some):
+                    c = found[0][chunk.word_at]
+                    first = (np.cumsum(n) - n)[some]
+                    logs[some] = np.add.reduceat(np.log10(c + 0.1), first)
+                    known[some] = np.add.reduceat((c > 0).astype(np.int64), first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(n + 1),
-                     pa.array(known + (end_count > 0)), pa.array(logs + np.log10(end_count + 0.1)),
-                     pa.array(row["scores"], pa.float64())], [x.split()[0] for x in RESULT.split(", ")])
+                    [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n + 1), pa.array(known + (end_count > 0)),
+                     pa.array(logs + np.log10(end_count + 0.1)), pa.array(chunk.sums(found[1]))],
+                    [x.split()[0] for x in RESULT.split(", ")])
     return job
 
 
@@ -250,33 +332,33 @@ def score(docs: DataFrame, p: Scoring = Scoring()) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A NULL text is an empty one (its only token is the end); a row with a NULL id is learnt from; repeated rows count each;
-    an empty table gives an empty result. Without training rows every count is 0. Only doc_id and text are read.
+    an empty table gives an empty result. Without training rows every count is 0 and all bytes are equally likely. Words are told
+    apart by 64-bit hashes. Only doc_id and text are read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(
         id_remainder("doc_id", p.held_modulus) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    counted = rows.where("not held_out").select("text").mapInArrow(_count(p), "`order` int, key long, n long") \
-        .groupBy("order", "key").agg(F.sum("n").alias("n")).toPandas()
-    counts = {o: (g["key"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for o, g in counted.groupby("order")}
-    shared = spark.sparkContext.broadcast(counts)  # at most 2**25 + 2**24 numbers
-
-    chunks = stage(rows.mapInArrow(_chunk(shared, p), CHUNK), "chunks")
-    pairs = chunks.select("part", "seq", F.posexplode(F.arrays_zip("vocabulary", "train")).alias("pos", "e")).select(
-        "part", "seq", "pos", F.col("e.vocabulary").alias("word"), F.col("e.train").alias("n"))
-    everywhere = Window.partitionBy("word").orderBy("part", "seq")
-    whole = everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summed = pairs.select("part", "seq", "pos", F.sum("n").over(whole).alias("c"),
-                          (F.row_number().over(everywhere) == 1).alias("is_first"))
-    back = summed.repartition(partitions(spark), "part", "seq").sortWithinPartitions("part", "seq", "pos")
-    gathered = stage(back.mapInArrow(_gather, "g_part int, g_seq int, counts binary, new_words long"), "counts")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(p.least_buckets, size // p.bucket_bytes)
+
+    sent = stage(rows.mapInArrow(_send(p, buckets), SENT), "chunks")
+    chunks = sent.where(F.col("kind") == TEXT)
+    low = np.zeros(1 << 16, np.int64)
+    for r in chunks.select("low").mapInArrow(_low, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        low[r.pair] = r.n  # at most 65,536 rows
+    shared = spark.sparkContext.broadcast(low)
+    blobs = sent.where(F.col("kind") != TEXT).select("kind", "bucket", "part", "seq", "keys", "counts")
+    answers = stage(blobs.groupBy("kind", "bucket").applyInArrow(_answer(shared, p), VALUES), "answers")
 
     words, ends = chunks.agg(F.coalesce(F.sum("train_words"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0))).first()
-    kinds = gathered.agg(F.coalesce(F.sum("new_words"), F.lit(0))).first()[0] + (ends > 0)
+    kinds = answers.agg(F.coalesce(F.sum("new_words"), F.lit(0))).first()[0] + (ends > 0)
     total = words + ends
     base = float(np.log10(total + 0.1 * (kinds + 1)))
-    joined = chunks.drop("vocabulary", "train").join(
-        gathered, (F.col("part") == F.col("g_part")) & (F.col("seq") == F.col("g_seq")), "left").select(
-        "doc_ids", "held", "n_words", "scores", "tokens", "counts")
-    done = joined.mapInArrow(_finish(int(ends)), RESULT)
+    nothing = {"values": "binary", "doc_ids": "array<long>", "held": "array<boolean>", "lens": "array<int>", "texts": "binary"}
+    columns = ["part", "seq", "kind", "bucket", *nothing]
+    both = answers.select(*[F.col(c) if c in answers.columns else F.lit(None).cast(nothing[c]).alias(c) for c in columns]).unionByName(
+        chunks.select(*[F.col(c) if c in chunks.columns else F.lit(None).cast(nothing[c]).alias(c) for c in columns]))
+    done = both.repartition(partitions(spark), "part", "seq").sortWithinPartitions("part", "seq", "kind", "bucket").mapInArrow(
+        _finish(p, buckets, int(ends)), RESULT)
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"),
                        (F.col("log_sum") - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score")
