@@ -7,7 +7,10 @@ import numpy as np
 from conftest import SF
 from llm.conftest import PROSE, frame
 
-from veilwright.llm import html_text, jaccard_join, sharding
+from pyspark.sql import functions as F
+
+from veilwright.llm import chat, html_text, jaccard_join, sharding
+from veilwright.llm.components import components
 
 
 def joined(docs, words, percent):
@@ -114,3 +117,50 @@ def test_shards_of_groups_that_leave_no_room(spark):
         homes[texts[r.doc_id]].add(r.shard)
     assert set(Counter(r.shard for r in got).values()) == {30}
     assert sorted(len(s) for s in homes.values()) == [1] * 16 + [2] * 8
+
+
+def test_surplus_rows_of_one_group_lie_in_many_buckets(spark, monkeypatch):
+    """A third of the rows hold one text: no window slice of the last step holds more than a few times its share."""
+    seen = []
+    plain = sharding.running
+
+    def watch(df, group, draw, order, weight, name, buckets=None):
+        if name == "rank" and list(group) == ["shard"]:
+            n = buckets or 256
+            rows = df.groupBy("shard", F.floor(draw * n)).count().collect()
+            seen.append((max(r["count"] for r in rows), sum(r["count"] for r in rows) / n))
+        return plain(df, group, draw, order, weight, name, buckets)
+
+    monkeypatch.setattr(sharding, "running", watch)
+    texts = ["hot"] * 3000 + [f"text {i}" for i in range(6001)]
+    got = sharding.shard(frame(spark, list(enumerate(texts)))).collect()
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len({r.shard for r in got if texts[r.doc_id] == "hot"}) <= 7
+    assert all(most < 2 * share for most, share in seen)
+
+
+def test_components_of_a_hub(spark, setting):
+    """Most edges at one node, with and without broadcasts."""
+    edges = [(0, i) for i in range(1, 700)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2001), (5, 5)]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(3)
+    want = {i: 0 for i in range(700)} | {i: 1000 for i in range(1000, 1061)} | {2000: 2000, 2001: 2000}
+    assert {r.node: r.root for r in components(df).collect()} == want
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert {r.node: r.root for r in components(df).collect()} == want
+
+
+def test_chats_come_through_the_fold(spark):
+    """The log that a table is turned into has deltas, edits and regenerations; folded, it is the table again."""
+    text = "a long <|im_end|> answer \\ ü 🙂\n" * 90
+    rows = [(i % 5, i // 5, "assistant" if i % 2 else "user", text[i:i * 31] if i % 4 else f"short {i}") for i in range(60)]
+    rows += [(7, None, None, None), (None, 1, "user", "x"), (7, 1, "user", "same"), (7, 1, "user", "same"), (7, 1, "user", ""),
+             (8, 2, "assistant", "a" * 400), (8, 3, "assistant", "b" * 401)]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "conv_id long, turn long, role string, text string, seq long, kind string")
+    log = chat.as_events(df.drop("seq", "kind"))
+    kinds = {r["kind"] for r in log.select("kind").distinct().collect()}
+    assert kinds == {"message", "delta", "edit", "regenerate"}
+    folded = Counter((r.conv_id, r.seq, r.role, r.text) for r in chat.fold(log.repartition(5)).collect())
+    assert folded == Counter((c, t, r or "", x or "") for c, t, r, x in rows)
+    # Columns of other names that clash don't matter.
+    assert Counter(map(tuple, chat.format_chats(chat.as_events(df)).collect())) == Counter(
+        map(tuple, chat.format_chats(chat.as_events(df.drop("seq", "kind"))).collect()))

@@ -64,7 +64,7 @@ MESSAGE = "conv_id long, seq long, role string, text string"
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Events sorted by (conv_id, target, seq) to final messages; the state is one message."""
+    """Events sorted by (conv_id, target, message, seq, step) to final messages; the state is one message."""
     out: list[tuple] = []
     key, state = None, None  # state: [conv_id, place, role, parts] or None when nothing is there
 
@@ -73,10 +73,10 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((state[0], state[1], state[2], "".join(state[3])))
 
     for batch in batches:
-        for conv, target, seq, kind, role, text in arrays(batch, "conv_id", "target", "seq", "kind", "role", "text"):
-            if (conv, target) != key:
+        for conv, target, message, seq, kind, role, text in arrays(batch, "conv_id", "target", "message", "seq", "kind", "role", "text"):
+            if (conv, target, message) != key:
                 flush()
-                key, state = (conv, target), None
+                key, state = (conv, target, message), None
             text = text or ""
             if kind == "message":
                 flush()
@@ -109,14 +109,17 @@ def fold(events: DataFrame) -> DataFrame:
     ``target`` is the place of the message an event changes (NULL: its own seq). A message starts anew and keeps what was there;
     a delta appends; an edit or a regeneration replaces the text (NULL: empty); a delete removes the message; an unknown
     or NULL kind counts as a message. Events with equal keys are taken in the order of kind, role and text, messages first.
+
+    Optional columns: ``message`` tells messages of one place apart, ``step`` orders events of one seq.
     """
     place = F.coalesce(F.col("target"), F.col("seq")).cast("long")
     kind = F.when(F.col("kind").isin(*EVENTS[1:]), F.col("kind")).otherwise(F.lit("message"))
     e = events.select(F.col("conv_id").cast("long").alias("conv_id"), place.alias("target"),
                       F.col("seq").cast("long").alias("seq"), kind.alias("kind"), F.col("role").cast("string").alias("role"),
-                      F.col("text").cast("string").alias("text"))
-    order = ["conv_id", "target", "seq", F.col("kind") != "message", "kind", "role", "text"]
-    return e.repartition(partitions(events.sparkSession), "conv_id", "target").sortWithinPartitions(*order) \
+                      F.col("text").cast("string").alias("text"),
+                      *[(F.col(c) if c in events.columns else F.lit(None)).cast("long").alias(c) for c in ("message", "step")])
+    order = ["conv_id", "target", "message", "seq", "step", F.col("kind") != "message", "kind", "role", "text"]
+    return e.repartition(partitions(events.sparkSession), "conv_id", "target", "message").sortWithinPartitions(*order) \
         .mapInArrow(_fold, MESSAGE)
 
 
@@ -186,10 +189,38 @@ def read_back(rendered: DataFrame, template: Template = Template()) -> DataFrame
         .mapInArrow(_read(template), DIGEST)
 
 
-def as_events(conversations: DataFrame) -> DataFrame:
-    """A plain table (conv_id, turn, role, text) as events: every row is a whole message."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"),
-                                F.lit(None).cast("long").alias("target"), "role", "text")
+DELTA = 400
+
+
+def as_events(conversations: DataFrame, delta: int = DELTA) -> DataFrame:
+    """A plain table (conv_id, turn, role, text) as the log of a chat server that streams: every text arrives in deltas of ``delta``
+    characters. Every third message begins with a draft that a regeneration drops, every third short one is sent with a mistake
+    and then edited. Folded, each row is its message again.
+
+    Messages are told apart by a number of their own, so rows that repeat stay apart.
+    """
+    row = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"),
+                               F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"),
+                               F.monotonically_increasing_id().alias("message"))
+    style = F.pmod(F.xxhash64("conv_id", "seq", "role", "t"), F.lit(3))
+    pieces = F.regexp_extract_all("t", F.lit(f"(?s).{{1,{delta}}}"), F.lit(0))
+
+    def event(kind: str, text) -> object:
+        return F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+
+    def deltas(parts) -> object:
+        return F.transform(parts, lambda x: event("delta", x))
+
+    first, rest = F.coalesce(F.get("p", F.lit(0)), F.lit("")), F.expr("slice(p, 2, greatest(size(p) - 1, 0))")
+    streamed = F.concat(F.array(event("message", F.lit(""))), deltas(F.col("p")))
+    again = F.concat(F.array(event("message", F.substring("t", 1, 40)), event("delta", F.lit(" ... no")), event("regenerate", first)),
+                     deltas(rest))
+    edited = F.array(event("message", F.concat(F.lit("?"), F.col("t"))), event("edit", F.col("t")))
+    events = F.when(F.col("style") == 0, again).when((F.col("style") == 1) & (F.size("p") <= 1), edited).otherwise(streamed)
+    log = row.withColumns({"style": style, "p": pieces}).select(
+        "conv_id", "seq", "role", "message", F.posexplode(events).alias("step", "e"))
+    return log.select("conv_id", "seq", F.col("e.kind").alias("kind"), F.lit(None).cast("long").alias("target"), "role",
+                      F.col("e.text").alias("text"), "message", "step")
 
 
 def format_chats(events: DataFrame, template: Template = Template()) -> DataFrame:

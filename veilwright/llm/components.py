@@ -1,14 +1,16 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round is a few aggregations and joins over the edges, written to the shared folder. A hub with most of the edges is
-an aggregation with map-side combine and a join that adaptive execution can split; no node's neighbours are collected.
+an aggregation with map-side combine; what it needs to know of itself comes by broadcast, so its edges stay where they are and no
+node's neighbours are collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import lookup_weighted
 from ..functions.staging import stage
 
 
@@ -16,6 +18,11 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _least(edges: DataFrame, least: Column) -> DataFrame:
+    """(u, m, n): per node the smallest neighbour wanted and the number of edges, written so that its size is known."""
+    return stage(edges.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n")), "least")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (u long, v long); root is the smallest node of the component."""
     e = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -23,14 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(low, F.col("u") == F.col("k")).select(
+        least = _least(both, F.least("u", F.min("v")))
+        large = stage(lookup_weighted(both, least, ["u"], ["m"], "n").where("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        low = _least(large, F.min("v"))
+        small = lookup_weighted(large, low, ["u"], ["m"], "n").select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        also = low.select(F.col("k").alias("u"), F.col("m").alias("v"))
+        also = low.select("u", F.col("m").alias("v"))
         e = stage(small.unionByName(also).where("u <> v").distinct(), "edges")
         before, mark = mark, _mark(e)
         if before == mark:

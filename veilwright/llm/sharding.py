@@ -165,9 +165,24 @@ def _even_out(placed: DataFrame, quota: list[int], p: Sharding) -> DataFrame:
     over = [max(0, h - w) for h, w in zip(have, want, strict=True)]
     if not any(over):
         return placed
-    # Rows leave in this order: unlinked by hash, then linked, the groups one after the other.
-    lead = F.when(F.col("group").isNull(), draw_of(F.col("doc_id"), F.col("text_key")) / 2).otherwise(
-        0.5 + draw_of(F.col("group")) / 2)
+    # Rows leave in this order: unlinked by hash, then linked, small groups by hash, large ones one after the other. A row's place
+    # is the share of all rows before it, as far as draws tell, so places are even and a group of any size lies in many buckets.
+    total = sum(have)
+    sizes = placed.where("group is not null").groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+    large = {r["group"]: r["members"] for r in sizes.where(F.col("members") > total / 256).collect()}  # fewer than 256
+    linked = total - placed.where("group is null").count()
+    alone, small = total - linked, linked - sum(large.values())
+    own = F.when(F.col("group").isNull(), draw_of(F.col("doc_id"), F.col("text_key")) * alone)
+    at = alone + small
+    starts = []
+    for g in sorted(large, key=lambda g: (-large[g], g)):
+        starts += [F.lit(g), F.array(F.lit(float(at)), F.lit(float(large[g])))]
+        at += large[g]
+    if starts:
+        place = F.try_element_at(F.create_map(*starts), F.col("group"))
+        inside = F.get(place, F.lit(0)) + draw_of(F.col("doc_id"), F.col("text_key"), F.lit(3)) * F.get(place, F.lit(1))
+        own = own.when(place.isNotNull(), inside)
+    lead = own.otherwise(alone + draw_of(F.col("group")) * small) / float(total)
     ranked = running(placed, ["shard"], lead, [lead, F.col("group"), F.col("doc_id"), F.col("text_key")], F.lit(1), "rank")
     before, total = [], 0
     for o in over:
