@@ -31,20 +31,23 @@ STOPS = (b".", b"!", b"?")
 SPAN = 6
 #: Triples (i, j, k) of a window that begin at its first place: 0 < j < k < SPAN.
 STEPS = np.array([(j, k) for j in range(1, SPAN - 1) for k in range(j + 1, SPAN)])
-POWER = 5  # a power of a kernel is a kernel; a higher one sets close matches apart from chance ones
+POWER = 5  # ``Kernel`` multiplies it out; a power of a kernel is a kernel; a higher one sets close matches apart from chance ones
 LONGEST = 24  # longer words are cut into overlapping parts, each a word of the same sentence
 
 
 @dataclass(frozen=True)
 class Toxicity:
     """Rows with crc32(doc_id) % ``modulus`` = ``held`` are never learnt from. ``sample``: labelled rows used per class at most;
-    ``sentences``: of a training document, so many with the best matches are used."""
+    ``landmarks`` words from ``pool`` times as many candidates, less than ``alike`` each other by the plain kernel as far as there are
+    such, and ``contrast`` common ones; ``sentences``: of a training document, so many with the best matches are used."""
 
     modulus: int = 4
     held: int = 2
     sample: int = 3000
-    landmarks: int = 56
+    landmarks: int = 120
     contrast: int = 8
+    pool: int = 4
+    alike: float = 0.8
     decay: float = 0.75
     least_documents: int = 3
     sentences: int = 100
@@ -87,29 +90,30 @@ def triples(words: list[str], decay: float) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class Kernel:
-    """Kernel values of words with the landmarks."""
+    """Kernel values of words with the landmarks. Subsequences and landmarks meet in a sparse table: most triples of a word stand in
+    few landmarks or none, so a word costs what it shares with them, not their number."""
 
     def __init__(self, landmarks: list[str], decay: float) -> None:
         self.landmarks, self.decay = landmarks, decay
         owner, sub, weight = triples(landmarks, decay)
-        self.row = np.full(1 << 15, -1, np.int64)
-        used = np.unique(sub)
-        self.row[used] = np.arange(len(used))
-        self.table = np.zeros((len(used), len(landmarks)), np.float32)
-        self.table[self.row[sub], owner] = weight
+        order = np.argsort(sub, kind="stable")
+        self.first = np.searchsorted(sub[order], np.arange((1 << 15) + 1))  # where the entries of a subsequence begin
+        self.owner, self.weight = owner[order], weight[order]
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        width = len(self.landmarks)
         if not words:
-            return out
+            return np.zeros((0, width), np.float32)
         owner, sub, weight = triples(words, self.decay)
-        row = self.row[sub]
-        keep = row >= 0
-        owner, row, weight = owner[keep], row[keep], weight[keep]
-        if len(owner):
-            start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            out[owner[start]] = np.add.reduceat(self.table[row] * weight[:, None], start, axis=0)
-        return out ** POWER
+        start, n = self.first[sub], self.first[sub + 1] - self.first[sub]
+        keep = n > 0
+        owner, start, n, weight = owner[keep], start[keep], n[keep], weight[keep]
+        ends = np.cumsum(n)
+        entry = np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        cell = np.repeat(owner * width, n) + self.owner[entry]
+        out = np.bincount(cell, np.repeat(weight, n) * self.weight[entry], len(words) * width).astype(np.float32)
+        square = out * out
+        return (square * square * out).reshape(len(words), width)  # to the power of POWER
 
 
 def clean(word: bytes) -> list[str]:
@@ -121,7 +125,7 @@ def clean(word: bytes) -> list[str]:
 
 
 class Describer:
-    """Best matches of each sentence with each landmark, as bytes (255: equal); remembers words within a worker's task."""
+    """Best matches of each sentence with each landmark, as bytes (255: equal); a worker remembers words from task to task."""
 
     LIMIT = 200_000
 
@@ -166,6 +170,18 @@ class Describer:
                 yield np.maximum.reduceat(self.rows[at], start, axis=0)
 
 
+_describers: dict[tuple, Describer] = {}
+
+
+def describer_of(landmarks: list[str], decay: float) -> Describer:
+    """The worker's describer for these landmarks; another set of them takes its place."""
+    key = (tuple(landmarks), decay)
+    if key not in _describers:
+        _describers.clear()
+        _describers[key] = Describer(Kernel(landmarks, decay))
+    return _describers[key]
+
+
 @dataclass
 class Model:
     landmarks: list[str]
@@ -204,7 +220,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _describe(landmarks: list[str], p: Toxicity):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        describer = Describer(Kernel(landmarks, p.decay))
+        describer = describer_of(landmarks, p.decay)
         for batch in batches:
             toxic, texts = zip(*arrays(batch, "toxic", "text"), strict=True) if batch.num_rows else ((), ())
             found = []
@@ -261,16 +277,28 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model |
     n0, n1 = len(picked[0]), len(picked[1])
     rate = (F.col("clean") + F.col("toxic") + 1) / F.lit(n0 + n1 + 2.0)
     z = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(rate * (1 - rate) * (1 / n0 + 1 / n1) + 1e-9)
-    best = stats.where(F.col("toxic") >= p.least_documents).orderBy(z.desc(), "word").limit(p.landmarks).collect()
-    usual = stats.orderBy(F.col("clean").desc(), "word").limit(p.contrast + p.landmarks).collect()
-    landmarks = [r.word for r in best]
-    landmarks += [r.word for r in usual if r.word not in set(landmarks)][:p.contrast]
+    best = stats.where(F.col("toxic") >= p.least_documents).orderBy(z.desc(), "word").limit(p.pool * p.landmarks).collect()
+    usual = stats.orderBy(F.col("clean").desc(), "word").limit(p.contrast + p.pool * p.landmarks).collect()
     if not best:
         return None
+    landmarks = set_apart([r.word for r in best], p)
+    landmarks += [r.word for r in usual if r.word not in set(landmarks)][:p.contrast]
     rows = train.mapInArrow(_describe(landmarks, p), "toxic int, found binary").collect()
     return learn(landmarks, [(r.toxic, np.frombuffer(r.found, np.uint8).reshape(-1, len(landmarks))) for r in rows], p)
 
 
+def set_apart(words: list[str], p: Toxicity) -> list[str]:
+    """Of words in order, those that are unlike all words taken before; then the rest in order, while there is room. Near
+    variants of one word so don't crowd out the words of other languages."""
+    alike = Kernel(words, p.decay)(words) ** (1 / POWER) > p.alike
+    taken: list[int] = []
+    for i in range(len(words)):
+        if len(taken) < p.landmarks and not alike[i, taken].any():
+            taken.append(i)
+    rest = [i for i in range(len(words)) if i not in set(taken)]
+    return [words[i] for i in [*taken, *rest][:p.landmarks]]
+
+
 def learn(landmarks: list[str], rows: list[tuple[int, np.ndarray]], p: Toxicity) -> Model | None:
     """The machine from described training documents."""
     rows = [r for r in rows if len(r[1])]
@@ -304,7 +332,7 @@ def learn(landmarks: list[str], rows: list[tuple[int, np.ndarray]], p: Toxicity)
 
 def _score(model: Model | None):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        describer = Describer(Kernel(model.landmarks, model.decay)) if model else None
+        describer = describer_of(model.landmarks, model.decay) if model else None
         for batch in batches:
             scores = []
             for s in range(0, batch.num_rows, 200):
