@@ -178,32 +178,17 @@ def test_scores(odd, none):
         c = [count[w] for w in words(t)] + [len(learnt)]
         base = sum(math.log10((k + 0.1) / (n + 0.1 * (v + 1))) for k in c)
         expected[d, len(c), sum(k > 0 for k in c), n, round(base, 4)] += 1
-    small = ppm.Scoring(chunk_words=500, piece_bytes=1000)
+    small = ppm.Scoring(chunk_bytes=1000, bucket_bytes=50_000)
     got = ppm.score(odd, small).collect()
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == expected
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert ppm.score(none).count() == 0
 
 
-def test_byte_probabilities_sum_to_one():
-    text = [t.encode() for _, t in ODD if t]
-    context, byte, _ = ppm._windows(text)
-    counts = {o: np.unique(k, return_counts=True) for o, k in (
-        (4, (ppm.slot_of(context) << np.uint32(8)) | byte), (2, ((context & np.uint32(0xFFFF)) << np.uint32(8)) | byte))}
-    model = ppm.Model({o: (k.astype(np.int64), n.astype(float)) for o, (k, n) in counts.items()})
-    for c in (int.from_bytes(b"uick", "big"), int.from_bytes(b"zzck", "big"), int.from_bytes(b"\xf0\xf1\xf2\xf3", "big")):
-        ctx = np.full(256, c, np.uint32)
-        log = model.top[ppm.slot_of(ctx), np.arange(256)].astype(float)
-        new = log > 0
-        log[new] = model.escaped(ctx[new], np.arange(256)[new])
-        assert abs((10.0 ** log).sum() - 1) < 2e-3
-
-
 # 5 and 6 -----------------------------------------------------------------------------------------------------------
 
 def tokenizer(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 

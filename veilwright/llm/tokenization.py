@@ -3,7 +3,8 @@
 Both tokenizers first split a text at white space: no part of theirs reaches from a character that is not white space into
 white space. So a text is cut before each blank and line feed, the pieces are encoded by the tokenizers library and remembered,
 and their ids joined are the ids of the text. Where white space runs on, or a piece holds other white space or control
-characters, the text is encoded whole.
+characters, the text is encoded whole. So it is where an added token such as ``<|endoftext|>`` stands in it: the ids are those of
+the library's plain call.
 """
 
 from __future__ import annotations
@@ -24,8 +25,30 @@ UNUSUAL = regex.compile("[\\x00-\\x09\\x0b-\\x1f\\x7f-\\xa0\\xad\\u0300-\\u036f\
 BYTE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-LIMIT = 900_000
+LIMIT = 250_000  # pieces of the newer generation
 CHARS = 4_000_000
+LINE = 256  # new words that are encoded as one text
+
+
+class Generations:
+    """Values by piece. When the newer half is full it becomes the older one, and the older one is forgotten; a piece that is
+    asked for again moves to the newer half, so what is common stays."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def turn(self) -> None:
+        """Called between texts, never while pieces of a text are in use."""
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+
+    def unknown(self, pieces: set[str]) -> set[str]:
+        """Those that neither half knows; those of the older half move to the newer one."""
+        if not self.old:
+            return pieces
+        kept = pieces & self.old.keys()
+        self.new.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
+        return pieces - kept
 
 
 class Encoder:
@@ -38,41 +61,72 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             source = json.load(f)
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        # Texts with added tokens in them are encoded whole, since those are found before anything is split.
+        added = [t["content"] for t in source["added_tokens"]]
+        self.marks = regex.compile("|".join(map(regex.escape, added)), regex.IGNORECASE) if added else None
+        self.plain_marks = all(not c.isalpha() for t in added for c in (t[0], t[-1]))
+        self.spaced_marks = any(c.isspace() for t in added for c in t)
+        # In vocabularies with blanks a word's first id says so, in the others its last one.
+        vocabulary = self.full.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        suffix = source["model"].get("end_of_word_suffix")
+        for token, i in vocabulary.items():
+            self.edge[i] = token.startswith("Ġ") if keeps_space else bool(suffix) and token.endswith(suffix)
         # For parts that are split and in lower case already.
         self.part = Tokenizer.from_str(json.dumps(source | {"normalizer": None, "pre_tokenizer": PLAIN, "added_tokens": []}))
         self.keeps_space = keeps_space
         self.code = "H" if self.full.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype(self.code)
-        self.known: dict[str, bytes | bool] = {}  # a piece after a blank, or from a line feed on; False: unusual
+        self.known = Generations(LIMIT)  # a piece after a blank, or from a line feed on; False: unusual
         self.parts: dict[str, bytes] = {}
 
     def _pack(self, encodings) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in encodings]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, many words to a text."""
+        if not self.edge.any():
+            return self._pack(self.part.encode_batch_fast(words, add_special_tokens=False))
+        lines = [words[i:i + LINE] for i in range(0, len(words), LINE)]
+        texts = [" " + " ".join(line) if self.keeps_space else " ".join(line) for line in lines]
+        out: list[bytes] = []
+        size = self.dtype.itemsize
+        for line, e in zip(lines, self.full.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            at = np.flatnonzero(self.edge[ids])
+            ends = np.append(at[1:], len(ids)) if self.keeps_space else at + 1
+            if len(ends) != len(line) or (self.keeps_space and at[0] != 0):  # the file splits words of letters
+                out += self._pack(self.full.encode_batch_fast(
+                    [" " + w if self.keeps_space else w for w in line], add_special_tokens=False))
+                continue
+            data, stops = ids.tobytes(), (ends * size).tolist()
+            out += [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        return out
+
     def _learn(self, pieces: set[str]) -> None:
-        known, parts, blank = self.known, self.parts, " " if self.keeps_space else ""
-        words, ended, whole = [], [], []  # ended: a word with a comma or stop after it
+        known, parts, blank = self.known.new, self.parts, " " if self.keeps_space else ""
+        marks, unusual = self.marks, UNUSUAL.search
+        # Most pieces are words of ASCII letters; the others are looked at one by one.
+        words = list(filter(str.isascii, filter(str.isalpha, pieces))) if self.plain_marks else []
+        ended, whole = [], []  # ended: a word with a comma or stop after it
         more: dict[str, list[str]] = {}
-        for p in pieces:
-            if not (p.isascii() or max(p) < "Ā"):  # beyond Latin-1, engines may split and lower-case in different ways
-                if UNUSUAL.search(p):
-                    known[p] = False
-                else:
-                    whole.append(p)
-            elif p.isalpha():
-                words.append(p)
-            elif p[-1] in ",." and p[:-1].isalpha():
+        for p in pieces.difference(words):
+            latin = p.isascii() or max(p) < "Ā"  # beyond Latin-1, engines may split and lower-case in different ways
+            if latin and p[-1] in ",." and p[:-1].isalpha():
                 ended.append(p)
-            elif UNUSUAL.search(p):
+            elif latin and self.plain_marks and p.isalpha():
+                words.append(p)
+            elif unusual(p) or (marks and marks.search(p)):
                 known[p] = False
+            elif not latin:
+                whole.append(p)
             elif blank:
                 more[p] = BYTE_PARTS.findall(p if p[0] == "\n" else " " + p)
             else:
                 more[p] = WORD_PARTS.findall(p.lower())
-        words += {p[:-1] for p in ended}.difference(known, words)
-        alone = [blank + w for w in words] if blank else [w.lower() for w in words]
-        known.update(zip(words, self._pack(self.part.encode_batch_fast(alone, add_special_tokens=False)), strict=True))
+        bare = {p[:-1] for p in ended}.difference(known, words)
+        words += self.known.unknown(bare)
+        known.update(zip(words, self._words(words if blank else [w.lower() for w in words]), strict=True))
         new = [w for w in {",", "."}.union(*more.values()) if w not in parts]
         parts.update(zip(new, self._pack(self.part.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         known.update([(p, known[p[:-1]] + parts[p[-1]]) for p in ended])
@@ -96,20 +150,21 @@ class Encoder:
         return out + self._ids(some)
 
     def _ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > LIMIT:
-            self.known.clear()
+        self.known.turn()
         if len(self.parts) > LIMIT:
             self.parts.clear()
+        known = self.known.new
         cut, new = [], set()
         for t in texts:
             # A text begins like a line: its first piece is kept as one that follows a line feed.
             s = ("\n" + t).replace("\n", " \n") if t else ""
-            if "  " in s or " \n " in s or s.endswith((" ", " \n")):
+            if "  " in s or " \n " in s or s.endswith((" ", " \n")) or (self.spaced_marks and t and self.marks.search(t)):
                 cut.append(None)  # white space runs on
                 continue
             pieces = s.split(" ")[1:]
-            new.update(filterfalse(self.known.__contains__, pieces))
+            new.update(filterfalse(known.__contains__, pieces))
             cut.append(pieces)
+        new = self.known.unknown(new)
         if new:
             self._learn(new)
         # Before a character that is not white space a line feed is a part, and so ids, of its own.
@@ -117,7 +172,7 @@ class Encoder:
         out = []
         for t, pieces in zip(texts, cut, strict=True):
             try:
-                data = self._whole(t) if pieces is None else b"".join(map(self.known.get, pieces))[feed:]
+                data = self._whole(t) if pieces is None else b"".join(map(known.get, pieces))[feed:]
             except TypeError:  # a piece is unusual
                 data = self._whole(t)
             out.append(np.frombuffer(data, self.dtype))
