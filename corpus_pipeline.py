@@ -28,8 +28,9 @@ def _text_key() -> Column:
 
 
 def _without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
-    """The rows of ``docs`` that no row of ``gone`` (doc_id, text_key) names."""
-    names = gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct()
+    """The rows of ``docs`` that no row of ``gone`` (doc_id, text_key) names. The names are written first, so Catalyst knows their
+    size: few are broadcast and documents stay where they are, many are joined."""
+    names = stage(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct(), "gone")
     marked = docs.withColumn("__key", key)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__key") == F.col("__gone_key"))
     return marked.join(names, same, "left_anti").drop("__key")
