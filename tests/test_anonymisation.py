@@ -10,7 +10,7 @@ from veilwright.operators.anonymity import (DistinctLDiversity, EntropyLDiversit
 from veilwright.operators.hierarchy import (IntervalHierarchy, LookupHierarchy, MapHierarchy, MaskHierarchy,
                                             age_hierarchy, crime_hierarchy, descent_hierarchy, latitude_hierarchy,
                                             levels_report, longitude_hierarchy, sex_hierarchy)
-from veilwright.operators.lattice import find_optimum
+from veilwright.operators.lattice import build_lattice, find_optimum, score_nodes
 from veilwright.operators.loss import attribute_report, loss_report
 from veilwright.plans.anonymise import anonymise
 
@@ -217,6 +217,45 @@ def test_search_equals_brute_force(spark, one_job, objective, models, limit):
     assert got.suppressed <= limit * len(rows)
 
 
+def ladder(spark, name, values, height):
+    """Levels that halve the values again and again, then ``*``."""
+    rows = [(f"{name}{i}", [f"{name}{level}:{i >> level}" for level in range(1, height)] + ["*"]) for i in range(values)]
+    return LookupHierarchy(name, spark.createDataFrame(rows, "value string, labels array<string>"), height), {
+        v: [v, *ls] for v, ls in rows}
+
+
+@pytest.mark.parametrize("subsets", [1, 2, 3])
+@pytest.mark.parametrize("models,limit", [("k", 1.0), ("k", 0.05), ("distinct", 0.3), ("distinct", 0.0), ("entropy", 0.4)])
+def test_search_with_subset_bounds_equals_brute_force(spark, subsets, models, limit):
+    """Batches of few nodes, so that the bounds decide what is examined."""
+    made = [ladder(spark, n, v, h) for n, v, h in (("a", 8, 4), ("b", 4, 3), ("c", 6, 3), ("d", 3, 2))]
+    rows = [((f"a{(i * i) % 8}", f"b{i % 4 if i % 3 else 0}", f"c{(i * 5) % 6}", f"d{(i // 7) % 3}"), f"s{(i // 3) % 3}")
+            for i in range(90)]
+    df = spark.createDataFrame([(*v, s) for v, s in rows], "a string, b string, c string, d string, s string")
+    want = brute_force(rows, [p for _, p in made], MODELS[models], limit, "loss")
+    got = find_optimum(df, [h for h, _ in made], MODELS[models], limit, one_job_cells=0, subsets=subsets)
+    assert (tuple(got.node[x] for x in "abcd"), round(got.cost, 6)) == (want[2], want[0])
+    assert len({tuple(r["node"]) for r in got.scored}) == len(got.scored)
+
+
+def test_twelve_attributes_need_no_list_of_nodes(spark):
+    """244 million nodes; few are examined. The answer is at least as good as all its neighbours."""
+    names = [f"q{i:02d}" for i in range(12)]
+    hs = [ladder(spark, n, 8, 4)[0] for n in names]
+    rows = [tuple(f"{n}{(i * (3 + j) + i // (5 + j)) % 8 if (i + j) % 9 == 0 else (i % 3)}" for j, n in enumerate(names))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    got = find_optimum(df, hs, [KAnonymity(3)], 0.9, one_job_cells=50_000)
+    assert len(got.scored) < 3000 and got.suppressed <= 0.9 * len(rows)
+    lattice = build_lattice(frequency_table(df, hs), hs)
+    node = [got.node[n] for n in names]
+    near = [tuple(x + d * (i == axis) for i, x in enumerate(node)) for axis in range(12) for d in (-1, 0, 1)
+            if 0 <= node[axis] + d <= 4]
+    costs = {tuple(r["node"]): r["cost"] for r in score_nodes(lattice, [KAnonymity(3)], near).collect()
+             if r["suppressed"] <= 0.9 * len(rows)}
+    assert min(costs.values()) == pytest.approx(costs[tuple(node)]) == pytest.approx(got.cost)
+
+
 def test_no_node_is_possible(spark, people):
     with pytest.raises(ValueError):
         find_optimum(people, hierarchies(spark, people), [KAnonymity(11)], 0.5)

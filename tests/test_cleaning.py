@@ -8,6 +8,7 @@ from veilwright.operators.missing import handle_missing, missing_report, modes
 from veilwright.operators.splitting import train_test_split, with_folds
 from veilwright.plans.preprocess import preprocess
 from veilwright.sources.hierarchy_files import read_hierarchy
+from veilwright.sources.quoted import _lines, _starts, largest_file, split_bytes
 from veilwright.sources.tables import load_table, write_table
 
 ODD = "odd name (x)\t"
@@ -35,6 +36,40 @@ def test_load_with_schema(spark, tmp_path):
         [(1, "x"), (None, None)], key=str)
 
 
+HARD = [
+    (1, "plain", "x"), (2, 'two\nlines "quoted"', "y"), (3, "a;b", ""), (4, '"', "\n"), (5, '""\n""', ";"), (6, "\n\n\n", "z"),
+    (7, "long " * 300 + "\n" + "more\n" * 200, "w"), (8, " outer blanks ", "tab\t"), (9, "ünï\n漢字", "é"), (10, None, None),
+    (11, "; \n;;\n" * 150, "end"), (12, "last", "one")]
+
+
+@pytest.mark.parametrize("size", [64, 333, 1000, 5000])
+def test_large_quoted_files_are_split(spark, tmp_path, setting, size):
+    """Ranges of a file that begin anywhere, inside cells too, give the records that one task reads; two files, odd headers."""
+    rows = [(i * 20 + n, t, u) for i in range(4) for n, t, u in HARD]
+    df = spark.createDataFrame(rows, 'id long, `a "long"\nname` string, u string').coalesce(1)
+    path = str(tmp_path / "t")
+    write_table(df.where("id < 50"), path, "csv", ";")
+    df.where("id >= 50").write.mode("append").option("header", True).option("sep", ";").option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    want = sorted(load_table(spark, path, ";", df.schema)[0].collect(), key=lambda r: r["id"])
+    setting("spark.sql.files.maxPartitionBytes", str(size))
+    setting("spark.sql.files.openCostInBytes", "1")
+    got = load_table(spark, path, ";", df.schema)[0]
+    assert largest_file(spark, path) > split_bytes(spark) and got.columns == df.columns
+    assert sorted(got.collect(), key=lambda r: r["id"]) == want and len(want) == 48
+    assert len(_starts(_lines(spark, path))) > 5 or size == 5000
+
+
+def test_split_files_of_other_hands(spark, tmp_path, setting):
+    """Blank lines, line ends of two bytes, a record that is longer than many ranges, no line end at the end."""
+    setting("spark.sql.files.maxPartitionBytes", "40")
+    setting("spark.sql.files.openCostInBytes", "1")
+    path = tmp_path / "t.csv"
+    path.write_bytes(b'id,t\r\n1,"x ""y"" z"\r\n\r\n2,"' + b'ab\n' * 60 + b'"\r\n3,plain text that goes on and on and on\r\n4,"e"",""f"')
+    got = {r["id"]: r["t"] for r in load_table(spark, str(path))[0].collect()}
+    assert got == {1: 'x "y" z', 2: "ab\n" * 60, 3: "plain text that goes on and on and on", 4: 'e","f'}
+
+
 def test_hierarchy_file(spark, tmp_path):
     path = tmp_path / "sex.csv"
     path.write_bytes('﻿M;Person;*\n"""""";Unknown;*\n;;*\n'.encode())

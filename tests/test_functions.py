@@ -9,6 +9,7 @@ from veilwright.functions.hashing import uniform
 from veilwright.functions.joins import lookup, lookup_weighted
 from veilwright.functions.normal import inside_unit, normal_cdf, normal_quantile
 from veilwright.functions.ranking import exact_quantiles, prefix_sums, row_ranks
+from veilwright.functions.sketches import RankSketch, quantile_sketches
 
 
 def test_normal_functions(spark):
@@ -128,3 +129,40 @@ def test_row_key_spreads_equal_rows(spark):
     assert keyed.count() == keyed.select(KEY).distinct().count() == 20_000
     sizes = [r["count"] for r in keyed.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) <= 20_000 / 8 * 2
+
+
+@pytest.mark.parametrize("kind", ["sorted", "reversed", "random", "hot", "few"])
+def test_rank_sketch_keeps_its_bound(kind):
+    rng = np.random.default_rng(6)
+    n = 50 if kind == "few" else 60_000
+    values = {"sorted": np.arange(n, dtype=float), "reversed": np.arange(n, 0, -1.0), "random": rng.normal(size=n),
+              "hot": np.where(rng.random(n) < 0.4, 7.0, rng.integers(0, 500, n).astype(float)), "few": rng.normal(size=n)}[kind]
+    parts = []
+    for part in np.array_split(values, 7):
+        s = RankSketch(200)
+        s.add(part)
+        parts.append(s)
+    whole = RankSketch(200)
+    for s in parts:
+        whole.merge(s.levels, s.n, s.error)
+    assert whole.n == n and sum(len(v) << i for i, v in enumerate(whole.levels)) == n
+    assert sum(len(v) for v in whole.levels) < 200 * 15 and (whole.error == 0) == (kind == "few")
+    ordered, ps = np.sort(values), [i / 50 for i in range(51)]
+    for p, v in zip(ps, whole.quantiles(ps), strict=True):
+        low, high = np.searchsorted(ordered, v), np.searchsorted(ordered, v, "right") - 1
+        asked = p * (n - 1)
+        assert low - math.ceil(asked) <= whole.error and math.floor(asked) - high <= whole.error
+    assert whole.error <= 0.08 * n
+
+
+def test_quantile_sketches_of_groups(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("a"),
+                                  F.when(F.col("id") % 3 == 0, F.lit(None).cast("double")).otherwise(-F.col("id")).alias("b"))
+    got = {(r["g"], r["column"]): r for r in quantile_sketches(df.repartition(7), ["a", "b"], [0.0, 0.5, 1.0], 0.01, ["g"]).collect()}
+    assert set(got) == {(0, "a"), (0, "b"), (1, "a"), (1, "b")}
+    assert got[0, "a"]["quantiles"][0] == 0 and got[1, "a"]["rows"] == 1500 and got[0, "b"]["n"] == 1000
+    assert abs(got[1, "a"]["quantiles"][1] - 1500) <= 2 * got[1, "a"]["rank_error"] + 2
+    none = quantile_sketches(df.where("false"), ["a"], [0.5])
+    assert none.count() == 0
+    only = quantile_sketches(df.select(F.lit(None).cast("double").alias("a")), ["a"], [0.5]).first()
+    assert (only["n"], only["low"], only["quantiles"], only["rows"]) == (0, None, [], 3000)

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,47 @@ def test_both_correlation_plans_agree(real, monkeypatch):
 def test_plot_data(real):
     rows = q.target_plot_data(real, real, "x", "numerical", 10).collect()
     assert sum(r["real_n"] for r in rows) == 4000 and all(r["real_n"] == r["synth_n"] for r in rows)
+
+
+def test_wide_tables_with_gaps(spark):
+    """Gram matrices and joint counts against pandas, with a constant column and one that is all missing."""
+    rng = np.random.default_rng(7)
+    d = 12
+    base = rng.normal(size=(300, d)) @ rng.normal(size=(d, d))
+    base[:, 4] = 3.25
+    frame = pd.DataFrame({f"x{i}": base[:, i] + (1e6 if i == 2 else 0) for i in range(d)})
+    for i in range(d):
+        frame.loc[rng.random(300) < 0.15, f"x{i}"] = np.nan
+    frame["x7"] = np.nan
+    names = list(frame.columns)
+    real, synthetic = frame.iloc[:180], frame.iloc[180:]
+    tables = [spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in t.to_numpy()],
+                                    ", ".join(f"{n} double" for n in names)).repartition(3) for t in (real, synthetic)]
+    got = {(r["column"], r["other"]): r["score"] for r in q.correlation_similarity(*tables, names).collect()}
+    assert len(got) == d * (d - 1) // 2
+    cr, cs = real.corr(min_periods=2), synthetic.corr(min_periods=2)
+    for (a, b), score in got.items():
+        if a in ("x4", "x7") or b in ("x4", "x7"):
+            assert score is None
+        else:
+            assert score == pytest.approx(1 - abs(cr[a][b] - cs[a][b]) / 2, abs=1e-6)
+
+    text = [t.apply(lambda c: c.map(lambda v: None if np.isnan(v) else f"c{int(v) % 3}")) for t in (real, synthetic)]
+    tables = [spark.createDataFrame([tuple(None if pd.isna(v) else v for v in r) for r in t.itertuples(index=False)],
+                                    ", ".join(f"{n} string" for n in names)).repartition(3) for t in text]
+    got = {(r["column"], r["other"]): r["score"] for r in q.contingency_similarity(*tables, names).collect()}
+    for (a, b), score in got.items():
+        shares = [t.fillna("none").groupby([a, b]).size() / len(t) for t in text]
+        gap = shares[0].sub(shares[1], fill_value=0).abs().sum()
+        assert score == pytest.approx(1 - gap / 2)
+
+
+def test_pair_counter_sends_on_what_it_cannot_hold(spark, monkeypatch):
+    from veilwright.operators import fidelity
+
+    rows = [(i % 2, f"a{i % 50}", f"b{i % 7}", None if i % 3 else "c") for i in range(2000)]
+    df = spark.createDataFrame(rows, "_r int, x0 string, x1 string, x2 string").coalesce(1)
+    want = sorted(map(str, fidelity.pair_counts(df, [(0, 1), (0, 2)]).collect()))
+    monkeypatch.setattr(fidelity, "PAIR_ENTRIES", 20)
+    monkeypatch.setattr(fidelity, "PAIR_ROWS", 64)
+    assert sorted(map(str, fidelity.pair_counts(df, [(0, 1), (0, 2)]).collect())) == want and len(want) == 350 + 100

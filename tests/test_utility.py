@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwright.operators.classifiers import ALL_MODELS, KNN, Task, all_predictions, fit_model
-from veilwright.operators.neighbours import knn_predict, nearest
+from veilwright.operators.kernel_machine import fit_kernel_machine, rbf, solve_dual
+from veilwright.operators.neighbours import fits_in_memory, knn_predict, nearest, search_effort
 from veilwright.operators.scoring import accuracy, class_scores, confusion, result_table, weighted_scores
 from veilwright.operators.splitting import train_test_split
 from veilwright.operators.summary import compare_models
@@ -24,7 +25,8 @@ def test_scores_by_hand(spark):
     assert w["f1"] == pytest.approx((3 * 0.4 + 2 * 0.8 + 0) / 6)
 
 
-@pytest.mark.parametrize("options", [{}, {"small_bytes": 0}, {"small_bytes": 0, "pivots": 5, "chunk_rows": 30}])
+@pytest.mark.parametrize("options", [{}, {"small_bytes": 0}, {"small_bytes": 0, "pivots": 5, "chunk_rows": 30},
+                                     {"small_bytes": 0, "pivots": 150, "chunk_rows": 7}])
 def test_neighbours_equal_brute_force(spark, options):
     """Clusters, one of which holds most rows, and many equal distances."""
     rng = np.random.default_rng(4)
@@ -42,6 +44,26 @@ def test_neighbours_equal_brute_force(spark, options):
         assert np.allclose([got[(q, r + 1)][1] for r in range(4)], d[order])
 
 
+def test_search_effort_grows_below_linearly(spark):
+    """Clustered points: eight times the rows take less than four times the distances per query."""
+    rng = np.random.default_rng(9)
+
+    def points(n, offset):
+        centre = rng.integers(0, 40, size=(n, 2)) * 10.0
+        p = centre + rng.normal(0, 0.5, size=(n, 2))
+        return spark.createDataFrame([(offset + i, float(a), float(b)) for i, (a, b) in enumerate(p)], "i long, a double, b double")
+
+    asked = points(60, 0)
+    effort = [search_effort(points(n, 1000), asked, ["a", "b"], "i", "i", 3).agg(F.avg("distances")).first()[0] for n in (1500, 12_000)]
+    assert effort[1] < 4 * effort[0] and effort[1] < 12_000 / 8
+    assert search_effort(asked.where("false"), asked, ["a", "b"], "i", "i").agg(F.max("distances")).first()[0] == 0
+
+
+def test_broadcast_guard_counts_ids_and_labels(spark):
+    wide = spark.range(100).select(F.array(F.col("id").cast("double")).alias("x"), F.repeat(F.lit("k"), 1000).alias("key"))
+    assert fits_in_memory(wide, limit=50_000) and not fits_in_memory(wide, limit=50_000, others=["key"])
+
+
 def test_neighbours_of_few_or_no_rows(spark):
     test = spark.createDataFrame([(1, 0.0), (2, None)], "q long, a double")
     two = spark.createDataFrame([(7, 1.0, "x"), (8, 2.0, "y"), (9, None, "z")], "i long, a double, l string")
@@ -63,7 +85,7 @@ def test_models_learn_clear_clusters(separable):
     task = Task(("x1", "x2"), "label", "id")
     train, test = train_test_split(separable, "id")
     train, test = task.prepare(train).cache(), task.prepare(test).cache()
-    options = {"Random Forest": {"trees": 10}, "SVM": {"features": 64, "max_iter": 20}, "Logistic Regression": {"max_iter": 50}}
+    options = {"Random Forest": {"trees": 10}, "SVM": {"chunk": 40}, "Logistic Regression": {"max_iter": 50}}
     for name in ALL_MODELS:
         scored = fit_model(name, train, **options.get(name, {}))(test)
         assert accuracy(confusion(scored)).first()["accuracy"] > 0.9, name
@@ -106,3 +128,63 @@ def test_a_target_of_many_classes(spark):
     train, test = rows.where("id < 240"), rows.where("id >= 240")
     result = run_utility(train, test, "label", "id", models=(KNN,), folds=2, options={KNN: {"neighbours": 1}}).first()
     assert result["Dataset"] == "Original" and result["Recall"] == 1.0
+
+
+def exact_decisions(train, asked, gamma, cost=1.0):
+    """One dual over all rows of a two-class problem."""
+    x, y = np.array([r["x"] for r in train]), np.array([1.0 if r["label"] == "even" else -1.0 for r in train])
+    alpha, offset = solve_dual(rbf(x, x, gamma), y, cost, tolerance=1e-6)
+    return rbf(np.array([r["x"] for r in asked]), x, gamma) @ (alpha * y) + offset
+
+
+def test_dual_solver_meets_the_conditions():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 2))
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=80) > 0, 1.0, -1.0)
+    k = rbf(x, x, 0.7)
+    alpha, offset = solve_dual(k, y, 1.0, tolerance=1e-6)
+    margin = y * (k @ (alpha * y) + offset)
+    assert abs(alpha @ y) < 1e-9 and alpha.min() >= 0 and alpha.max() <= 1
+    assert (margin[alpha == 0] >= 1 - 1e-4).all() and (margin[alpha == 1] <= 1 + 1e-4).all()
+    free = (alpha > 0) & (alpha < 1)
+    assert np.allclose(margin[free], 1, atol=1e-4)
+
+
+def test_cascade_equals_one_dual(separable):
+    task = Task(("x1", "x2"), "label", "id")
+    train, test = train_test_split(separable, "id")
+    train, test = task.prepare(train), task.prepare(test)
+    rows, asked = train.collect(), test.orderBy("key").collect()
+    want = exact_decisions(rows, asked, 0.3)
+    for chunk in (1000, 25):
+        machine = fit_kernel_machine(train, 0.3, chunk=chunk)
+        got = machine.decisions(test).orderBy("key").collect()
+        assert np.allclose([r["sums"][0] for r in got], want, atol=0.01) and machine.passes == (1 if chunk == 1000 else machine.passes)
+        assert [r["prediction"] for r in machine.predict(test).orderBy("key").collect()] == [
+            "even" if v > 0 else "odd" for v in want]
+
+
+def test_cascade_of_noisy_rows(spark):
+    """Classes that overlap: near the exact machine, also when chunks are too large to be merged."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, 2))
+    label = np.where(x[:, 0] * x[:, 1] + 0.4 * rng.normal(size=500) > 0, "even", "odd")
+    df = spark.createDataFrame([(i, str(s), list(map(float, p))) for i, (p, s) in enumerate(zip(x, label))],
+                               "key long, label string, x array<double>")
+    train, test = df.where("key < 400"), df.where("key >= 400")
+    want = np.where(exact_decisions(train.collect(), test.orderBy("key").collect(), 0.5) > 0, "even", "odd")
+    for options in ({"chunk": 80}, {"chunk": 80, "most": 100}):
+        machine = fit_kernel_machine(train, 0.5, **options)
+        got = [r["prediction"] for r in machine.predict(test).orderBy("key").collect()]
+        assert np.mean(np.array(got) == want) >= 0.93
+        assert (len(machine.machines()) > 1) == ("most" in options)
+
+
+def test_machine_of_many_or_no_classes(spark):
+    rows = [(i, f"c{i % 4}", [float(i % 4) * 5 + (i % 7) * 0.1, 1.0]) for i in range(80)]
+    df = spark.createDataFrame(rows, "key long, label string, x array<double>")
+    machine = fit_kernel_machine(df, 0.5, chunk=10)
+    assert all(r["label"] == r["prediction"] for r in machine.predict(df).collect())
+    one = fit_kernel_machine(df.where("label = 'c1'"), 0.5)
+    assert {r["prediction"] for r in one.predict(df).collect()} == {"c1"}
+    assert {r["prediction"] for r in fit_kernel_machine(df.where("false"), 0.5).predict(df).collect()} == {None}

@@ -14,7 +14,7 @@ from ..operators.lattice import build_lattice, find_optimum, score_nodes
 from ..operators.loss import (ambiguity, average_class_size, discernibility, generalisation_intensity, granularity,
                               non_uniform_entropy, record_squared_error, squared_error)
 from ..plans.anonymise import anonymise
-from ..sources.tables import load_table, write_anonymised
+from ..sources.tables import load_table, write_anonymised, write_table
 from .cleaning import nation_levels
 from .registry import query, rounded, table
 
@@ -323,6 +323,58 @@ def optimal_node_climbing(spark, sf):
     return find_optimum(table(spark, sf, "customer"), customer_hierarchies(spark, sf), one_job_cells=0).levels(spark)
 
 
+# Nodes within a suppression limit, with a second model: every class shows two order priorities or more.
+LIMITED = NODES.split(",\ncls AS")[0] + """,
+cells AS (SELECT a, b, c, nat[a + 1] AS g1, bal_labels[b + 1] AS g2, seg[c + 1] AS g3, c_custkey FROM lab, nodes),
+cls AS (SELECT a, b, c, g1, g2, g3, count(*) AS size, count(DISTINCT c_custkey % 7) AS kinds FROM cells GROUP BY ALL),
+priced AS (SELECT cls.*, size >= {k} AND kinds >= {l} AS ok, w1.g + w2.g + w3.g AS g FROM cls
+  JOIN weight w1 ON w1.q = 1 AND w1.l = a AND w1.label = g1 JOIN weight w2 ON w2.q = 2 AND w2.l = b AND w2.label = g2
+  JOIN weight w3 ON w3.q = 3 AND w3.l = c AND w3.label = g3),
+scored AS (SELECT a, b, c, sum(CASE WHEN ok THEN size * g ELSE size * 3.0 END) / (any_value(n) * 3.0) AS loss,
+  sum(CASE WHEN ok THEN 0 ELSE size END) / any_value(n)::double AS share FROM priced, total GROUP BY a, b, c),
+won AS (SELECT * FROM scored WHERE share <= {limit} + 1e-9 ORDER BY round(loss, 9), a + b + c, a, b, c LIMIT 1)"""
+
+
+def _levels(cte: str) -> str:
+    return cte + """ SELECT 'c_nationkey' AS attribute, CAST(a AS INTEGER) AS level FROM won
+UNION ALL SELECT 'c_acctbal', b FROM won UNION ALL SELECT 'c_mktsegment', c FROM won"""
+
+
+def with_group(customer):
+    """A sensitive attribute with seven values."""
+    return customer.withColumn("group", F.col("c_custkey") % 7)
+
+
+@query("d15_optimal_node_limit_30", _levels(LIMITED.format(k=3, l=1, limit=0.3)))
+def optimal_node_limit(spark, sf):
+    """At most 30 percent of the rows may be suppressed."""
+    return find_optimum(table(spark, sf, "customer"), customer_hierarchies(spark, sf), [KAnonymity(3)], 0.3).levels(spark)
+
+
+@query("d15_optimal_node_limit_0", _levels(LIMITED.format(k=2, l=2, limit=0)))
+def optimal_node_no_suppression(spark, sf):
+    """No row may be suppressed; 2-anonymous and 2-diverse."""
+    return find_optimum(with_group(table(spark, sf, "customer")), customer_hierarchies(spark, sf),
+                        [KAnonymity(2), DistinctLDiversity("group", 2)], 0.0).levels(spark)
+
+
+def _limited_job(limit, k, l):  # noqa: E741
+    def job(spark, sf):
+        customer = with_group(table(spark, sf, "customer"))
+        roles = Roles(ROLES.quasi, ("group",), ROLES.insensitive)
+        return anonymise(customer, roles, customer_hierarchies(spark, sf),
+                         [KAnonymity(k), DistinctLDiversity("group", l)], limit).table(flag="suppressed").drop("group")
+
+    return job
+
+
+for _name, _limit, _k, _l in (("d14_suppress_limit_30", 0.3, 3, 2), ("d14_suppress_limit_0", 0.0, 2, 2)):
+    query(_name, LIMITED.format(k=_k, l=_l, limit=_limit) + f""",
+gen AS (SELECT c_custkey, c_name, nat[a + 1] AS g1, bal_labels[b + 1] AS g2, seg[c + 1] AS g3 FROM lab, won),
+final AS (SELECT g1, g2, g3, count(*) >= {_k} AND count(DISTINCT c_custkey % 7) >= {_l} AS kept FROM gen GROUP BY g1, g2, g3)
+{SUPPRESSED}, NOT kept AS suppressed FROM gen JOIN final USING (g1, g2, g3)""")(_limited_job(_limit, _k, _l))
+
+
 @query("d27_chosen_levels", WINNER.format(cost="entropy"))
 def chosen_levels(spark, sf):
     return find_optimum(
@@ -428,7 +480,71 @@ def anonymisation_job(spark, sf):
     return load_table(spark, path, ";", out.table().schema)[0]
 
 
-@query("d28_loss_report")
+def _entropy_of(q: int) -> str:
+    return f"""SELECT sum(CASE WHEN kept THEN log2(fl) - log2(fv) ELSE log2(n) - log2(fv) END) / sum(log2(n) - log2(fv)) AS v
+  FROM (SELECT kept, count(*) OVER (PARTITION BY v{q}) AS fv, count(*) OVER (PARTITION BY g{q}) AS fl, count(*) OVER () AS n FROM pos)"""
+
+
+def _error_of(x: str) -> str:
+    return f"""SELECT sum(CASE WHEN kept THEN n * v ELSE n * v + n * (m - mu) * (m - mu) END) / any_value(t) AS v FROM (
+  SELECT kept, count(*) AS n, var_pop({x}) AS v, avg({x}) AS m, (SELECT avg({x}) FROM pos) AS mu,
+    (SELECT count(*) * var_pop({x}) FROM pos) AS t FROM pos GROUP BY g1, g2, g3, kept)"""
+
+
+# All metrics at the node (a, b, c) of ``best``.
+ALL_METRICS = """, placed AS (SELECT c_custkey, bal, nat[1] AS v1, bal_labels[1] AS v2, seg[1] AS v3, nat[a + 1] AS g1,
+  bal_labels[b + 1] AS g2, seg[c + 1] AS g3, a, b, c FROM lab, best),
+groups AS (SELECT g1, g2, g3, count(*) AS size, count(*) >= 2 AS kept FROM placed GROUP BY g1, g2, g3),
+pos AS (SELECT p.*, nat_key, size, kept, CASE WHEN kept THEN x1.leaves ELSE s1.domain END AS l1,
+  CASE WHEN kept THEN x2.leaves ELSE s2.domain END AS l2, CASE WHEN kept THEN x3.leaves ELSE s3.domain END AS l3,
+  s1.domain AS d1, s2.domain AS d2, s3.domain AS d3
+  FROM (SELECT *, v1::int AS nat_key FROM placed) p JOIN groups USING (g1, g2, g3)
+  JOIN leaves x1 ON x1.q = 1 AND x1.l = a AND x1.label = g1 JOIN leaves x2 ON x2.q = 2 AND x2.l = b AND x2.label = g2
+  JOIN leaves x3 ON x3.q = 3 AND x3.l = c AND x3.label = g3
+  JOIN sizes s1 ON s1.q = 1 JOIN sizes s2 ON s2.q = 2 JOIN sizes s3 ON s3.q = 3),
+entropies AS (""" + " UNION ALL ".join(_entropy_of(q) for q in (1, 2, 3)) + """),
+errors AS (""" + " UNION ALL ".join(_error_of(x) for x in ("nat_key", "bal")) + """),
+metrics AS (SELECT 'ambiguity' AS metric, avg(l1::double * l2 * l3) AS value FROM pos
+UNION ALL SELECT 'average_class_size', sum(size) FILTER (kept) / nullif(count(*) FILTER (kept), 0)::double FROM groups
+UNION ALL SELECT 'c_avg', sum(size) / (2.0 * nullif(count(*) FILTER (kept), 0)) FROM groups
+UNION ALL SELECT 'discernibility', sum(CASE WHEN kept THEN size * size ELSE size * (SELECT count(*) FROM pos) END)::double FROM groups
+UNION ALL SELECT 'granularity', 1 - (avg((l1 - 1) / (d1 - 1)::double) + avg((l2 - 1) / (d2 - 1)::double)
+  + avg((l3 - 1) / (d3 - 1)::double)) / 3 FROM pos
+UNION ALL SELECT 'non_uniform_entropy', avg(v) FROM entropies
+UNION ALL SELECT 'generalisation_intensity', 1 - (avg(CASE WHEN kept THEN a / 3.0 ELSE 1 END)
+  + avg(CASE WHEN kept THEN b / 4.0 ELSE 1 END) + avg(CASE WHEN kept THEN c / 1.0 ELSE 1 END)) / 3 FROM pos
+UNION ALL SELECT 'classes', count(*) FILTER (kept)::double FROM groups
+UNION ALL SELECT 'suppressed', count(*) FILTER (NOT kept)::double FROM pos
+UNION ALL SELECT 'suppressed_share', count(*) FILTER (NOT kept) / count(*)::double FROM pos
+UNION ALL SELECT 'squared_error', 1 - avg(v) FROM errors UNION ALL SELECT 'record_squared_error', 1 - avg(v) FROM errors)"""
+REPORTED = " SELECT metric, round(value::double, 4) AS value FROM metrics"
+
+
+@query("d28_loss_report", NODES + ", best AS (SELECT 2 AS a, 2 AS b, 0 AS c)" + ALL_METRICS + REPORTED)
 def job_metrics(spark, sf):
-    """All metrics of the job in one table; each has its own SQL twin above."""
-    return rounded(anonymise(table(spark, sf, "customer"), ROLES, customer_hierarchies(spark, sf), node=MIXED).metrics())
+    """All metrics of the job in one table, at a fixed node."""
+    return rounded(anonymise(table(spark, sf, "customer"), ROLES, customer_hierarchies(spark, sf), node=MIXED).metrics(), 4)
+
+
+@query("d28_file_to_metrics", NODES + """, best AS (SELECT a, b, c FROM scored ORDER BY round(loss, 9), a + b + c, a, b, c LIMIT 1)"""
+       + ALL_METRICS + """ SELECT 'metrics' AS step, metric, round(value::double, 4) AS value FROM metrics
+UNION ALL SELECT 'levels', 'c_nationkey', a::double FROM best UNION ALL SELECT 'levels', 'c_acctbal', b::double FROM best
+UNION ALL SELECT 'levels', 'c_mktsegment', c::double FROM best
+UNION ALL SELECT 'table', 'rows', count(*)::double FROM pos UNION ALL SELECT 'table', 'rows_of_stars',
+  count(*) FILTER (NOT kept OR (g1 = '*' AND g2 = '*' AND g3 = '*'))::double FROM pos""")
+def file_to_metrics(spark, sf):
+    """The whole job: a delimited file is read, the best node found, the table written, read back and counted, and every metric
+    measured at that node."""
+    source = write_table(table(spark, sf, "customer"), scratch_path(spark, "customer"), "csv", ";")
+    customer = load_table(spark, source, ";")[0]
+    target = scratch_path(spark, "anonymised")
+    job = anonymise(customer, ROLES, customer_hierarchies(spark, sf), output=target)
+    back = load_table(spark, target, ";", job.table().schema)[0]
+    stars = F.col("c_nationkey").eqNullSafe("*") & F.col("c_acctbal").eqNullSafe("*") & F.col("c_mktsegment").eqNullSafe("*")
+    counts = back.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(stars, 1)).alias("rows_of_stars"))
+    parts = [job.metrics().select(F.lit("metrics").alias("step"), "metric", "value"),
+             job.optimum.levels(spark).select(F.lit("levels").alias("step"), F.col("attribute").alias("metric"),
+                                              F.col("level").cast("double").alias("value")),
+             counts.select(F.lit("table").alias("step"), F.inline(F.array(*[
+                 F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in counts.columns])))]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 4)

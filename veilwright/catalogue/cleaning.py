@@ -13,9 +13,10 @@ from ..operators.splitting import with_folds, with_split
 from ..plans.preprocess import preprocess
 from ..sources.cache import read_or_compute, table_fingerprint
 from ..sources.hierarchy_files import BOM, read_hierarchy, write_hierarchy
+from ..sources.quoted import read_quoted
 from ..sources.reports import write_cleaning_report
 from ..sources.tables import load_table, preview, write_table
-from .registry import GAPS, LABELLED, draw, labelled_documents, orders_with_gaps, query, rounded, table
+from .registry import GAPS, LABELLED, draw, labelled_documents, orders_with_gaps, query, rounded, sketch_check, sketch_sql, table
 
 CUSTOMER_TYPED = """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment
 FROM customer"""
@@ -36,6 +37,16 @@ def load_quoted_text(spark, sf):
     return load_table(spark, path, ";", docs.schema)[0]
 
 
+@query("a1_load_quoted_text_split", """SELECT doc_id, '  ' || text || chr(10) || '"quoted";  ' AS text, lang, source, n_chars
+FROM documents""")
+def load_quoted_text_split(spark, sf):
+    """The same from one large file, by many tasks: no range of it knows by itself whether it begins inside a cell."""
+    docs = table(spark, sf, "documents").withColumn("text", F.concat(F.lit("  "), "text", F.lit('\n"quoted";  ')))
+    path = write_table(docs.coalesce(1), scratch_path(spark, "documents"), "csv", ";")
+    cells = read_quoted(spark, path, docs.columns, ";")
+    return cells.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
+
+
 @query("a2_write_cleaned", f"WITH {LABELLED} SELECT * FROM labelled WHERE quality IS NOT NULL AND toxic IS NOT NULL")
 def write_cleaned(spark, sf):
     cleaned = handle_missing(labelled_documents(spark, sf), "drop")
@@ -270,3 +281,9 @@ def median_sketch(spark, sf):
     """The one-scan variant for very large tables; the fill is a quantile sketch, so SQL gives no exact twin."""
     filled = impute_median(orders_with_gaps(spark, sf), ["o_totalprice"], exact=False)
     return rounded(filled.select("o_orderkey", "o_totalprice"), 4)
+
+
+@query("b3_sketch_rank_error", f"WITH {GAPS} " + sketch_sql("gaps", ["o_totalprice"], 1))
+def median_sketch_error(spark, sf):
+    """The rank of the sketched median against the exact one."""
+    return sketch_check(orders_with_gaps(spark, sf), ["o_totalprice"], [0.5], 0.02)

@@ -138,6 +138,48 @@ def contingency_similarity(spark, sf):
     return rounded(q.contingency_similarity(*order_halves(spark, sf), WORDS, NUMBERS))
 
 
+# Forty columns from the embeddings, with gaps; the halves are rows with even and odd ids.
+WIDE = 40
+
+
+def wide_halves(spark, sf, text: bool):
+    vectors = table(spark, sf, "embeddings")
+    x = F.col("embedding").cast("array<double>")
+    columns = []
+    for i in range(WIDE):
+        cell = F.get(x, F.pmod(F.lit(i), F.size(x))) * F.lit(float(1 + i))
+        known = F.col("vec_id") % (5 + i) != 0
+        shown = F.concat(F.lit("c"), (F.floor(cell * 3) % 4).cast("string")) if text else cell
+        columns.append(F.when(known, shown).alias(f"x{i}"))
+    halves = vectors.select("vec_id", *columns)
+    return [halves.where(F.col("vec_id") % 2 == i).drop("vec_id") for i in (0, 1)]
+
+
+WIDE_LONG = f"""WITH v AS (SELECT vec_id, vec_id % 2 AS half, embedding::double[] AS x FROM embeddings),
+cell AS (SELECT vec_id, half, i, CASE WHEN vec_id % (5 + i) <> 0 THEN x[i % len(x) + 1] * (1 + i)::double END AS c
+  FROM v, range({WIDE}) AS r(i)),
+text AS (SELECT vec_id, half, i, 'c' || (floor(c * 3)::bigint % 4)::varchar AS t FROM cell)"""
+
+
+@query("f8_correlation_similarity_wide", f"""{WIDE_LONG}, per AS (SELECT a.i AS a, b.i AS b, a.half, corr(a.c, b.c) AS c
+  FROM cell a JOIN cell b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL)
+SELECT 'Column Pair Trends' AS property, 'x' || a AS "column", 'x' || b AS other, 'CorrelationSimilarity' AS metric,
+  round(1 - abs(max(c) FILTER (half = 0) - max(c) FILTER (half = 1)) / 2, 6) AS score FROM per GROUP BY a, b""")
+def correlation_similarity_wide(spark, sf):
+    """780 pairs of columns with gaps, from Gram matrices."""
+    return rounded(q.correlation_similarity(*wide_halves(spark, sf, False), [f"x{i}" for i in range(WIDE)]))
+
+
+@query("f9_contingency_similarity_wide", f"""{WIDE_LONG}, size AS (SELECT count(*) FILTER (half = 0) AS r,
+  count(*) FILTER (half = 1) AS s FROM v),
+joint AS (SELECT a.i AS a, b.i AS b, a.t AS u, b.t AS v, count(*) FILTER (a.half = 0) AS rn, count(*) FILTER (a.half = 1) AS sn
+  FROM text a JOIN text b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL)
+SELECT 'Column Pair Trends' AS property, 'x' || a AS "column", 'x' || b AS other, 'ContingencySimilarity' AS metric,
+  round(1 - sum(abs(rn / r::double - sn / s::double)) / 2, 6) AS score FROM joint, size GROUP BY a, b""")
+def contingency_similarity_wide(spark, sf):
+    return rounded(q.contingency_similarity(*wide_halves(spark, sf, True), [f"x{i}" for i in range(WIDE)]))
+
+
 @query("f10_column_shapes", f"{BASE} {KS} UNION ALL {TV}")
 def column_shapes(spark, sf):
     return rounded(q.column_shapes(*order_halves(spark, sf), KINDS))

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sketches import quantile_sketches, rank_gaps
+from ..functions.staging import stage
+
 Job = Callable[[SparkSession, str], DataFrame]
 
 JOBS: dict[str, Job] = {}
@@ -66,3 +69,19 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELLED = """labelled AS (
   SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def sketch_check(df: DataFrame, columns, probabilities, error: float) -> DataFrame:
+    """Per column: values, answers of the sketch, and whether every answer's rank is within the sketch's bound and that bound
+    within ``error`` of the values."""
+    answers = stage(quantile_sketches(df, columns, probabilities, error), "sketches")
+    gaps = rank_gaps(df, columns, answers, probabilities)
+    sound = gaps.groupBy(F.col("column").alias("c")).agg(
+        F.count(F.lit(1)).alias("answers"), F.min(F.col("gap") <= F.col("rank_error")).alias("all"))
+    return answers.join(sound, F.col("column") == F.col("c")).select(
+        "column", "n", "answers", (F.col("all") & (F.col("rank_error") <= F.ceil(F.col("n") * F.lit(error)))).alias("within"))
+
+
+def sketch_sql(source: str, columns, answers: int) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS n, CAST({answers} AS BIGINT) AS answers, true AS within FROM {source}""" for c in columns)

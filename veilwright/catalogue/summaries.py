@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.splitting import with_folds
 from ..operators.summary import class_distribution, compare_moments, describe, min_max, row_count
-from .registry import draw, query, rounded, table
+from .registry import draw, query, rounded, sketch_check, sketch_sql, table
 
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -59,6 +59,12 @@ def describe_sketch(spark, sf):
     return rounded(describe(table(spark, sf, "lineitem"), NUMBERS, exact=False))
 
 
+@query("c3_sketch_rank_error", sketch_sql("lineitem", NUMBERS, 3))
+def describe_sketch_error(spark, sf):
+    """The ranks of sketched quartiles against exact ranks, with sketches small enough to compact."""
+    return sketch_check(table(spark, sf, "lineitem"), NUMBERS, [0.25, 0.5, 0.75], 0.02)
+
+
 @query("c4_compare_moments", "\nUNION ALL ".join(f"""SELECT '{c}' AS "column",
   round(avg({c}) FILTER (l_linestatus = 'O'), 6) AS original_mean,
   round(stddev_samp({c}) FILTER (l_linestatus = 'O'), 6) AS original_std,

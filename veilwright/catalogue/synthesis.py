@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import scratch_path, stage
 from ..operators import fidelity
-from ..operators.copula import (category_marginals, fit, normal_scores, number_marginals, sample, score_correlation)
+from ..operators.copula import (GRID_ERROR, category_marginals, fit, normal_scores, number_marginals, sample, score_correlation)
 from ..operators.metadata import detect_kinds
 from ..plans.synthesise import four_variants, hybrid, rows_for, synthesise
 from ..sources.models import model_tables, save_model, load_model
 from ..sources.tables import write_synthetic
 from .anonymisation import MIXED, NODE, customers_at
-from .registry import query, rounded, table
+from .registry import query, rounded, sketch_check, sketch_sql, table
 
 GRID = 200
 POINTS = ", ".join(str(i / GRID) for i in range(GRID + 1))
@@ -26,6 +26,14 @@ def marginals(spark, sf):
     return rounded(spark.createDataFrame(rows, "column string, position bigint, value double"))
 
 
+@query("e1_grid_rank_error", sketch_sql("lineitem", ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), GRID + 1))
+def grid_error(spark, sf):
+    """The ranks of the grids that ``fit`` takes from sketches, against exact ranks."""
+    lines = table(spark, sf, "lineitem")
+    return sketch_check(lines, ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), [i / GRID for i in range(GRID + 1)],
+                        GRID_ERROR / GRID)
+
+
 @query("e1_category_intervals", "\nUNION ALL ".join(f"""SELECT '{c}' AS "column", v AS value, n,
   round((sum(n) OVER (ORDER BY v) - n) / sum(n) OVER (), 6) AS low, round(sum(n) OVER (ORDER BY v) / sum(n) OVER (), 6) AS high
   FROM (SELECT {c} AS v, count(*) AS n FROM orders GROUP BY 1)""" for c in ("o_orderstatus", "o_orderpriority")))
@@ -109,6 +117,30 @@ def saved_model(spark, sf):
     return model_tables(spark, path)
 
 
+@query("a11_saved_model_content", f"""WITH x AS (SELECT list_sort(list(c_acctbal)) AS v, count(*) AS n FROM customer),
+k AS (SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1),
+i AS (SELECT value, n, sum(n) OVER (ORDER BY value) AS upto, sum(n) OVER () AS total FROM k)
+SELECT 'numbers' AS part, 'c_acctbal' AS name, CAST(i AS BIGINT) AS position,
+  round(v[CAST(floor(i / {GRID}.0::double * (n - 1)) AS BIGINT) + 1], 6) AS value FROM x, range({GRID + 1}) AS r(i)
+UNION ALL SELECT 'numbers', 'null share', 0, 0.0
+UNION ALL SELECT 'low', value, n, round((upto - n) / total::double, 6) FROM i
+UNION ALL SELECT 'high', value, n, round(upto / total::double, 6) FROM i
+UNION ALL SELECT 'diagonal', 'c_acctbal', 0, 1.0 UNION ALL SELECT 'diagonal', 'c_mktsegment', 1, 1.0""")
+def saved_model_content(spark, sf):
+    """What a loaded model holds: the grid of a number, the intervals of categories, the diagonal of the correlation."""
+    customer = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    kinds = {"c_custkey": "id", "c_acctbal": "numerical", "c_mktsegment": "categorical"}
+    model = load_model(spark, save_model(spark, fit(customer, kinds), scratch_path(spark, "model")))
+    grid = model.numbers["c_acctbal"]
+    rows = [("numbers", "c_acctbal", i, v) for i, v in enumerate(grid.grid)] + [("numbers", "null share", 0, grid.null_share)]
+    rows += [("diagonal", n, i, float(model.correlation[i, i])) for i, n in enumerate(model.modelled)]
+    found = spark.createDataFrame(rows, "part string, name string, position bigint, value double")
+    for side in ("low", "high"):
+        found = found.unionByName(model.categories.where("column = 'c_mktsegment'").select(
+            F.lit(side).alias("part"), F.col("value").alias("name"), F.col("n").alias("position"), F.col(side).alias("value")))
+    return rounded(found)
+
+
 @query("e6_hybrid")
 def hybrid_rows(spark, sf):
     """Synthesised from the anonymised customers: generalised attributes are categories."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import col
-from .staging import broadcast_limit, plan_bytes
+from .staging import broadcast_limit, plan_bytes, stage
 
 HOT_SHARE = 256  # a key is hot when it holds more than 1/HOT_SHARE of all rows
 
@@ -45,3 +45,13 @@ def lookup_weighted(base: DataFrame, dim: DataFrame, keys: Sequence[str], payloa
     answered = marked.where("_is_hot").select(*[col(c) for c in names], *[col(f"_hot_{p}").alias(p) for p in payload])
     rest = marked.where("_is_hot is null").select(*[col(c) for c in names])
     return answered.unionByName(lookup(rest, dim.filter(~F.coalesce(is_hot, F.lit(False))), keys, payload))
+
+
+def lookup_counted(base: DataFrame, dim: DataFrame, key: str, payload: Sequence[str]) -> DataFrame:
+    """``lookup`` by one key. A ``dim`` that is too large for a broadcast first learns how many base rows each key has, so that hot
+    keys are answered without a shuffle of their rows."""
+    if plan_bytes(dim) <= broadcast_limit(base.sparkSession):
+        return lookup(base, dim, [key], payload)
+    counts = base.groupBy(col(key)).agg(F.count(F.lit(1)).alias("_base_rows"))
+    weighted = stage(lookup(dim, counts, [key], ["_base_rows"]).fillna(0, ["_base_rows"]), "counted")
+    return lookup_weighted(base, weighted, [key], payload, "_base_rows")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, require_columns, text_columns, unpivot_text
-from ..functions.joins import lookup
+from ..functions.joins import lookup_counted
 from ..functions.ranking import row_ranks
 from ..functions.staging import stage
 
@@ -86,11 +86,9 @@ class BinaryEncoder:
     def new_columns(self) -> list[str]:
         return [name for c in self.columns for name, _ in self.bit_columns(c)]
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Replace each category column by its bits; NULL and unseen categories become all zeros."""
+    def _with_ordinals(self, df: DataFrame) -> DataFrame:
+        """Add ``_ord{i}`` for the i-th category column: 1..n, NULL for a missing or unseen category."""
         require_columns(df, self.columns)
-        if not self.columns:
-            return df
         out = df
         for i, c in enumerate(self.columns):
             if self.inline is not None:
@@ -101,7 +99,14 @@ class BinaryEncoder:
             words = self.ordinals.where(F.col("column") == c).select(
                 F.col("value").alias(c), F.col("ordinal").alias(f"_ord{i}")
             )
-            out = lookup(out, words, [c], [f"_ord{i}"])
+            out = lookup_counted(out, words, c, [f"_ord{i}"])
+        return out
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Replace each category column by its bits; NULL and unseen categories become all zeros."""
+        if not self.columns:
+            return df
+        out = self._with_ordinals(df)
         kept = []
         for n in df.columns:
             if n not in self.columns:
@@ -113,6 +118,20 @@ class BinaryEncoder:
         return out.select(*kept)
 
 
+class CodeEncoder(BinaryEncoder):
+    """Category → code 0..n-1 in alphabetical order, in a column of the same name. It stands for one-hot columns of which the
+    first is left out: code 0, and with it a missing or unseen category, has none of them. The vocabulary stays on the cluster
+    and no row gets wider, so columns may have any number of categories."""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if not self.columns:
+            return df
+        out = self._with_ordinals(df)
+        return out.select(*[
+            F.greatest(F.coalesce(F.col(f"_ord{self.columns.index(n)}") - 1, F.lit(0)), F.lit(0)).cast("int").alias(n)
+            if n in self.columns else col(n) for n in df.columns])
+
+
 def binary_encode(df: DataFrame, target: str | None = None) -> tuple[DataFrame, dict]:
     """Encode all text columns but the target; also report widths before and after and the new names."""
     encoder = BinaryEncoder.fit(df, target)
@@ -157,27 +176,34 @@ def one_hot_encode(df: DataFrame, target: str | None = None) -> DataFrame:
 
 def one_hot_vector(df: DataFrame, columns: Sequence[str], output: str = "categories",
                    max_categories: int | None = None) -> DataFrame:
-    """Sparse one-hot vectors for wide vocabularies, with MLlib's indexer and encoder.
+    """Sparse one-hot vectors for wide vocabularies: codes by a join on the cluster, vectors from the codes.
 
-    The indexer keeps its labels on the driver; ``max_categories`` refuses wider tables if a caller wants that.
+    Per column there is one place for each category and a last one for missing cells. ``max_categories`` refuses wider tables if
+    a caller wants that.
     """
     if max_categories is not None and vocabulary([df], columns).limit(max_categories + 1).count() > max_categories:
         raise ValueError(f"more than {max_categories} categories: use BinaryEncoder")
-    from pyspark.ml import Pipeline
+    encoder = BinaryEncoder.fit(df, None, columns)
+    names = [f"_ord{i}" for i in range(len(columns))]
+    coded = encoder._with_ordinals(df)
+    index = {n: F.coalesce(F.col(n) - 1, F.lit(encoder.sizes[c])) for n, c in zip(names, columns, strict=True)}
+    return sparse_vector(coded.withColumns(index), names, [encoder.sizes[c] + 1 for c in columns], output).drop(*names)
+
+
+def sparse_vector(df: DataFrame, codes: Sequence[str], sizes: Sequence[int], output: str, drop_last: bool = False,
+                  dense: Sequence[str] = ()) -> DataFrame:
+    """A sparse vector with a place per category of each code column, after the numbers or vectors of ``dense``."""
     from pyspark.ml.feature import OneHotEncoder as VectorEncoder
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-
-    plain = [f"_c{i}" for i in range(len(columns))]
-    renamed = df
-    for p, c in zip(plain, columns, strict=True):
-        renamed = renamed.withColumn(p, col(c))
-    indexed, hot = [f"{p}_i" for p in plain], [f"{p}_v" for p in plain]
-    model = Pipeline(stages=[
-        StringIndexer(inputCols=plain, outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid="keep"),
-        VectorEncoder(inputCols=indexed, outputCols=hot, dropLast=False),
-        VectorAssembler(inputCols=hot, outputCol=output),
-    ]).fit(renamed)
-    return model.transform(renamed).drop(*plain, *indexed, *hot)
+    from pyspark.ml.feature import VectorAssembler
+
+    places = [f"_place{i}" for i in range(len(codes))]
+    hot = [f"_hot{i}" for i in range(len(codes))]
+    out = df.select("*", *[
+        F.col(c).cast("double").alias(p, metadata={"ml_attr": {"type": "nominal", "num_vals": int(n)}})
+        for c, p, n in zip(codes, places, sizes, strict=True)])
+    if codes:
+        out = VectorEncoder(inputCols=places, outputCols=hot, dropLast=drop_last).fit(out).transform(out)
+    return VectorAssembler(inputCols=[*dense, *hot], outputCol=output).transform(out).drop(*places, *hot)
 
 
 def split_features_label(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:

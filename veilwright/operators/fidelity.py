@@ -11,8 +11,12 @@ Result rows are ``(property, column, other, metric, score)``; ``other`` is the s
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,36 +194,139 @@ def _correlations_wide(real: DataFrame, synthetic: DataFrame, columns: Sequence[
 def correlation_similarity(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
     """1 - |corr R - corr S|/2 for all pairs of numeric columns.
 
-    Beyond a few columns the pairs of a row are exploded and combined map-side into one small state per pair, so the
-    plan stays the same size for any number of columns. A constant column has no correlation: its pairs get NULL.
+    A few columns are one aggregate, more are Gram matrices; neither multiplies rows. A constant column has no correlation: its
+    pairs get NULL.
     """
     pairs = list(itertools.combinations(range(len(columns)), 2))
     if not pairs:
         return _nothing(real)
-
-    def pick(t: DataFrame) -> DataFrame:
-        return t.select(F.array(*[as_number(t, n) for n in columns]).alias("x"))
-
     names = F.array(*[F.lit(n) for n in columns])
     if len(pairs) <= WIDE_PAIRS:
         return _rows(_correlations_wide(real, synthetic, columns, pairs), "Column Pair Trends",
                      "CorrelationSimilarity", F.get(names, F.col("a")), F.get(names, F.col("b")))
-    index = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    long = _both(real, synthetic, pick).select(
-        "_r", F.inline(F.transform(index, lambda p: F.struct(
-            p["a"].alias("a"), p["b"].alias("b"),
-            F.get(F.col("x"), p["a"]).alias("u"), F.get(F.col("x"), p["b"]).alias("v"),
-        )))
-    )
-    per = long.groupBy("a", "b").agg(
-        F.corr(F.when(F.col("_r") == 1, F.col("u")), F.when(F.col("_r") == 1, F.col("v"))).alias("cr"),
-        F.corr(F.when(F.col("_r") == 0, F.col("u")), F.when(F.col("_r") == 0, F.col("v"))).alias("cs"),
-    )
+    moments = gram(real.select(*[as_number(real, n).alias(f"x{i}") for i, n in enumerate(columns)]), "r").unionByName(
+        gram(synthetic.select(*[as_number(synthetic, n).alias(f"x{i}") for i, n in enumerate(columns)]), "s"))
+    per = moments.groupBy("a", "b").agg(
+        F.max(F.when(F.col("tag") == "r", F.col("c"))).alias("cr"), F.max(F.when(F.col("tag") == "s", F.col("c"))).alias("cs"))
     scored = per.select("a", "b", _correlation_score(F.col("cr"), F.col("cs")).alias("score"))
     return _rows(scored, "Column Pair Trends", "CorrelationSimilarity", F.get(names, F.col("a")),
                  F.get(names, F.col("b")))
 
 
+PARTS = ("n", "sa", "sb", "qa", "qb", "p")
+NOISE = 1e-13  # a variance below this share of the square sum is rounding: the column is constant
+
+
+def gram(wide: DataFrame, tag: str) -> DataFrame:
+    """``(tag, a, b, c)``: correlations of all pairs of columns over the rows that have both, from block Gram matrices.
+
+    A batch of rows is a matrix X (gaps as 0) and a mask M. MᵀM, XᵀM, (X·X)ᵀM and XᵀX hold all that the pairs need; each task adds
+    them up and sends one row per pair, so no row is multiplied. Columns are shifted by their means first, against cancellation.
+    """
+    names = wide.columns
+    d = len(names)
+    means = wide.agg(*[F.avg(n).alias(n) for n in names]).first()  # one number per column
+    shift = np.array([means[n] or 0.0 for n in names])
+    upper = np.triu_indices(d, 1)
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, d, d))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]) - shift
+            mask = ~np.isnan(x)
+            m, x = mask.astype(np.float64), np.where(mask, x, 0.0)
+            total += np.stack((m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x))
+        n, s, q, p = total
+        cells = (n[upper], s[upper], s.T[upper], q[upper], q.T[upper], p[upper])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(upper[0].astype(np.int32)), pa.array(upper[1].astype(np.int32)), *[pa.array(c) for c in cells]],
+            ["a", "b", *PARTS])
+
+    sums = wide.mapInArrow(job, "a int, b int, " + ", ".join(f"{c} double" for c in PARTS)).groupBy("a", "b").agg(
+        *[F.sum(c).alias(c) for c in PARTS])
+
+    def variance(square: str, plain: str) -> Column:
+        v = F.col(square) - F.col(plain) * F.try_divide(F.col(plain), F.col("n"))
+        return F.when(v > F.lit(NOISE) * F.col(square), v)
+
+    both = F.col("p") - F.col("sa") * F.try_divide(F.col("sb"), F.col("n"))
+    return sums.select(F.lit(tag).alias("tag"), "a", "b",
+                       F.try_divide(both, F.sqrt(variance("qa", "sa")) * F.sqrt(variance("qb", "sb"))).alias("c"))
+
+
+PAIR_COUNTS = "a int, b int, u string, v string, real_n long, synth_n long"
+PAIR_ROWS = 50_000  # rows whose pairs are counted in one step
+PAIR_ENTRIES = 2_000_000  # counts that a task holds before it sends them on
+
+
+class PairCounter:
+    """Joint counts of column pairs inside a task, by codes of its own that stand for the values met so far."""
+
+    def __init__(self, pairs: Sequence[tuple[int, int]], width: int) -> None:
+        self.pairs, self.width = pairs, width
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes: list[dict[str | None, int]] = [{} for _ in range(self.width)]
+        self.counts: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(self.pairs)
+        self.entries = 0
+
+    def _coded(self, i: int, column: pa.Array) -> np.ndarray:
+        found = column.dictionary_encode(null_encoding="encode")
+        codes = self.codes[i]
+        of = np.array([codes.setdefault(v, len(codes)) for v in found.dictionary.to_pylist()], np.int64)
+        return of[found.indices.to_numpy(zero_copy_only=False)] if len(column) else np.empty(0, np.int64)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        real = batch.column(0).to_numpy().astype(np.int64)
+        coded = [self._coded(i, c) for i, c in enumerate(batch.columns[1:])]
+        for j, (a, b) in enumerate(self.pairs):
+            keys, place = np.unique((coded[a] << 32) | coded[b], return_inverse=True)
+            n = np.bincount(place, minlength=len(keys))
+            r = np.bincount(place, weights=real, minlength=len(keys)).astype(np.int64)
+            new = (keys, np.stack((r, n - r)))
+            before = self.counts[j]
+            if before is not None:
+                keys, place = np.unique(np.concatenate((before[0], keys)), return_inverse=True)
+                both = np.concatenate((before[1], new[1]), axis=1)
+                new = (keys, np.stack([np.bincount(place, weights=w, minlength=len(keys)).astype(np.int64) for w in both]))
+                self.entries -= len(before[0])
+            self.counts[j] = new
+            self.entries += len(new[0])
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        values = [pa.array(list(c), pa.string()) for c in self.codes]
+        for (a, b), found in zip(self.pairs, self.counts, strict=True):
+            if found is None:
+                continue
+            keys, (r, s) = found
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), a, np.int32)), pa.array(np.full(len(keys), b, np.int32)),
+                 values[a].take(pa.array(keys >> 32)), values[b].take(pa.array(keys & 0xFFFFFFFF)), pa.array(r), pa.array(s)],
+                ["a", "b", "u", "v", "real_n", "synth_n"])
+
+
+def pair_counts(table: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """``(a, b, u, v, real_n, synth_n)`` for pairs of the text columns after ``_r`` (1: real). Rows are counted inside the tasks, each
+    as it is; what is shuffled is one row per task and pair of values that occurs."""
+    width = len(table.columns) - 1
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PairCounter(pairs, width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAIR_ROWS):
+                counter.add(batch.slice(at, PAIR_ROWS))
+                if counter.entries > PAIR_ENTRIES:
+                    yield from counter.batches()
+                    counter.clear()
+        yield from counter.batches()
+
+    return table.mapInArrow(job, PAIR_COUNTS).groupBy("a", "b", "u", "v").agg(
+        F.sum("real_n").alias("real_n"), F.sum("synth_n").alias("synth_n"))
+
+
 def contingency_similarity(real: DataFrame, synthetic: DataFrame, categorical: Sequence[str],
                            numerical: Sequence[str] = (), bins: int = PAIR_BINS) -> DataFrame:
     """1 - half the summed distance of joint shares, for all pairs with at least one categorical column.
@@ -248,17 +355,10 @@ def contingency_similarity(real: DataFrame, synthetic: DataFrame, categorical: S
             return F.lit(None).cast("string")
         return bin_index(as_number(t, n), low, high, bins).cast("string")
 
-    def pick(t: DataFrame) -> DataFrame:
-        return t.select(F.array(*[cell(t, n) for n in names]).alias("x"))
+    def pick(t: DataFrame, real_rows: int) -> DataFrame:
+        return t.select(F.lit(real_rows).alias("_r"), *[cell(t, n).alias(f"x{i}") for i, n in enumerate(names)])
 
-    index = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    long = _both(real, synthetic, pick).select(
-        "_r", "_s", F.inline(F.transform(index, lambda p: F.struct(
-            p["a"].alias("a"), p["b"].alias("b"),
-            F.get(F.col("x"), p["a"]).alias("u"), F.get(F.col("x"), p["b"]).alias("v"),
-        )))
-    )
-    counts = long.groupBy("a", "b", "u", "v").agg(*_counters())
+    counts = pair_counts(pick(real, 1).unionByName(pick(synthetic, 0)), pairs)
     r, s = _sizes(real, synthetic)
     gap = F.abs(F.try_divide(F.col("real_n"), r) - F.try_divide(F.col("synth_n"), s))
     score = counts.withColumn("_gap", gap).groupBy("a", "b").agg((F.lit(1.0) - F.sum("_gap") / 2).alias("score"))
@@ -311,3 +411,7 @@ def target_plot_data(real: DataFrame, synthetic: DataFrame, target: str, kind: s
     return counts.withColumns({
         "real_share": F.try_divide(F.col("real_n"), r), "synth_share": F.try_divide(F.col("synth_n"), s),
     })
+
+
+# The functions that run in tasks travel with the job, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,18 +6,22 @@ of its labels, a suppressed row pays the weight of the top label everywhere.
 * objective ``loss``: weight = (leaves-1)/(domain-1)
 * objective ``entropy``: weight = log2 freq(label) - log2 freq(value)
 
-All nodes are scored on the frequency table, never on base rows. Small searches are one job: every cell is
-exploded to all nodes and grouped by (node, class). Large ones climb the lattice level by level; a node's classes
-are rolled up from those of a node one step finer, and nodes that cannot win are left out together with everything
-above them: the cost without any suppression never falls on the way up and is a lower bound of the true cost.
+All nodes are scored on the frequency table, never on base rows: a batch of nodes is one job, in which every cell, rolled up as
+far as the batch allows, is exploded to the nodes and grouped by (node, class).
+
+The search goes best-first and never lists the nodes. A node's bound is its cost without suppression plus what the rows cost
+that a few attributes alone already force out; subsets of attributes are examined size after size, and what a smaller part
+rules out by the suppression limit or by cost is never asked of a larger one. Both bounds hold for all coarser nodes too, so the
+search ends when the least bound on the frontier exceeds the best cost found.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +29,13 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 from ..functions.joins import lookup
 from ..functions.staging import stage
-from .anonymity import MARGIN, KAnonymity, PrivacyModel, class_table, frequency_table, sensitive_of
+from .anonymity import MARGIN, EntropyLDiversity, KAnonymity, PrivacyModel, class_table, frequency_table, sensitive_of
 from .hierarchy import Hierarchy, label_column, validate_all
 from .loss import ground_values, label_weights
 
 OBJECTIVES = ("loss", "entropy")
 ONE_JOB_CELLS = 20_000_000
+LEAST_BATCH, LARGEST_BATCH = 8, 256
 CLOSE = 1e-9  # costs closer than this count as equal
 
 
@@ -155,76 +160,183 @@ def score_nodes(lattice: Lattice, models: Sequence[PrivacyModel],
     return _summary(class_table(keyed, keys, models, sums=["_s"], same=["_w"]), lattice)
 
 
-def _climb(lattice: Lattice, models: Sequence[PrivacyModel], limit: float) -> list[dict]:
-    """Level by level, each layer of nodes one job over rolled-up cells; pruned by the best cost so far."""
+def _monotone(models: Sequence[PrivacyModel]) -> bool:
+    """Whether a row that is kept at a node is kept at every coarser one: an entropy may fall when classes merge."""
+    return not any(isinstance(m, EntropyLDiversity) for m in models)
+
+
+def _projections(lattice: Lattice, models: Sequence[PrivacyModel], asked: dict[tuple[int, ...], list[tuple[int, ...]]]
+                 ) -> dict[tuple[tuple[int, ...], tuple[int, ...]], tuple[int, float]]:
+    """(attributes, levels) → rows suppressed and what that adds to the cost, when only these attributes count.
+
+    Subsets of one size are one job: cells are counted by the subset's ground values first, which partial counts keep small, then
+    each count visits the levels asked for. One row per subset and node comes back.
+    """
+    subsets = list(asked)
+    size = len(subsets[0])
+    views = F.array(*[
+        F.struct(F.lit(j).alias("_id"), F.array(*[col(f"_p{i}") for i in s]).alias("_paths")) for j, s in enumerate(subsets)])
+    seen = lattice.cells.select(F.explode(views).alias("_view"), *[col(x) for x in lattice.sensitive], "_n").select(
+        "_view._id", "_view._paths", *[col(x) for x in lattice.sensitive], "_n")
+    counts = seen.groupBy("_id", "_paths", *[col(x) for x in lattice.sensitive]).agg(F.sum("_n").alias("_n"))
+    spark = lattice.cells.sparkSession
+    wanted = spark.createDataFrame([(j, [list(u) for u in asked[s]]) for j, s in enumerate(subsets)],
+                                   "_id int, _nodes array<array<int>>")  # at most a row per subset
+    steps = F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
+                        lambda i: F.get(F.get(F.col("_paths"), i), F.get(F.col("_node"), i)))
+    keyed = counts.join(F.broadcast(wanted), "_id").select("*", F.explode("_nodes").alias("_node")).select(
+        "*", steps.alias("_steps")).select(
+        "_id", "_node", F.transform("_steps", lambda x: x["label"]).alias("_labels"), *[col(x) for x in lattice.sensitive], "_n",
+        F.aggregate("_steps", F.lit(0.0), lambda total, x: total + x["_w"]).alias("_w"))
+    classes = class_table(keyed, ["_id", "_node", "_labels"], models, same=["_w"])
+    top = lattice.top * size / len(lattice.hierarchies)
+    lost = classes.where(~F.col("kept")).groupBy("_id", "_node").agg(
+        F.sum("size").alias("rows"), F.sum(F.col("size") * (F.lit(top) - F.col("_w"))).alias("more"))
+    found = {(subsets[r["_id"]], tuple(r["_node"])): (r["rows"], r["more"]) for r in lost.collect()}
+    return {(s, u): found.get((s, u), (0, 0.0)) for s, us in asked.items() for u in us}
+
+
+@dataclass
+class Bounds:
+    """A lower bound of the cost of a node and of all coarser ones.
+
+    Rows that a few attributes alone make too rare are suppressed whatever the other attributes say, so the cost over a
+    subset of attributes, its suppressed rows included, bounds the whole; levels of a subset that suppress more than the limit
+    cannot be part of an answer. ``more[s][u]``: what the best levels of subset s at or above u cost beyond generalisation to u.
+    Subsets of ``pairs`` share no attribute, so theirs add up.
+    """
+
+    lattice: Lattice
+    more: dict[tuple[int, ...], dict[tuple[int, ...], float]] = field(default_factory=dict)
+    pairs: list[tuple[int, ...]] = field(default_factory=list)
+
+    def of(self, node: Sequence[int]) -> float:
+        extra = {s: table[tuple(node[i] for i in s)] for s, table in self.more.items()}
+        best = max(max(extra.values(), default=0.0), sum(extra[s] for s in self.pairs))
+        return self.lattice.bound(node) + best
+
+
+def _least_above(values: dict[tuple[int, ...], float]) -> dict[tuple[int, ...], float]:
+    """For each level vector the least value at or above it; vectors without a value are impossible."""
+    out: dict[tuple[int, ...], float] = {}
+    size = len(next(iter(values)))
+    for u in sorted(values, reverse=True):  # a coarser vector comes first
+        above = [out[v] for i in range(size) if (v := tuple(x + (j == i) for j, x in enumerate(u))) in out]
+        out[u] = min([values[u], *above])
+    return out
+
+
+def subset_bounds(lattice: Lattice, models: Sequence[PrivacyModel], limit: float, best: float, largest: int) -> Bounds:
+    """Bounds from all subsets of up to ``largest`` attributes, size after size: a subset's levels are examined only when all
+    its smaller parts can still be within the limit and cheaper than ``best``."""
+    q = len(lattice.hierarchies)
+    bounds = Bounds(lattice)
+    exact = _monotone(models)
+    if not exact and limit > 0:
+        return bounds  # rows that a part suppresses may be kept by the whole
+    possible: dict[tuple[int, ...], set[tuple[int, ...]]] = {}
+    for size in range(1, min(largest, q - 1) + 1):
+        asked: dict[tuple[int, ...], list[tuple[int, ...]]] = {}
+        for s in itertools.combinations(range(q), size):
+            parts = [(tuple(x for j, x in enumerate(s) if j != i), i) for i in range(size)] if size > 1 else []
+            nodes = [u for u in itertools.product(*[range(lattice.heights[i] + 1) for i in s])
+                     if all(tuple(x for j, x in enumerate(u) if j != i) in possible[part] for part, i in parts)]
+            possible[s] = set()
+            if nodes:
+                asked[s] = nodes
+        if not asked:
+            break
+        found = _projections(lattice, models, asked)
+        for s in itertools.combinations(range(q), size):
+            every = itertools.product(*[range(lattice.heights[i] + 1) for i in s])
+            plain = {u: sum(lattice.bounds[i][x] for i, x in zip(s, u, strict=True)) / lattice.scale for u in every}
+            values = dict.fromkeys(plain, math.inf)
+            for u in asked.get(s, []):
+                lost, more = found[s, u]
+                if lost <= limit * lattice.rows + MARGIN:
+                    cost = plain[u] + (more / lattice.scale if exact else 0.0)
+                    if cost <= best + CLOSE:
+                        values[u] = cost
+                        possible[s].add(u)
+            least = _least_above(values)
+            bounds.more[s] = {u: max(0.0, least[u] - plain[u]) for u in plain}
+    taken: set[int] = set()
+    for s, table in sorted(bounds.more.items(), key=lambda e: (-e[1][tuple([0] * len(e[0]))], e[0])):
+        if taken.isdisjoint(s):
+            bounds.pairs.append(s)
+            taken.update(s)
+    return bounds
+
+
+def _score_batch(lattice: Lattice, models: Sequence[PrivacyModel], nodes: list[tuple[int, ...]]) -> list[dict]:
+    """Score nodes in one job, from cells rolled up to the finest levels that any of them needs."""
+    q = len(lattice.hierarchies)
+    meet = [min(n[i] for n in nodes) for i in range(q)]
+    if any(meet):
+        paths = [F.slice(col(f"_p{i}"), meet[i] + 1, lattice.heights[i] + 1 - meet[i]).alias(f"_p{i}") for i in range(q)]
+        sensitive = [col(x) for x in lattice.sensitive]
+        rolled = lattice.cells.select(*paths, *sensitive, "_n", "_s").groupBy(*[f"_p{i}" for i in range(q)], *sensitive).agg(
+            F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+        lattice = replace(lattice, cells=rolled)
+    moved = [tuple(x - m for x, m in zip(n, meet, strict=True)) for n in nodes]
+    rows = [r.asDict() for r in score_nodes(lattice, models, moved).collect()]  # one row per node of the batch
+    return [r | {"node": [x + m for x, m in zip(r["node"], meet, strict=True)]} for r in rows]
+
+
+def _best_first(lattice: Lattice, models: Sequence[PrivacyModel], limit: float, batch: int, largest: int) -> list[dict]:
+    """Score nodes in the order of their bounds until no bound is below the best cost.
+
+    The frontier is a heap on the driver. A node's children raise its last raised attribute or a later one, so each node has one
+    way to it and no list of nodes is kept. Bounds never fall on that way.
+    """
     q = len(lattice.hierarchies)
-    paths = [f"_p{i}" for i in range(q)]
-    start = tuple([0] * q)
     lattice = replace(lattice, cells=stage(lattice.cells, "cells"))
-    layer = lattice.cells.withColumn("_node", F.array(*[F.lit(0) for _ in range(q)]))
-    alive, scored = [start], []
-    best = _greedy_bound(lattice, models, limit)
-    first = True
-    while alive:
-        if not first:
-            # Each node is rolled up from one node of the layer below: drop the first step of one path.
-            moves: dict[tuple[int, ...], list[tuple[tuple[int, ...], int]]] = {}
-            for node in alive:
-                axis = max(i for i in range(q) if node[i] > 0)
-                parent = tuple(x - (i == axis) for i, x in enumerate(node))
-                moves.setdefault(parent, []).append((node, axis))
-            choices = F.lit(None).cast("array<struct<_node:array<int>,axis:int>>")
-            for parent, steps in moves.items():
-                here = F.array(*[
-                    F.struct(F.array(*[F.lit(int(x)) for x in n]).alias("_node"), F.lit(a).alias("axis"))
-                    for n, a in steps
-                ])
-                choices = F.when(F.col("_node") == F.array(*[F.lit(int(x)) for x in parent]), here).otherwise(choices)
-            moved = layer.select(*paths, *[col(s) for s in lattice.sensitive], "_n", "_s",
-                                 F.explode(choices).alias("_m"))
-            layer = moved.select(
-                *[F.when(F.col("_m.axis") == i, F.slice(col(p), 2, lattice.heights[i] + 1)).otherwise(col(p)).alias(p)
-                  for i, p in enumerate(paths)],
-                *[col(s) for s in lattice.sensitive], "_n", "_s", F.col("_m._node").alias("_node"),
-            )
-            layer = stage(
-                layer.groupBy("_node", *paths, *[col(s) for s in lattice.sensitive]).agg(
-                    F.sum("_n").alias("_n"), F.sum("_s").alias("_s")
-                ),
-                "layer",
-            )
-        first = False
-        keys = ["_node", *[f"_c{i}" for i in range(q)]]
-        classes = class_table(_class_cells(layer, lattice, None), keys, models, sums=["_s"], same=["_w"])
-        found = [r.asDict() for r in _summary(classes, lattice).collect()]  # one row per node of this layer
-        scored += found
-        for r in found:
-            if r["suppressed"] <= limit * lattice.rows + MARGIN:
+
+    def fits(r: dict) -> bool:
+        return r["suppressed"] <= limit * lattice.rows + MARGIN
+
+    scored = {tuple(r["node"]): r for r in _score_batch(lattice, models, _chain(lattice))}
+    best = min([r["cost"] for r in scored.values() if fits(r)], default=math.inf)
+    nodes = math.prod(h + 1 for h in lattice.heights)
+    bounds = Bounds(lattice) if nodes <= batch else subset_bounds(lattice, models, limit, best, largest)
+    start = tuple([0] * q)
+    frontier = [(bounds.of(start), start)]
+    while frontier and frontier[0][0] <= best + CLOSE:
+        asked: list[tuple[int, ...]] = []
+        while frontier and len(asked) < batch and frontier[0][0] <= best + CLOSE:
+            _, node = heapq.heappop(frontier)
+            if node not in scored:
+                asked.append(node)
+            last = max((i for i in range(q) if node[i] > 0), default=0)
+            for axis in range(last, q):
+                if node[axis] < lattice.heights[axis]:
+                    child = tuple(x + (i == axis) for i, x in enumerate(node))
+                    bound = bounds.of(child)
+                    if bound <= best + CLOSE:
+                        heapq.heappush(frontier, (bound, child))
+        for r in _score_batch(lattice, models, asked) if asked else []:
+            scored[tuple(r["node"])] = r
+            if fits(r):
                 best = min(best, r["cost"])
-        reachable = {
-            tuple(x + (i == axis) for i, x in enumerate(node))
-            for node in alive for axis in range(q) if node[axis] < lattice.heights[axis]
-        }
-        alive = sorted(n for n in reachable if lattice.bound(n) <= best + CLOSE)
-    return scored
+    return list(scored.values())
 
 
-def _greedy_bound(lattice: Lattice, models: Sequence[PrivacyModel], limit: float) -> float:
-    """The best cost on one chain from bottom to top, scored in one job; it lets the climb prune from the start."""
+def _chain(lattice: Lattice) -> list[tuple[int, ...]]:
+    """Nodes from bottom to top, one step at a time, the cheapest generalisation first: they give a first cost to beat."""
     node, chain = [0] * len(lattice.hierarchies), []
     while True:
         chain.append(tuple(node))
         steps = [i for i, h in enumerate(lattice.heights) if node[i] < h]
         if not steps:
-            break
+            return chain
         cheapest = min(steps, key=lambda i: (lattice.bounds[i][node[i] + 1] - lattice.bounds[i][node[i]], i))
         node[cheapest] += 1
-    rows = score_nodes(lattice, models, chain).collect()  # one row per node of the chain
-    return min([r["cost"] for r in rows if r["suppressed"] <= limit * lattice.rows + MARGIN], default=math.inf)
 
 
 @dataclass
 class Optimum:
+    """``scored``: the nodes that were examined, a dictionary each; no other node within the limit costs as little."""
+
     node: dict[str, int]
     cost: float
     suppressed: int
@@ -238,18 +350,18 @@ class Optimum:
 def find_optimum(df: DataFrame | None, hierarchies: Sequence[Hierarchy],
                  models: Sequence[PrivacyModel] = (KAnonymity(2),), suppression_limit: float = 1.0,
                  objective: str = "loss", frequency: DataFrame | None = None,
-                 one_job_cells: int = ONE_JOB_CELLS) -> Optimum:
-    """The node with the lowest cost within the suppression limit; ties go to the lowest total level, then levels."""
+                 one_job_cells: int = ONE_JOB_CELLS, subsets: int = 2) -> Optimum:
+    """The node with the lowest cost within the suppression limit; ties go to the lowest total level, then levels.
+
+    ``one_job_cells``: cells times nodes of one job. ``subsets``: bounds come from all subsets of up to so many attributes.
+    """
     sensitive = sensitive_of(models)
     validate_all(hierarchies)
     if frequency is None:
         frequency = frequency_table(df, hierarchies, sensitive)
     lattice = build_lattice(frequency, hierarchies, objective, sensitive)
-    nodes = lattice.nodes()
-    if lattice.cell_count * len(nodes) <= one_job_cells:
-        scored = [r.asDict() for r in score_nodes(lattice, models, nodes).collect()]  # one row per node
-    else:
-        scored = _climb(lattice, models, suppression_limit)
+    batch = max(LEAST_BATCH, min(LARGEST_BATCH, one_job_cells // max(1, lattice.cell_count)))
+    scored = _best_first(lattice, models, suppression_limit, batch, subsets)
     fit = [r for r in scored if r["suppressed"] <= suppression_limit * lattice.rows + MARGIN]
     if not fit:
         raise ValueError("no node satisfies the privacy models within the suppression limit")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import as_number, col, field_type, from_number, numeric_columns, unpivot_text
 from ..functions.ranking import exact_quantiles
+from ..functions.sketches import quantile_sketches
 from ..sources.tables import nan_to_null
 
 STRATEGIES = (None, "drop", "mean", "median", "mode")
@@ -66,11 +67,11 @@ def impute_mean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return _fill(df, {n: row[f"m{i}"] for i, n in enumerate(names)})
 
 
-def impute_median(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+def impute_median(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True, error: float = 1e-4) -> DataFrame:
     """Fill numeric columns with their median.
 
     Exact medians come from counts of distinct values with distributed prefix sums. ``exact=False`` uses quantile
-    sketches: one scan, no shuffle of values.
+    sketches: one scan, no shuffle of values, and a rank that is off by ``error`` of the rows at most.
     """
     df = nan_to_null(df)
     names = list(columns) if columns is not None else numeric_columns(df)
@@ -79,10 +80,8 @@ def impute_median(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
     if exact:
         rows = exact_quantiles(df, names, [0.5]).collect()  # one row per column
         return _fill(df, {r["column"]: r["quantile"] for r in rows})
-    row = df.agg(
-        *[F.percentile_approx(as_number(df, n), 0.5, 100_000).alias(f"m{i}") for i, n in enumerate(names)]
-    ).first()
-    return _fill(df, {n: row[f"m{i}"] for i, n in enumerate(names)})
+    rows = quantile_sketches(df, names, [0.5], error).collect()  # one row per column
+    return _fill(df, {r["column"]: r["quantiles"][0] for r in rows if r["quantiles"]})
 
 
 def modes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

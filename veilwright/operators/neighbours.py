@@ -1,21 +1,25 @@
 """Exact k nearest neighbours between two tables.
 
-A training table that is counted and found small is broadcast: one pass over the query rows, no shuffle. Beyond that
-size, training rows are shuffled once, into cells around pivots. A query row is sent only to cells that can hold one of
-its k neighbours; the triangle inequality decides that from a small summary of each cell:
-
-* the k training rows nearest to each pivot bound the query's k-th distance from above;
-* the distance of the query to a pivot and the radii of its cell bound every distance in the cell from below.
-
-A cell of any size is cut into chunks of bounded size, and so are the query rows sent to it, so no task sees an
-unbounded group. Each (cell, chunk) returns at most k rows per query, a second shuffle by query keeps the k best.
-Nothing is approximated: the bounds only skip cells that cannot matter.
+A training table that is counted and found small, ids and labels included, is broadcast: one pass over the query rows, no
+shuffle. Beyond that size, training rows are shuffled once, into the leaves of a two-level tree of pivots: about √n leaf pivots, and
+about the square root of those above them, each leaf below its nearest one. A row goes to the nearest upper pivot and
+to the nearest leaf below it, so placing a row takes some 2·n^¼ distances. A query descends to the leaves that can hold one of
+its k neighbours; the triangle inequality decides that from a small summary of each node:
+
+* the k training rows nearest to each leaf pivot bound the query's k-th distance from above, better with each leaf seen;
+* the distance of the query to a pivot, the radii of its node and the planes halfway to other pivots bound every distance in the
+  node from below. Upper nodes are visited by that bound, until it exceeds the bound from above.
+
+A leaf of any size is cut into chunks of bounded size, and so are the query rows sent to it, so no task sees an
+unbounded group. Each (leaf, chunk) returns at most k rows per query, a second shuffle by query keeps the k best.
+Nothing is approximated: the bounds only skip leaves that cannot matter.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,11 +31,12 @@ from pyspark.sql import types as T
 from ..functions.columns import as_number, col
 from ..functions.staging import plan_bytes, stage
 
-PIVOTS = 64
+PIVOT_BYTES = 64 * 1024 * 1024  # leaf pivots on the driver and in each worker
 SLOTS = 64
 CHUNK_ROWS = 20_000
 SMALL_BYTES = 64 * 1024 * 1024  # training vectors up to this size are broadcast
 SPREAD_BYTES = 16 * 1024 * 1024
+ROUTE_ROWS = 2_000  # query rows that are routed in one step
 BLOCK_NUMBERS = 4_000_000  # numbers in one distance block inside a task
 SLACK = 1e-9
 
@@ -50,43 +55,166 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.vstack(series.to_numpy()).astype(np.float64) if len(series) else np.zeros((0, 0))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances by differences, block by block: no digits are lost to cancellation."""
+def squared_distances(a: np.ndarray, b: np.ndarray, codes: int = 0) -> np.ndarray:
+    """All squared distances by differences, block by block: no digits are lost to cancellation.
+
+    The last ``codes`` columns are category codes that stand for one-hot columns without the first: two different categories are
+    2 apart, or 1 if one of them is code 0."""
     out = np.empty((len(a), len(b)))
     step = max(1, BLOCK_NUMBERS // max(1, len(b) * a.shape[1]))
+    numbers = a.shape[1] - codes
     for i in range(0, len(a), step):
-        gap = a[i:i + step, None, :] - b[None, :, :]
-        out[i:i + step] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+        gap = a[i:i + step, None, :numbers] - b[None, :, :numbers]
+        out[i:i + step] = np.einsum("ijk,ijk->ij", gap, gap)
+        for j in range(numbers, a.shape[1]):
+            u, v = a[i:i + step, None, j], b[None, :, j]
+            out[i:i + step] += np.where(u == v, 0.0, 1.0 + ((u != 0) & (v != 0)))
     return out
 
 
-def _pivots(train: DataFrame, count: int) -> np.ndarray:
-    """At most ``count`` training vectors, those with the smallest hash: a fixed draw, found by a top-k."""
-    rows = train.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(count).collect()
-    return np.array([r["x"] for r in rows], dtype=np.float64)
-
-
-def _with_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot and the distance to it."""
+def _distances(a: np.ndarray, b: np.ndarray, codes: int = 0) -> np.ndarray:
+    return np.sqrt(squared_distances(a, b, codes))
+
+
+def _pivots(train: DataFrame, rows: int, count: int) -> np.ndarray:
+    """About ``count`` different training vectors: rows whose id hashes below a threshold, so nothing is sorted or compared."""
+    space = 1 << 40
+    picked = train.where(F.pmod(F.xxhash64(F.lit("pivot"), "tid"), F.lit(space)) < F.lit(min(space, space * count // max(1, rows))))
+    found = picked.select("x").collect()  # count rows, give or take its square root
+    if not found:
+        found = train.select("x").limit(1).collect()
+    return np.unique(np.array([r["x"] for r in found], dtype=np.float64), axis=0) if found else np.zeros((0, 0))
+
+
+class PivotTree:
+    """Upper pivots, and below each the leaves that are nearest to it."""
+
+    def __init__(self, points: np.ndarray, codes: int = 0) -> None:
+        self.points, self.codes = points, codes
+        step = max(1, round(len(points) ** 0.5))
+        self.upper = points[::step]
+        above = self.gaps(points, self.upper).argmin(axis=1)
+        above[::step] = np.arange(len(self.upper))
+        self.above = above
+        self.leaves = [np.flatnonzero(above == t) for t in range(len(self.upper))]
+
+    def gaps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _distances(a, b, self.codes)
+
+    def planes(self, gaps: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """Lower bounds from the planes halfway between each row's nearest point and the others; points' rows lie nearest to them."""
+        home = gaps.argmin(axis=1)
+        between = self.gaps(points, points)[home]
+        mine = gaps[np.arange(len(gaps)), home][:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.maximum(np.where(between > 0, (gaps**2 - mine**2) / (2 * between), 0.0), 0.0)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row its leaf, the distance to the leaf pivot and the distance to the upper one."""
+        gaps = self.gaps(x, self.upper)
+        top = gaps.argmin(axis=1)
+        leaf, gap = np.empty(len(x), np.int64), np.empty(len(x))
+        for t in np.unique(top):
+            rows = np.flatnonzero(top == t)
+            own = self.gaps(x[rows], self.points[self.leaves[t]])
+            best = own.argmin(axis=1)
+            leaf[rows], gap[rows] = self.leaves[t][best], own[np.arange(len(rows)), best]
+        return leaf, gap, gaps[np.arange(len(x)), top]
+
+
+def _with_cells(df: DataFrame, tree: PivotTree) -> DataFrame:
+    """Add the leaf, the distance to its pivot and the distance to the pivot above."""
+    shared = df.sparkSession.sparkContext.broadcast(tree)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                gaps = _distances(_matrix(pdf["x"]), pivots)
-                cell = gaps.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype("int32"), gap=gaps[np.arange(len(pdf)), cell])
+                cell, gap, upper = shared.value.place(_matrix(pdf["x"]))
+                yield pdf.assign(cell=cell.astype("int32"), gap=gap, upper=upper)
 
     schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()),
-                           T.StructField("gap", T.DoubleType())])
+                           T.StructField("gap", T.DoubleType()), T.StructField("upper", T.DoubleType())])
     return df.mapInPandas(assign, schema)
 
 
+@dataclass
+class Summary:
+    """Per leaf: rows, smallest and largest gap, the k smallest gaps. Per upper pivot: smallest and largest distance of its rows."""
+
+    tree: PivotTree
+    rows: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    near: np.ndarray
+    upper_low: np.ndarray
+    upper_high: np.ndarray
+
+    def route(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, leaf) pairs that have to be searched, and the number of pivots each query was compared with."""
+        tree = self.tree
+        gaps = tree.gaps(x, tree.upper)
+        below = np.maximum(np.maximum(gaps - self.upper_high, self.upper_low - gaps), tree.planes(gaps, tree.upper))
+        below[:, self.upper_high < 0] = np.inf  # nobody there
+        order = np.argsort(below, axis=1, kind="stable")
+        best = np.full((len(x), k), np.inf)
+        looked = np.full(len(x), len(tree.upper), np.int64)
+        queries, leaves, bounds = [], [], []
+        alive = np.arange(len(x))
+        for r in range(len(tree.upper)):
+            top = order[alive, r]
+            go = below[alive, top] <= self._reach(best[alive, k - 1])
+            alive, top = alive[go], top[go]  # later nodes are no nearer
+            if not len(alive):
+                break
+            for t in np.unique(top):
+                rows, own = alive[top == t], tree.leaves[t]
+                own = own[self.rows[own] > 0]
+                if not len(own):
+                    continue
+                g = tree.gaps(x[rows], tree.points[own])
+                looked[rows] += len(own)
+                seen = np.concatenate((best[rows], (g[:, :, None] + self.near[own][None]).reshape(len(rows), -1)), axis=1)
+                best[rows] = np.sort(np.partition(seen, k - 1, axis=1)[:, :k], axis=1)
+                # Rows of a leaf are nearest to it among the leaves below the same pivot, empty ones included.
+                least = np.maximum(np.maximum(g - self.high[own], self.low[own] - g), tree.planes(g, tree.points[own]))
+                queries.append(np.repeat(rows, len(own)))
+                leaves.append(np.tile(own, len(rows)))
+                bounds.append(least.ravel())
+        if not queries:
+            return np.empty(0, np.int64), np.empty(0, np.int64), looked
+        query, leaf, bound = np.concatenate(queries), np.concatenate(leaves), np.concatenate(bounds)
+        keep = bound <= self._reach(best[query, k - 1])
+        return query[keep], leaf[keep], looked
+
+    @staticmethod
+    def _reach(above: np.ndarray) -> np.ndarray:
+        return above * (1 + SLACK) + SLACK + 2e-9
+
+
+def _summary(placed: DataFrame, tree: PivotTree, k: int) -> Summary:
+    """At most pivots × (k + 5) numbers reach the driver."""
+    count = len(tree.points)
+    rows, low, high = np.zeros(count, np.int64), np.full(count, np.inf), np.full(count, -1.0)
+    upper_low, upper_high = np.full(len(tree.upper), np.inf), np.full(len(tree.upper), -1.0)
+    near = np.full((count, k), np.inf)
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high"),
+                                        F.min("upper").alias("ulow"), F.max("upper").alias("uhigh")).collect():
+        rows[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["low"], r["high"]
+        t = tree.above[r["cell"]]
+        upper_low[t], upper_high[t] = min(upper_low[t], r["ulow"]), max(upper_high[t], r["uhigh"])
+    for cell, gaps in _smallest(placed, k).items():
+        near[cell, :len(gaps)] = gaps[:k]
+    return Summary(tree, rows, low, high, near, upper_low, upper_high)
+
+
 def nearest(train: DataFrame, test: DataFrame, features: Sequence[str] | str, train_id: str, test_id: str,
-            k: int = 5, payload: str | None = None, pivots: int = PIVOTS, chunk_rows: int = CHUNK_ROWS,
-            small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """``(test_id, train_id, distance, rank[, payload])``: Euclidean, ties by the smaller training id.
+            k: int = 5, payload: str | None = None, pivots: int | None = None, chunk_rows: int = CHUNK_ROWS,
+            small_bytes: int = SMALL_BYTES, codes: int = 0) -> DataFrame:
+    """``(test_id, train_id, distance, rank[, payload])``: Euclidean, ties by the smaller training id. The last ``codes`` coordinates are
+    category codes in place of one-hot columns (``squared_distances``).
 
-    Rows with a missing coordinate have no distance and are left out on both sides. Ids must be unique.
+    Rows with a missing coordinate have no distance and are left out on both sides. Ids must be unique. ``pivots``: about how many
+    leaves the tree has, by default the square root of the training rows.
     """
     label = [col(payload).alias("payload")] if payload else []
     base = train.select(col(train_id).alias("tid"), vector_column(train, features).alias("x"), *label)
@@ -99,71 +227,32 @@ def nearest(train: DataFrame, test: DataFrame, features: Sequence[str] | str, tr
     if payload:
         out_fields.append(T.StructField("payload", base.schema["payload"].dataType))
     names = ["qid", "tid", "distance", *(["payload"] if payload else [])]
-    if fits_in_memory(base, "x", small_bytes):
-        found = _by_broadcast(base, asked, T.StructType(out_fields), names, k)
+    if fits_in_memory(base, "x", small_bytes, [n for n in ("tid", "payload") if n in base.columns]):
+        found = _by_broadcast(base, asked, T.StructType(out_fields), names, k, codes)
         return _named(found, test_id, train_id, payload)
 
-    centre = _pivots(base, pivots)
-    if len(centre) == 0:
+    built = _build(base, pivots, k, codes)
+    if built is None:
         empty = train.sparkSession.createDataFrame([], T.StructType(out_fields))
         return _ranked(empty, test_id, train_id, payload, k)
-
-    placed = stage(_with_cells(base, centre), "cells")
-    # Per cell: rows, smallest and largest gap, and the k smallest gaps. At most pivots × (k + 4) numbers.
-    summary = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high")
-    ).collect()
-    small = _smallest(placed, k)
-    cells = np.array([r["cell"] for r in summary])
-    low = np.array([r["low"] for r in summary])
-    high = np.array([r["high"] for r in summary])
-    chunks = np.array([max(1, -(-r["n"] // chunk_rows)) for r in summary])
-    near = np.array([small.get(int(c), [])[:k] + [np.inf] * max(0, k - len(small.get(int(c), []))) for c in cells])
-    own = centre[cells]
-    spread = _distances(own, own)
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            gaps = _distances(_matrix(pdf["x"]), own)
-            above = np.sort((gaps[:, :, None] + near[None, :, :]).reshape(len(pdf), -1), axis=1)[:, k - 1]
-            below = np.maximum(gaps - high[None, :], low[None, :] - gaps)
-            home = gaps.argmin(axis=1)
-            between = spread[home]
-            mine = gaps[np.arange(len(pdf)), home][:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = np.where(between > 0, (gaps**2 - mine**2) / (2 * between), 0.0)
-            below = np.maximum(np.maximum(below, plane), 0.0)
-            reach = above * (1 + SLACK) + SLACK
-            row, hit = np.nonzero(below <= reach[:, None] + 2e-9)
-            picked = pdf.iloc[row]
-            yield pd.DataFrame({"qid": picked["qid"].to_numpy(), "x": picked["x"].to_numpy(),
-                                "cell": cells[hit].astype("int32")})
-
-    routed = asked.mapInPandas(route, T.StructType([
-        T.StructField("qid", kind), T.StructField("x", T.ArrayType(T.DoubleType())),
-        T.StructField("cell", T.IntegerType()),
-    ]))
+    placed, summary = built
     # Query rows per cell may be many: they are cut too, and the chunks of training rows are repeated per cut.
-    sent = stage(routed, "routed")
+    sent = stage(_routed(asked, summary, k), "routed")
     loads = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cuts = {int(c): max(1, -(-loads.get(int(c), 0) // chunk_rows)) for c in cells}
-    parts = {int(c): int(n) for c, n in zip(cells, chunks, strict=True)}
-
-    def per_cell(values: dict[int, int]) -> Column:
-        dense = [values.get(i, 1) for i in range(len(centre))]
-        return F.get(F.expr("array(" + ", ".join(str(v) for v in dense) + ")"), F.col("cell"))
-
-    queries = sent.withColumn("cut", F.pmod(F.xxhash64("qid"), per_cell(cuts)).cast("int")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), per_cell(parts) - 1))
-    )
-    training = placed.withColumn("part", F.pmod(F.xxhash64("tid"), per_cell(parts)).cast("int")).withColumn(
-        "cut", F.explode(F.sequence(F.lit(0), per_cell(cuts) - 1))
+    sizes = train.sparkSession.createDataFrame(
+        [(c, max(1, -(-loads.get(c, 0) // chunk_rows)), max(1, -(-int(n) // chunk_rows)))
+         for c, n in enumerate(summary.rows.tolist()) if n], "cell int, cuts int, parts int")  # at most a row per pivot
+    sizes = F.broadcast(sizes)
+
+    queries = sent.join(sizes, "cell").withColumn("cut", F.pmod(F.xxhash64("qid"), F.col("cuts")).cast("int")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    ).select("cell", "part", "cut", "qid", "x")
+    training = placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")).withColumn(
+        "cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     )
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = list(_best(left, _training(right), names, k)) if len(left) and len(right) else []
+        found = list(_best(left, _training(right), names, k, codes)) if len(left) and len(right) else []
         out = pd.concat(found, ignore_index=True) if found else pd.DataFrame({n: [] for n in [*names, "rank"]})
         return out[names]
 
@@ -174,6 +263,48 @@ def nearest(train: DataFrame, test: DataFrame, features: Sequence[str] | str, tr
     return _ranked(candidates, test_id, train_id, payload, k)
 
 
+def _build(base: DataFrame, pivots: int | None, k: int, codes: int = 0) -> tuple[DataFrame, Summary] | None:
+    """Training rows with their leaves, written, and the summary of the tree; None for an empty table."""
+    rows, width = base.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    if not rows:
+        return None
+    wanted = pivots or max(1, round(rows ** 0.5))
+    tree = PivotTree(_pivots(base, rows, min(wanted, max(1, PIVOT_BYTES // (8 * max(1, width))))), codes)
+    placed = stage(_with_cells(base, tree), "cells")
+    return placed, _summary(placed, tree, k)
+
+
+def _routed(asked: DataFrame, summary: Summary, k: int) -> DataFrame:
+    """``qid, x, cell, looked``: each query row once per leaf that has to be searched; ``looked`` counts pivots."""
+    shared = asked.sparkSession.sparkContext.broadcast(summary)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), ROUTE_ROWS):
+                some = pdf.iloc[at:at + ROUTE_ROWS]
+                row, cell, looked = shared.value.route(_matrix(some["x"]), k)
+                yield pd.DataFrame({"qid": some["qid"].to_numpy()[row], "x": some["x"].to_numpy()[row],
+                                    "cell": cell.astype("int32"), "looked": looked[row]})
+
+    return asked.mapInPandas(route, T.StructType([
+        T.StructField("qid", asked.schema["qid"].dataType), T.StructField("x", T.ArrayType(T.DoubleType())),
+        T.StructField("cell", T.IntegerType()), T.StructField("looked", T.LongType())]))
+
+
+def search_effort(train: DataFrame, test: DataFrame, features: Sequence[str] | str, train_id: str, test_id: str,
+                  k: int = 5, pivots: int | None = None) -> DataFrame:
+    """``(test_id, distances)``: how many distances the tree search computes for each query, pivots and candidates together."""
+    base = train.select(col(train_id).alias("tid"), vector_column(train, features).alias("x"))
+    asked = test.select(col(test_id).alias("qid"), vector_column(test, features).alias("x"))
+    built = _build(base, pivots, k)
+    if built is None:
+        return asked.select(F.col("qid").alias(test_id), F.lit(0).cast("long").alias("distances"))
+    _, summary = built
+    sizes = train.sparkSession.createDataFrame([(c, n) for c, n in enumerate(summary.rows.tolist())], "cell int, n long")
+    return _routed(asked, summary, k).join(F.broadcast(sizes), "cell").groupBy(F.col("qid").alias(test_id)).agg(
+        (F.max("looked") + F.sum("n")).alias("distances"))
+
+
 def _smallest(placed: DataFrame, k: int) -> dict[int, list[float]]:
     """The k smallest gaps of each cell: first k per slot of a cell, which Spark cuts before the shuffle, then k of those."""
     from pyspark.sql import Window
@@ -199,13 +330,13 @@ def _training(pdf: pd.DataFrame) -> tuple:
             pdf["fold"].to_numpy() if "fold" in pdf else None)
 
 
-def _best(asked: pd.DataFrame, training: tuple, names: Sequence[str], k: int) -> Iterator[pd.DataFrame]:
+def _best(asked: pd.DataFrame, training: tuple, names: Sequence[str], k: int, codes: int = 0) -> Iterator[pd.DataFrame]:
     """The k nearest training rows of every query row, a bounded block of distances at a time."""
     tids, points, payload, folds = training
     wanted = _matrix(asked["x"])
     step = max(1, BLOCK_NUMBERS // max(1, len(points)))
     for i in range(0, len(wanted), step):
-        gaps = _distances(wanted[i:i + step], points)
+        gaps = _distances(wanted[i:i + step], points, codes)
         if folds is not None:
             gaps[asked["fold"].to_numpy()[i:i + step][:, None] == folds[None, :]] = np.inf
         row, flat, rank = _k_smallest(gaps, k)
@@ -235,14 +366,15 @@ def _k_smallest(gaps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return row[keep], column[keep], rank[keep].astype("int32")
 
 
-def _by_broadcast(base: DataFrame, asked: DataFrame, schema: T.StructType, names: Sequence[str], k: int) -> DataFrame:
+def _by_broadcast(base: DataFrame, asked: DataFrame, schema: T.StructType, names: Sequence[str], k: int,
+                  codes: int = 0) -> DataFrame:
     """Search a training table whose size has been checked: it is broadcast, query rows stay where they are."""
     shared = base.sparkSession.sparkContext.broadcast(_training(base.toPandas()))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield from _best(pdf, shared.value, names, k)
+                yield from _best(pdf, shared.value, names, k, codes)
 
     spark = base.sparkSession
     cores = spark.sparkContext.defaultParallelism
@@ -267,13 +399,17 @@ def _ranked(candidates: DataFrame, test_id: str, train_id: str, payload: str | N
     return _named(best, test_id, train_id, payload)
 
 
-def fits_in_memory(train: DataFrame, vector: str = "x", limit: int = SMALL_BYTES) -> bool:
-    """Counts the vectors; True when they may be broadcast."""
-    rows, width = train.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
-    return rows > 0 and rows * (width + 3) * 8 <= limit
+def fits_in_memory(train: DataFrame, vector: str = "x", limit: int = SMALL_BYTES, others: Sequence[str] = ()) -> bool:
+    """Counts the bytes of vectors and of the columns that travel with them; True when they may be broadcast."""
+    text = [F.sum(F.octet_length(F.col(n).cast("string"))) for n in others]
+    more = F.lit(0)
+    for t in text:
+        more = more + F.coalesce(t, F.lit(0))
+    rows, width, extra = train.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(0)), more).first()
+    return rows > 0 and rows * (width + 3) * 8 + extra <= limit
 
 
-def knn_cross_validate(prepared: DataFrame, k: int = 5) -> DataFrame:
+def knn_cross_validate(prepared: DataFrame, k: int = 5, codes: int = 0) -> DataFrame:
     """``(key, prediction)`` for a small table ``key, label, x, fold``: every row asks the rows of the other folds.
 
     All folds share one broadcast and one pass. The caller checks the size with ``fits_in_memory``.
@@ -284,7 +420,7 @@ def knn_cross_validate(prepared: DataFrame, k: int = 5) -> DataFrame:
         T.StructField("qid", asked.schema["qid"].dataType), T.StructField("tid", base.schema["tid"].dataType),
         T.StructField("distance", T.DoubleType()), T.StructField("payload", base.schema["payload"].dataType),
     ])
-    found = _by_broadcast(base, asked, schema, ["qid", "tid", "distance", "payload"], k)
+    found = _by_broadcast(base, asked, schema, ["qid", "tid", "distance", "payload"], k, codes)
     return vote(_named(found, "key", "neighbour", "label"), "key", "label")
 
 

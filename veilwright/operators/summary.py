@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_number, col, numeric_columns
 from ..functions.joins import lookup
 from ..functions.ranking import exact_quantiles
+from ..functions.sketches import quantile_sketches
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def min_max(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(x).alias("low"), F.max(x).alias("high"))
 
 
-def _moments(df: DataFrame, columns: Sequence[str], ids: Sequence[str], extra=None) -> DataFrame:
+def _moments(df: DataFrame, columns: Sequence[str], ids: Sequence[str]) -> DataFrame:
     """One row per (ids, column) from a single wide aggregate: the rows are never multiplied by the columns."""
     plan = []
     for i, n in enumerate(columns):
@@ -53,8 +54,6 @@ def _moments(df: DataFrame, columns: Sequence[str], ids: Sequence[str], extra=No
             F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
             F.min(x).alias("min"), F.max(x).alias("max"),
         ]
-        if extra is not None:
-            parts.append(extra(x).alias("quantiles"))
         plan.append(F.struct(F.lit(n).alias("column"), *parts).alias(f"s{i}"))
     grouped = df.groupBy(*[col(i) for i in ids]) if ids else df.groupBy()
     wide = grouped.agg(*plan)
@@ -62,18 +61,17 @@ def _moments(df: DataFrame, columns: Sequence[str], ids: Sequence[str], extra=No
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, ids: Sequence[str] = (),
-             exact: bool = True) -> DataFrame:
-    """Per column: count, mean, std, min, quartiles, max. ``exact=False`` takes the quartiles from sketches."""
+             exact: bool = True, error: float = 1e-4) -> DataFrame:
+    """Per column: count, mean, std, min, quartiles, max. ``exact=False`` takes the quartiles from sketches, whose ranks are off by
+    ``error`` of the rows at most."""
     names = list(columns) if columns is not None else [n for n in numeric_columns(df) if n not in ids]
     labels = (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
     key = [*ids, "column"]
     order = [*key, "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
     if not exact:
-        sketch = _moments(df, names, ids, lambda x: F.percentile_approx(x, [p for _, p in labels], 100_000))
-        return sketch.select(
-            *key, "count", "mean", "std", "min",
-            *[F.get("quantiles", F.lit(i)).alias(a) for i, (a, _) in enumerate(labels)], "max",
-        ).select(*order)
+        sketches = quantile_sketches(df, names, [p for _, p in labels], error, ids).select(
+            *key, *[F.get("quantiles", F.lit(i)).alias(a) for i, (a, _) in enumerate(labels)])
+        return lookup(_moments(df, names, ids), sketches, key, [a for a, _ in labels]).select(*order)
     quartiles = exact_quantiles(df, names, [p for _, p in labels], ids).groupBy(*key).agg(
         *[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(a) for a, p in labels]
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, require_columns
+from .quoted import largest_file, read_quoted, split_bytes
 
 # Cell texts that mean "missing" in delimited files.
 NA_TOKENS = ("", "NA", "N/A", "NaN", "nan", "-NaN", "-nan", "null", "NULL", "None", "n/a", "<NA>",
@@ -64,13 +65,15 @@ def load_table(spark: SparkSession, path: str, sep: str = ",", schema: T.StructT
     found by one aggregate over the text, after missing-value tokens have become NULL, so a single ``NA`` does not
     turn a number column into text.
 
-    With ``multi_line`` quoted cells may hold line breaks, and one file is read by one task: write many files, as
-    ``write_table`` does. Turn it off for large single files that are known to have no such cell, which can then be split.
+    With ``multi_line`` quoted cells may hold line breaks. Files that one task can take (``spark.sql.files.maxPartitionBytes``) are
+    then read file by file, larger ones by many tasks each (``sources.quoted``). Without it every line is a record.
     """
     text = _reader(spark, sep, multi_line).csv(path)
     if schema is not None:
         names = [f.name for f in schema.fields]
         text = _reader(spark, sep, multi_line).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
+    if multi_line and largest_file(spark, path) > split_bytes(spark):
+        text = read_quoted(spark, path, text.columns, sep)
     cleaned = text.select(
         *[F.when(~col(n).isin(*na_tokens), col(n)).alias(n) for n in text.columns]
     )
