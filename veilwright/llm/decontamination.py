@@ -122,68 +122,6 @@ def _blocks(benchmark: DataFrame, p: Decontamination) -> Iterator[list[tuple]]:
         yield [(r[0], bytes(r[1])) for r in dealt.where(F.col("block") == i).select("item_id", "text").collect()]
 
 
-def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set]:
-        """Marks of hit words (None: no hit) and the items with occurring windows."""
-        if not self.any or not words:
-            return None, set()
-        get = self.number.get
-        hits = list(self.automaton.iter(tuple([get(w, 0) for w in words])))
-        if not hits:
-            return None, set()
-        edge = np.zeros(len(words) + 1, np.int64)
-        items: set = set()
-        for end, (window, n) in hits:
-            edge[end + 1 - n] += 1
-            edge[end + 1] -= 1
-            items.update(self.items[window])
-        return np.cumsum(edge[:-1]) > 0, items
-
-
-SCAN = "doc_id long, text_key long, n_words long, hits array<int>, items array<long>, spans array<int>"
-
-
-def _scan(block, p: Decontamination):
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(block.value, p.words)
-        for batch in batches:
-            n, hits, items, spans = [], [], [], []
-            for (text,) in arrays(batch, "text"):
-                words = item_words(text)
-                marks, found = windows.scan(words)
-                n.append(len(words))
-                if marks is None:
-                    hits.append([])
-                    items.append([])
-                    spans.append([])
-                    continue
-                edges = np.diff(np.concatenate(([0], marks.view(np.int8), [0])))
-                first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
-                at = [m.span() for m in WORD.finditer(text.lower())]
-                hits.append(np.stack((first, last), 1).ravel().tolist())
-                spans.append([x for a, b in zip(first, last, strict=True) for x in (at[a][0], at[b][1])])
-                items.append(sorted(found, key=str))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")),
-                 batch.column(batch.schema.get_field_index("text_key")), pa.array(n, pa.int64()),
-                 pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64())),
-                 pa.array(spans, pa.list_(pa.int32()))],
-                ["doc_id", "text_key", "n_words", "hits", "items", "spans"])
-    return job
-
-
-def _blocks(benchmark: DataFrame, p: Decontamination) -> list[list[tuple]]:
-    """Items (id, text) by block; a block is collected only after its bytes are known to be few."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")) \
-        .where("item_id is not null and text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    n = max(1, -(-total // p.block_bytes))
-    if n == 1:
-        return [[(r[0], bytes(r[1])) for r in rows.collect()]]
-    dealt = stage(rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(2 * n))), "items")
-    return [[(r[0], bytes(r[1])) for r in dealt.where(F.col("block") == i).select("item_id", "text").collect()]
-            for i in range(2 * n)]
-
-
 def scan(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (byte offsets of hit passages in the
     UTF-8 text, start and end by turns), text_key.
