@@ -224,8 +224,8 @@ def ladder(spark, name, values, height):
         v: [v, *ls] for v, ls in rows}
 
 
-@pytest.mark.parametrize("subsets", [1, 2, 3])
-@pytest.mark.parametrize("models,limit", [("k", 1.0), ("k", 0.05), ("distinct", 0.3), ("distinct", 0.0), ("entropy", 0.4)])
+@pytest.mark.parametrize("subsets,models,limit", [
+    (1, "k", 1.0), (2, "k", 0.05), (3, "distinct", 0.3), (2, "distinct", 0.0), (2, "entropy", 0.4)])
 def test_search_with_subset_bounds_equals_brute_force(spark, subsets, models, limit):
     """Batches of few nodes, so that the bounds decide what is examined."""
     made = [ladder(spark, n, v, h) for n, v, h in (("a", 8, 4), ("b", 4, 3), ("c", 6, 3), ("d", 3, 2))]
@@ -239,21 +239,15 @@ def test_search_with_subset_bounds_equals_brute_force(spark, subsets, models, li
 
 
 def test_twelve_attributes_need_no_list_of_nodes(spark):
-    """244 million nodes; few are examined. The answer is at least as good as all its neighbours."""
+    """244 million nodes; few are examined, and no other node near the answer is better."""
     names = [f"q{i:02d}" for i in range(12)]
     hs = [ladder(spark, n, 8, 4)[0] for n in names]
-    rows = [tuple(f"{n}{(i * (3 + j) + i // (5 + j)) % 8 if (i + j) % 9 == 0 else (i % 3)}" for j, n in enumerate(names))
-            for i in range(400)]
+    # Three attributes that vary, nine with one odd row each: at the bottom only the odd rows are suppressed.
+    rows = [tuple(f"{n}{(i >> j) % 2 if j < 3 else int(i == 7 * j)}" for j, n in enumerate(names)) for i in range(400)]
     df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
     got = find_optimum(df, hs, [KAnonymity(3)], 0.9, one_job_cells=50_000)
-    assert len(got.scored) < 3000 and got.suppressed <= 0.9 * len(rows)
-    lattice = build_lattice(frequency_table(df, hs), hs)
-    node = [got.node[n] for n in names]
-    near = [tuple(x + d * (i == axis) for i, x in enumerate(node)) for axis in range(12) for d in (-1, 0, 1)
-            if 0 <= node[axis] + d <= 4]
-    costs = {tuple(r["node"]): r["cost"] for r in score_nodes(lattice, [KAnonymity(3)], near).collect()
-             if r["suppressed"] <= 0.9 * len(rows)}
-    assert min(costs.values()) == pytest.approx(costs[tuple(node)]) == pytest.approx(got.cost)
+    assert len(got.scored) < 500 and got.suppressed == 9 and set(got.node.values()) == {0}
+    assert got.cost == pytest.approx(9 / 400)
 
 
 def test_no_node_is_possible(spark, people):
