@@ -55,15 +55,17 @@ class Scoring:
 def pairs_of(texts: list[bytes], order: int) -> np.ndarray:
     """For each byte of each text and its end: the bytes before it, the last one highest, and below them the byte itself."""
     pad = b"\x00" * order
-    b = np.frombuffer(b"".join([x for t in texts for x in (pad, t, END)]), np.uint8).astype(np.uint64)
+    b = np.frombuffer(b"".join([x for t in texts for x in (pad, t, END)]), np.uint8)
     lens = np.array([len(t) for t in texts], np.int64) + 1
     coded = np.ones(len(b), bool)
     first = np.cumsum(lens + order) - lens - order
     for i in range(order):
         coded[first + i] = False
-    keys = b.copy()
+    keys = b.astype(np.uint64)
     for j in range(1, order + 1):
-        keys[j:] |= b[:-j] << np.uint64(8 * (order + 1 - j))
+        before = b[:-j].astype(np.uint64)
+        before <<= np.uint64(8 * (order + 1 - j))
+        keys[j:] |= before
     return keys[coded]
 
 
@@ -123,8 +125,11 @@ class Chunk:
         self.pieces = []
         for s in range(0, len(texts), DOCS):
             some = texts[s:s + DOCS]
-            doc = np.repeat(np.arange(len(some), dtype=np.uint64), self.lens[s:s + DOCS])
-            self.pieces.append(np.sort((pairs_of(some, order) << np.uint64(16)) | doc))
+            keys = pairs_of(some, order)  # eight bytes for each of the text: everything is done in place
+            keys <<= np.uint64(16)
+            keys |= np.repeat(np.arange(len(some), dtype=np.uint64), self.lens[s:s + DOCS])
+            keys.sort()
+            self.pieces.append(keys)
         runs = [p[_runs(p >> np.uint64(16))] >> np.uint64(16) for p in self.pieces]
         self.pairs = runs[0] if len(runs) == 1 else np.unique(np.concatenate(runs))
 
@@ -133,20 +138,18 @@ class Chunk:
         words = np.bincount(self.word_at[np.repeat(learn, self.n_words)], minlength=len(self.words))
         pairs = np.zeros(len(self.pairs), np.int64)
         for s, piece in enumerate(self.pieces):
-            key = piece >> np.uint64(16)
-            known = learn[s * DOCS:(s + 1) * DOCS][(piece & np.uint64(0xFFFF)).astype(np.int64)]
-            first = _runs(key)
-            pairs[np.searchsorted(self.pairs, key[first])] += np.add.reduceat(known.astype(np.int64), first)
+            first = _runs(piece >> np.uint64(16))
+            known = learn[s * DOCS:(s + 1) * DOCS][piece.astype(np.uint16)]  # the low 16 bits are the document
+            pairs[np.searchsorted(self.pairs, piece[first] >> np.uint64(16))] += np.add.reduceat(known, first, dtype=np.int64)
         return words, pairs
 
     def sums(self, logs: np.ndarray) -> np.ndarray:
         """Per document, the sum of its pairs' values."""
         out = []
         for s, piece in enumerate(self.pieces):
-            key = piece >> np.uint64(16)
-            first = _runs(key)
-            value = np.repeat(logs[np.searchsorted(self.pairs, key[first])], np.diff(np.append(first, len(key))))
-            out.append(np.bincount((piece & np.uint64(0xFFFF)).astype(np.int64), value, len(self.lens[s * DOCS:(s + 1) * DOCS])))
+            first = _runs(piece >> np.uint64(16))
+            value = np.repeat(logs[np.searchsorted(self.pairs, piece[first] >> np.uint64(16))], np.diff(np.append(first, len(piece))))
+            out.append(np.bincount(piece.astype(np.uint16), value, len(self.lens[s * DOCS:(s + 1) * DOCS])))
         return np.concatenate(out)
 
 
