@@ -234,7 +234,8 @@ def test_search_with_subset_bounds_equals_brute_force(spark, subsets, models, li
     df = spark.createDataFrame([(*v, s) for v, s in rows], "a string, b string, c string, d string, s string")
     want = brute_force(rows, [p for _, p in made], MODELS[models], limit, "loss")
     got = find_optimum(df, [h for h, _ in made], MODELS[models], limit, one_job_cells=0, subsets=subsets)
-    assert (tuple(got.node[x] for x in "abcd"), round(got.cost, 6)) == (want[2], want[0])
+    assert tuple(got.node[x] for x in "abcd") == want[2]
+    assert got.cost * len(rows) * 4 == pytest.approx(want[0], abs=1e-3)  # a share of the cost of suppressing everything
     assert len({tuple(r["node"]) for r in got.scored}) == len(got.scored)
 
 
