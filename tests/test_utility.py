@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veilwright.operators import neighbours
 from veilwright.operators.classifiers import ALL_MODELS, KNN, Task, all_predictions, fit_model
 from veilwright.operators.kernel_machine import fit_kernel_machine, rbf, solve_dual
-from veilwright.operators.neighbours import fits_in_memory, knn_predict, nearest, search_effort
+from veilwright.operators.neighbours import Index, fits_in_memory, knn_predict, nearest, search_effort, squared_distances
 from veilwright.operators.scoring import accuracy, class_scores, confusion, result_table, weighted_scores
 from veilwright.operators.splitting import train_test_split
 from veilwright.operators.summary import compare_models
@@ -44,6 +45,63 @@ def test_neighbours_equal_brute_force(spark, options):
         assert np.allclose([got[(q, r + 1)][1] for r in range(4)], d[order])
 
 
+@pytest.mark.parametrize("shape", ["sphere", "far", "copies", "narrow"])
+@pytest.mark.parametrize("codes", [0, 2])
+def test_index_equals_brute_force(shape, codes):
+    """Several boxes and groups; rounding must not lose a row, nor folds or category codes."""
+    rng = np.random.default_rng(6)
+    points, asked = (rng.normal(size=(n, 2 if shape == "narrow" else 20)) for n in (5000, 1200))
+    if shape == "sphere":
+        points, asked = (p / np.linalg.norm(p, axis=1, keepdims=True) for p in (points, asked))
+    elif shape == "far":
+        points, asked = points * 1e-4 + 1e6, asked * 1e-4 + 1e6
+    elif shape == "copies":
+        points[:3000] = points[0]
+        asked[:100] = points[0]
+    points, asked = (np.hstack((p, rng.integers(0, 3, (len(p), codes)))) for p in (points, asked))
+    folds, own = (rng.integers(0, 3, len(p)) for p in (points, asked))
+    for f, g in ((None, None), (folds, own)):
+        gaps, places = Index(points, f, codes).search(asked, g, 5)
+        all_ = np.sqrt(squared_distances(asked, points, codes))
+        if f is not None:
+            all_[g[:, None] == f[None, :]] = np.inf
+        best = np.argsort(all_, axis=1, kind="stable")[:, :5]
+        assert (places == best).all() if shape != "far" else np.allclose(gaps, np.take_along_axis(all_, best, 1), rtol=1e-9)
+        assert np.allclose(gaps, np.take_along_axis(all_, best, 1), rtol=1e-9)
+
+
+def test_index_measures_few_pairs(monkeypatch):
+    """A row of a narrow table is compared with its surroundings, not with all rows."""
+    rng = np.random.default_rng(7)
+    points, seen = rng.normal(size=(40_000, 2)), []
+    plain = neighbours._distances
+    monkeypatch.setattr(neighbours, "_distances", lambda a, b, codes=0: seen.append(len(a) * len(b)) or plain(a, b, codes))
+    Index(points, None, 0).search(points[:4000], None, 5)
+    assert sum(seen) < 4000 * len(points) / 5
+
+
+def test_query_rows_go_once_to_a_unit(spark):
+    """Where no leaf can be left out, a query row is not repeated for each leaf."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(rng.normal(size=(400, 30)))], "tid long, x array<double>")
+    placed, summary = neighbours._build(rows, 40, 5)
+    assert placed.count() == 400 and (summary.rows > 0).sum() > 20
+    _, units = neighbours._units(summary, 10)
+    sent = neighbours._routed(rows.withColumnRenamed("tid", "qid"), summary, 5, units)
+    assert sent.count() == 400 and sent.agg(F.max(F.size("cells"))).first()[0] == 1
+
+
+@pytest.mark.parametrize("options", [{}, {"small_bytes": 0}])
+def test_copies_of_a_vector(spark, options):
+    """Only the smallest ids of equal vectors are kept, and they win."""
+    train = spark.range(3000).select((2999 - F.col("id")).alias("i"), F.lit(1.0).alias("a"))
+    test = spark.range(3).select(F.col("id").alias("q"), F.lit(1.0).alias("a"))
+    assert sorted((r["q"], r["rank"], r["i"]) for r in nearest(train, test, ["a"], "i", "q", 4, **options).collect()) == [
+        (q, r + 1, r) for q in range(3) for r in range(4)]
+    base = train.select(F.col("i").alias("tid"), F.array("a").alias("x"))
+    assert neighbours._first_copies(base, 4, 1)[0].count() == 4
+
+
 def test_search_effort_grows_below_linearly(spark):
     """Clustered points: eight times the rows take less than four times the distances per query."""
     rng = np.random.default_rng(9)
