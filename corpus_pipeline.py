@@ -7,12 +7,13 @@ reads it. The last stage returns packed pieces.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilwright.functions.staging import scratch_path, stage
+from veilwright.functions.staging import broadcast_limit, plan_bytes, scratch_path, stage
 from veilwright.llm import decontamination, jaccard_join, packing, quality, toxicity
 from veilwright.llm.common import table
 from veilwright.llm.queries import WORD_BPE
@@ -27,13 +28,39 @@ def _text_key() -> Column:
     return F.xxhash64(F.col("text").cast("binary"))
 
 
+FILTER_WORDS = 1 << 19  # of 64 bits: the filter of dropped names is broadcast, so its size is fixed
+
+
+def _word(*name: str) -> Column:
+    return F.pmod(F.xxhash64(*name), F.lit(FILTER_WORDS))
+
+
+def _bits(*name: str) -> Column:
+    """Four bits of a name in its word of the filter."""
+    places = [F.pmod(F.xxhash64(F.lit(i), *name), F.lit(64)).cast("int") for i in range(4)]
+    return reduce(Column.bitwiseOR, [F.call_function("shiftleft", F.lit(1).cast("long"), i) for i in places])
+
+
 def _without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
-    """The rows of ``docs`` that no row of ``gone`` (doc_id, text_key) names. The names are written first, so Catalyst knows their
-    size: few are broadcast and documents stay where they are, many are joined."""
+    """The rows of ``docs`` that no row of ``gone`` (doc_id, text_key) names.
+
+    Documents stay where they are: few names are broadcast, of many a filter of fixed size. Rows that pass it are kept. Of
+    the others the names alone are compared, and those that the filter held by chance are kept as well."""
     names = stage(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct(), "gone")
-    marked = docs.withColumn("__key", key)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__key") == F.col("__gone_key"))
-    return marked.join(names, same, "left_anti").drop("__key")
+    marked = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", key)
+    same = F.col("__id").eqNullSafe(F.col("__gone_id")) & F.col("__key").eqNullSafe(F.col("__gone_key"))
+    if plan_bytes(names) <= broadcast_limit(docs.sparkSession):
+        return marked.join(names, same, "left_anti").select(*docs.columns)
+    held = stage(names.select(_word("__gone_id", "__gone_key").alias("__word"), _bits("__gone_id", "__gone_key").alias("__b"))
+                 .groupBy("__word").agg(F.bit_or("__b").alias("__bits")), "filter")  # at most FILTER_WORDS rows
+    place, bits = _word("__id", "__key"), _bits("__id", "__key")
+    tested = marked.join(F.broadcast(held), place == F.col("__word"), "left").withColumn(
+        "__hit", F.coalesce(F.col("__bits").bitwiseAND(bits) == bits, F.lit(False)))
+    hits = tested.where("__hit")
+    chance = stage(hits.select("__id", "__key").join(names, same, "left_anti").distinct().select(
+        F.col("__id").alias("__gone_id"), F.col("__key").alias("__gone_key")), "chance")
+    return tested.where("not __hit").select(*docs.columns).unionByName(
+        hits.join(chance, same, "left_semi").select(*docs.columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

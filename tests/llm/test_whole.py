@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from conftest import SF
 from llm.conftest import PROSE, frame
 
@@ -164,3 +165,21 @@ def test_chats_come_through_the_fold(spark):
     # Columns of other names that clash don't matter.
     assert Counter(map(tuple, chat.format_chats(chat.as_events(df)).collect())) == Counter(
         map(tuple, chat.format_chats(chat.as_events(df.drop("seq", "kind"))).collect()))
+
+
+@pytest.mark.parametrize("words", [1, 4, 1 << 10])
+def test_dropping_many_documents_moves_none(spark, setting, monkeypatch, words):
+    """Many names: documents aren't shuffled, and none is lost to a filter that is full by chance. NULL ids and copies too."""
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(corpus_pipeline, "FILTER_WORDS", words)
+    docs = spark.range(300).select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 150)
+                                   .alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionByName(docs.where("doc_id < 40"))
+    gone = docs.where("pmod(xxhash64(text), 3) = 0").select("doc_id", corpus_pipeline._text_key().alias("text_key"))
+    rest = corpus_pipeline._without(docs, gone, corpus_pipeline._text_key())
+    assert rest.columns == docs.columns
+    want = docs.where("pmod(xxhash64(text), 3) <> 0")
+    assert sorted(map(str, rest.collect())) == sorted(map(str, want.collect()))
+    if words > 4:
+        clean = rest._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+        assert "LeftAnti" not in clean and "broadcast" in clean
