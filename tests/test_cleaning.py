@@ -174,3 +174,13 @@ def test_write_and_read_back(spark, mixed, tmp_path):
     assert load_table(spark, out, "\t", mixed.schema)[0].count() == 6
     with pytest.raises(ValueError):
         write_table(mixed, str(tmp_path / "u"), "xml")
+
+
+def test_large_quoted_texts_are_written_by_many_tasks(spark):
+    """One task used to write all rows."""
+    from veilwright.catalogue.cleaning import large_files
+
+    docs = spark.range(200).select("id", F.repeat(F.lit("x"), 10).alias("text"))
+    assert large_files(docs).rdd.getNumPartitions() == 1
+    assert large_files(docs, 500).rdd.getNumPartitions() == 4 and large_files(docs, 500).count() == 200
+    assert large_files(docs.where("false"), 500).rdd.getNumPartitions() == 1

@@ -37,12 +37,24 @@ def load_quoted_text(spark, sf):
     return load_table(spark, path, ";", docs.schema)[0]
 
 
+FILE_BYTES = 256 * 1024 * 1024
+
+
+def large_files(docs, most: int = FILE_BYTES):
+    """``docs`` in as many partitions as keep their texts at about ``most`` bytes each."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-total // most))
+    return docs.coalesce(1) if parts == 1 else docs.repartition(parts)
+
+
 @query("a1_load_quoted_text_split", """SELECT doc_id, '  ' || text || chr(10) || '"quoted";  ' AS text, lang, source, n_chars
 FROM documents""")
 def load_quoted_text_split(spark, sf):
-    """The same from one large file, by many tasks: no range of it knows by itself whether it begins inside a cell."""
+    """The same from large files, by many tasks: no range of a file knows by itself whether it begins inside a cell.
+
+    Up to ``FILE_BYTES`` of text make one file; more are dealt to files of about that size, so no task writes them all."""
     docs = table(spark, sf, "documents").withColumn("text", F.concat(F.lit("  "), "text", F.lit('\n"quoted";  ')))
-    path = write_table(docs.coalesce(1), scratch_path(spark, "documents"), "csv", ";")
+    path = write_table(large_files(docs), scratch_path(spark, "documents"), "csv", ";")
     cells = read_quoted(spark, path, docs.columns, ";")
     return cells.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
