@@ -60,6 +60,19 @@ class Memo(dict):
         return value
 
 
+_remembering: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    """Called when a task begins whose operator remembers things from task to task. A worker outlives its job: what another operator
+    has left there is forgotten, so a worker holds the memory of one operator at a time."""
+    if name not in _remembering:
+        for done in _remembering.values():
+            done()
+        _remembering.clear()
+        _remembering[name] = forget
+
+
 WORD_HASH = Memo(xxhash.xxh64_intdigest, 400_000)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
-from .common import arrays, texts
+from .common import arrays, remembers, texts
 
 #: Bytes below 0x80 that are no ASCII letter or digit become blanks; everything else is part of a word.
 BLANKS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
@@ -81,6 +81,7 @@ SCAN = "doc_id long, text_key long, n_words long, hits array<int>, items array<l
 
 def _scan(block, p: Decontamination):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembers("windows", lambda: None)
         windows = Windows(block.value, p.words)
         for batch in batches:
             n, hits, items, spans = [], [], [], []

@@ -18,6 +18,8 @@ from itertools import filterfalse
 import numpy as np
 import regex
 
+from .common import remembers
+
 #: White space beyond blank and line feed, and characters that engines class in different ways.
 UNUSUAL = regex.compile("[\\x00-\\x09\\x0b-\\x1f\\x7f-\\xa0\\xad\\u0300-\\u036f\\u061c\\u1680\\u180e"
                         "\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]")
@@ -184,6 +186,7 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 def encoder(path: str, keeps_space: bool) -> Encoder:
     """One encoder per worker process, whose memory of pieces outlives a task."""
+    remembers("tokenization", _encoders.clear)
     key = (path, keeps_space)
     if key not in _encoders:
         _encoders[key] = Encoder(path, keeps_space)

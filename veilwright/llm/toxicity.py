@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays, column, id_remainder
+from .common import arrays, column, id_remainder, remembers
 
 STRIP = b".,;:!?\"'()[]{}|*&%$#<>"
 STOPS = (b".", b"!", b"?")
@@ -175,6 +175,7 @@ _describers: dict[tuple, Describer] = {}
 
 def describer_of(landmarks: list[str], decay: float) -> Describer:
     """The worker's describer for these landmarks; another set of them takes its place."""
+    remembers("toxicity", _describers.clear)
     key = (tuple(landmarks), decay)
     if key not in _describers:
         _describers.clear()
