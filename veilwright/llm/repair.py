@@ -26,6 +26,9 @@ from .common import column, partitions
 from .tokenization import encoder
 
 
+FACTORS = [0x9E3779B97F4A7C15 * n % (1 << 64) for n in range(1, 129, 2)]  # tried in turn
+
+
 @dataclass(frozen=True)
 class RePair:
     """``shard_ids``: a shard is closed at so many ids. ``rounds`` of at most ``pairs`` new rules, each for a pair that occurs
@@ -43,17 +46,19 @@ class RePair:
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, p: RePair) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, which of them end a document, and the rules (n x 2) of symbols base, base+1, ..."""
     # Two symbols make one key; small vocabularies fit in half the bytes and sort in half the time.
-    half = 16 if base + p.rounds * p.pairs <= 1 << 16 else 32
+    half = 16 if base + p.rounds * p.pairs < 1 << 16 else 32
     kind = np.uint32 if half == 16 else np.uint64
     shift, low = kind(half), kind((1 << half) - 1)
-    seq, last = ids.astype(kind), ends.copy()
+    never = kind(2 ** (2 * half) - 1)  # the key of no pair: no symbol is that large
+    seq, stops = ids.astype(kind), np.flatnonzero(ends)
     rules = np.empty((0, 2), kind)
     for _ in range(p.rounds):
         if len(seq) < 2:
             break
         keys = (seq[:-1] << shift) | seq[1:]
-        inner = ~last[:-1]
-        count = np.sort(keys[inner])
+        outer = stops[stops < len(keys)]
+        keys[outer] = never
+        count = np.sort(keys)[:len(keys) - len(outer)]
         if not len(count):
             break
         first = np.flatnonzero(np.concatenate(([True], count[1:] != count[:-1])))
@@ -64,28 +69,44 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, p: RePair) -> tuple[n
         if len(often) > p.pairs:
             often = often[np.argsort(-times[often], kind="stable")[:p.pairs]]
         chosen = np.sort(count[first[often]])
-        left = np.zeros(base + len(rules), bool)
-        right = left.copy()
-        left[chosen >> shift] = True
-        right[chosen & low] = True
-        at = np.flatnonzero(inner & left[seq[:-1]] & right[seq[1:]])
-        slot = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
-        hit = chosen[slot] == keys[at]
-        at, slot = at[hit], slot[hit]
+        at, slot = occurrences(keys, chosen)
         # In a run of overlapping occurrences every second one stays.
-        start = np.concatenate(([True], np.diff(at) != 1)) if len(at) else np.empty(0, bool)
-        into = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0)) if len(at) else at
-        even = into % 2 == 0
-        at, slot = at[even], slot[even]
+        run = np.flatnonzero(np.diff(at) == 1) + 1
+        if len(run):
+            new = np.ones(len(at), bool)
+            new[run] = False
+            place = np.arange(len(at))
+            into = place - np.maximum.accumulate(np.where(new, place, 0))
+            even = into % 2 == 0
+            at, slot = at[even], slot[even]
         seq[at] = slot.astype(kind) + kind(base + len(rules))
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        last[at] = last[at + 1]
-        seq, last = seq[keep], last[keep]
+        seq, stops = seq[keep], stops - np.searchsorted(at, stops)  # so many second halves lie at or before a stop
         rules = np.concatenate((rules, np.stack((chosen >> shift, chosen & low), axis=1)))
+    last = np.zeros(len(seq), bool)
+    last[stops] = True
     return seq.astype(np.uint32), last, rules.astype(np.uint32)
 
 
+def occurrences(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``keys`` has one of ``chosen`` (sorted, different), and which."""
+    # A table in which no two chosen keys share a place; a key that meets another one there is none of them.
+    bits = keys.dtype.itemsize * 8
+    size = min(bits - 1, 9 + len(chosen).bit_length())
+    for factor in FACTORS:
+        place = (chosen * chosen.dtype.type(factor >> (64 - bits) | 1)) >> chosen.dtype.type(bits - size)
+        if len(np.unique(place)) == len(chosen):
+            table = np.zeros(1 << size, np.uint16 if len(chosen) <= 1 << 16 else np.uint32)
+            table[place] = np.arange(len(chosen))
+            slot = table[(keys * keys.dtype.type(factor >> (64 - bits) | 1)) >> keys.dtype.type(bits - size)]
+            break
+    else:
+        slot = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
+    at = np.flatnonzero(chosen[slot] == keys)
+    return at, slot[at]
+
+
 def lengths(base: int, rules: np.ndarray) -> np.ndarray:
     """How many ids each rule expands to."""
     out: list[int] = []

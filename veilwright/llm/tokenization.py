@@ -4,7 +4,7 @@ Both tokenizers first split a text at white space: no part of theirs reaches fro
 white space. So a text is cut before each blank and line feed, the pieces are encoded by the tokenizers library and remembered,
 and their ids joined are the ids of the text. Where white space runs on, or a piece holds other white space or control
 characters, the text is encoded whole. So it is where an added token such as ``<|endoftext|>`` stands in it: the ids are those of
-the library's plain call.
+the library's plain call. Texts are cut, and pieces looked up, many at a time by NumPy.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import json
 import os
 from array import array
 from collections.abc import Sequence
-from itertools import filterfalse
 
 import numpy as np
 import regex
@@ -27,30 +26,118 @@ UNUSUAL = regex.compile("[\\x00-\\x09\\x0b-\\x1f\\x7f-\\xa0\\xad\\u0300-\\u036f\
 BYTE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-LIMIT = 250_000  # pieces of the newer generation
+LIMIT = 1_500_000  # pieces that are remembered
+PARTS = 250_000
 CHARS = 4_000_000
-LINE = 256  # new words that are encoded as one text
+LINE = 64  # new words that are encoded as one text
+WIDTH = 23  # bytes of a piece in the table; longer ones are in a dictionary
+LONG_BYTES = 16_000_000  # of those in the dictionary, and their ids in the table
+SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
+# Classes of bytes: where texts are cut, what is encoded whole, and what a comma or stop may follow.
+OTHER, WHITE, CONTROL, LETTER, STOP = range(5)
+NOTHING, FEED, COMMA, FULL_STOP = range(4)  # the first entries: no ids, and what a cut may stand for
+CLASSES = np.full(256, OTHER, np.uint8)
+CLASSES[:32] = CONTROL
+CLASSES[127] = CONTROL
+CLASSES[[10, 32]] = WHITE
+CLASSES[np.r_[65:91, 97:123]] = LETTER
+CLASSES[[44, 46]] = STOP
+# By length: which bits of a piece's three numbers are its bytes.
+MASKS = np.array([[(1 << 8 * min(max(n - at, 0), 8)) - 1 for at in (0, 8, 16)] for n in range(WIDTH + 1)], np.uint64).T.copy()
 
-class Generations:
-    """Values by piece. When the newer half is full it becomes the older one, and the older one is forgotten; a piece that is
-    asked for again moves to the newer half, so what is common stays."""
 
-    def __init__(self, limit: int) -> None:
-        self.limit, self.new, self.old = limit, {}, {}
+class Pieces:
+    """Ids by piece, looked up many at a time. A piece of at most ``WIDTH`` bytes is three numbers that hold its bytes and its kind,
+    so equal numbers are equal pieces. When ``limit`` entries are there, those that were met again since the last time stay. The
+    entries of ``fixed`` always stay. An entry of size -1 has no ids: its piece is unusual."""
+
+    def __init__(self, limit: int, dtype: np.dtype, fixed: list[bytes]) -> None:
+        self.limit, self.dtype, self.fixed = limit, dtype, fixed
+        self._empty()
+
+    def _empty(self) -> None:
+        self.n, self.used = 0, 0
+        self.keys = np.zeros((1 << 10, 3), np.uint64)
+        self.first, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.again = np.zeros(1 << 10, bool)
+        self.ids = np.zeros(1 << 12, self.dtype)
+        self.longer: dict[tuple[int, bytes], int] = {}
+        self.long_bytes = 0
+        self.slots = np.full(1 << 12, -1, np.int32)
+        size = np.array([len(x) for x in self.fixed], np.int64) // self.dtype.itemsize
+        self.add(np.zeros((len(size), 3), np.uint64), np.frombuffer(b"".join(self.fixed), self.dtype), size)
 
     def turn(self) -> None:
-        """Called between texts, never while pieces of a text are in use."""
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
+        """Called between texts, never while numbers of entries are in use."""
+        if self.n <= self.limit and self.long_bytes <= LONG_BYTES:
+            return
+        stay = np.flatnonzero(self.again[:self.n] & (self.size[:self.n] >= 0) & (self.keys[:self.n, 2] > 0))
+        keys, size = self.keys[stay], self.size[stay]
+        ids = self.ids[spread(self.first[stay], size)]
+        self._empty()
+        if len(stay) <= self.limit // 2:
+            self.add(keys, ids, size)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys @ SPREAD
+        mixed ^= mixed >> np.uint64(32)
+        return ((mixed * SPREAD[0]) >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each piece's entry, -1 if there is none."""
+        found = np.full(len(keys), -1, np.int64)
+        slot, open_ = self._place(keys), np.arange(len(keys))
+        while len(open_):
+            entry = self.slots[slot].astype(np.int64)
+            taken = entry >= 0
+            slot, open_, entry = slot[taken], open_[taken], entry[taken]
+            same = (self.keys[entry] == keys[open_]).all(axis=1)
+            found[open_[same]] = entry[same]
+            slot, open_ = (slot[~same] + 1) & (len(self.slots) - 1), open_[~same]
+        return found
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Entries for pieces that have none, their ids one after another. Keys of zeros are entries that are not looked up."""
+        n, used = self.n + len(keys), self.used + len(ids)
+        self.keys, self.first, self.size, self.again = (grown(x, n) for x in (self.keys, self.first, self.size, self.again))
+        self.ids = grown(self.ids, used)
+        new = np.arange(self.n, n)
+        self.keys[new], self.size[new], self.again[new] = keys, size, False
+        size = np.maximum(size, 0)
+        self.first[new] = self.used + np.cumsum(size) - size
+        self.ids[self.used:used] = ids
+        self.n, self.used = n, used
+        if 2 * n > len(self.slots):
+            self.slots = np.full(1 << (4 * n).bit_length(), -1, np.int32)
+            self._enter(np.arange(n))
+        else:
+            self._enter(new)
+        return new
+
+    def _enter(self, entry: np.ndarray) -> None:
+        entry = entry[self.keys[entry, 2] > 0]
+        slot = self._place(self.keys[entry])
+        while len(entry):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entry[free]
+            left = self.slots[slot] != entry
+            entry, slot = entry[left], (slot[left] + 1) & (len(self.slots) - 1)
+
 
-    def unknown(self, pieces: set[str]) -> set[str]:
-        """Those that neither half knows; those of the older half move to the newer one."""
-        if not self.old:
-            return pieces
-        kept = pieces & self.old.keys()
-        self.new.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
-        return pieces - kept
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` with room for ``n`` rows."""
+    if n <= len(x):
+        return x
+    out = np.zeros((n + n // 2, *x.shape[1:]), x.dtype)
+    out[:len(x)] = x
+    return out
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each stretch, one stretch after another."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Encoder:
@@ -74,13 +161,19 @@ class Encoder:
         suffix = source["model"].get("end_of_word_suffix")
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("Ġ") if keeps_space else bool(suffix) and token.endswith(suffix)
-        # For parts that are split and in lower case already.
-        self.part = Tokenizer.from_str(json.dumps(source | {"normalizer": None, "pre_tokenizer": PLAIN, "added_tokens": []}))
+        # For parts that are split and in lower case already; without blanks in them, several to a text.
+        split = PLAIN if keeps_space else {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, PLAIN]}
+        self.part = Tokenizer.from_str(json.dumps(source | {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}))
+        self.line = self.full if keeps_space else self.part
         self.keeps_space = keeps_space
         self.code = "H" if self.full.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype(self.code)
-        self.known = Generations(LIMIT)  # a piece after a blank, or from a line feed on; False: unusual
+        # A comma or stop after a letter, before white space, is a part of its own.
+        self.cuts = self.plain_marks and not any(c in t for t in added for c in ",.")
         self.parts: dict[str, bytes] = {}
+        self.feed = self._whole("\n") if keeps_space else b""  # before a character that is not white space
+        fixed = [b"", self.feed, *self._pack(self.part.encode_batch_fast([",", "."], add_special_tokens=False))]
+        self.known = Pieces(LIMIT, self.dtype, fixed)  # pieces after a blank, or after a line feed
 
     def _pack(self, encodings) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in encodings]
@@ -93,7 +186,7 @@ class Encoder:
         texts = [" " + " ".join(line) if self.keeps_space else " ".join(line) for line in lines]
         out: list[bytes] = []
         size = self.dtype.itemsize
-        for line, e in zip(lines, self.full.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        for line, e in zip(lines, self.line.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
             at = np.flatnonzero(self.edge[ids])
             ends = np.append(at[1:], len(ids)) if self.keeps_space else at + 1
@@ -105,29 +198,34 @@ class Encoder:
             out += [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        known, parts, blank = self.known.new, self.parts, " " if self.keeps_space else ""
+    def _learn(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of different pieces, None where one is unusual; a piece after a blank, or with a line feed first."""
+        known: dict[str, bytes | None] = {}
+        parts, blank = self.parts, " " if self.keeps_space else ""
+        if len(parts) > PARTS:
+            parts.clear()
         marks, unusual = self.marks, UNUSUAL.search
         # Most pieces are words of ASCII letters; the others are looked at one by one.
         words = list(filter(str.isascii, filter(str.isalpha, pieces))) if self.plain_marks else []
         ended, whole = [], []  # ended: a word with a comma or stop after it
         more: dict[str, list[str]] = {}
-        for p in pieces.difference(words):
+        for p in set(pieces).difference(words):
             latin = p.isascii() or max(p) < "Ā"  # beyond Latin-1, engines may split and lower-case in different ways
             if latin and p[-1] in ",." and p[:-1].isalpha():
                 ended.append(p)
             elif latin and self.plain_marks and p.isalpha():
                 words.append(p)
             elif unusual(p) or (marks and marks.search(p)):
-                known[p] = False
+                known[p] = None
             elif not latin:
                 whole.append(p)
+            elif blank and p[0] == "\n" and p[1:].isalpha():
+                more[p] = ["\n", p[1:]]
             elif blank:
                 more[p] = BYTE_PARTS.findall(p if p[0] == "\n" else " " + p)
             else:
                 more[p] = WORD_PARTS.findall(p.lower())
-        bare = {p[:-1] for p in ended}.difference(known, words)
-        words += self.known.unknown(bare)
+        words += {p[:-1] for p in ended}.difference(words)
         known.update(zip(words, self._words(words if blank else [w.lower() for w in words]), strict=True))
         new = [w for w in {",", "."}.union(*more.values()) if w not in parts]
         parts.update(zip(new, self._pack(self.part.encode_batch_fast(new, add_special_tokens=False)), strict=True))
@@ -136,6 +234,7 @@ class Encoder:
             known[p] = b"".join([parts[w] for w in ws])
         texts = [p if p[0] == "\n" else blank + p for p in whole]
         known.update(zip(whole, self._pack(self.full.encode_batch_fast(texts, add_special_tokens=False)), strict=True))
+        return [known[p] for p in pieces]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -153,33 +252,93 @@ class Encoder:
 
     def _ids(self, texts: list[str | None]) -> list[np.ndarray]:
         self.known.turn()
-        if len(self.parts) > LIMIT:
-            self.parts.clear()
-        known = self.known.new
-        cut, new = [], set()
-        for t in texts:
-            # A text begins like a line: its first piece is kept as one that follows a line feed.
-            s = ("\n" + t).replace("\n", " \n") if t else ""
-            if "  " in s or " \n " in s or s.endswith((" ", " \n")) or (self.spaced_marks and t and self.marks.search(t)):
-                cut.append(None)  # white space runs on
-                continue
-            pieces = s.split(" ")[1:]
-            new.update(filterfalse(known.__contains__, pieces))
-            cut.append(pieces)
-        new = self.known.unknown(new)
-        if new:
-            self._learn(new)
-        # Before a character that is not white space a line feed is a part, and so ids, of its own.
-        feed = len(self._whole("\n")) if self.keeps_space else 0
-        out = []
-        for t, pieces in zip(texts, cut, strict=True):
-            try:
-                data = self._whole(t) if pieces is None else b"".join(map(known.get, pieces))[feed:]
-            except TypeError:  # a piece is unusual
-                data = self._whole(t)
-            out.append(np.frombuffer(data, self.dtype))
+        raw = [(t or "").encode() for t in texts]
+        # A line feed stands before each text and after the last one, so every text begins and ends like a line.
+        data = b"\n".join([b"", *raw, b""])
+        data = data if self.keeps_space else data.lower()
+        buffer = np.frombuffer(data, np.uint8)
+        head = np.cumsum([0, *[len(r) + 1 for r in raw]])
+        kind = CLASSES[buffer]
+        cut = kind == WHITE
+        white = np.flatnonzero(cut)
+        whole = np.zeros(len(texts) + 1, bool)  # the last one: the line feed after all texts
+        for at in (white[:-1][np.diff(white) == 1], np.flatnonzero(kind == CONTROL)):  # white space runs on
+            whole[np.searchsorted(head, at, side="right") - 1] = True
+        if self.spaced_marks:
+            for i, t in enumerate(texts):
+                whole[i] |= bool(t and self.marks.search(t))
+        if self.cuts:
+            stops = np.flatnonzero(kind == STOP)
+            cut[stops[(kind[stops - 1] == LETTER) & (kind[stops + 1] == WHITE)]] = True
+        at = np.flatnonzero(cut)
+        # Places in turn: what a cut stands for, and the piece up to the next cut.
+        entry = np.zeros((len(at), 2), np.int64)
+        sign = buffer[at]
+        entry[:, 0] = np.where(sign == 32, NOTHING, np.where(sign == 10, FEED, np.where(sign == 44, COMMA, FULL_STOP)))
+        heads = np.searchsorted(at, head)
+        entry[heads, 0] = 0
+        start, length = at + 1, np.diff(at, append=at[-1] + 1) - 1
+        if whole.any():
+            text_of = np.repeat(np.arange(len(texts) + 1), np.diff(heads, append=len(at)))
+            entry[whole[text_of]] = 0
+            length[whole[text_of]] = 0
+        first = (sign == 10).astype(np.int64) if self.keeps_space else np.zeros(len(at), np.int64)
+        some = np.flatnonzero(length > 0)
+        entry[some, 1] = self._entries(data, start[some], length[some], first[some])
+        entry = entry.ravel()
+        size = self.known.size[entry]
+        odd = np.flatnonzero(size < 0)  # a piece is unusual
+        if len(odd):
+            whole[np.searchsorted(heads, odd >> 1, side="right") - 1] = True
+            size[odd] = 0
+        ids = self.known.ids[spread(self.known.first[entry], size)]
+        ends = np.concatenate(([0], np.cumsum(size)))[2 * heads].tolist()
+        return [np.frombuffer(self._whole(t or ""), self.dtype) if w else ids[a:b]
+                for t, w, a, b in zip(texts, whole.tolist(), ends, ends[1:], strict=False)]
+
+    def _entries(self, data: bytes, start: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The entry of each piece, new ones made; ``first``: the piece begins a line."""
+        known = self.known
+        short = length <= WIDTH
+        n = np.where(short, length, 0)
+        numbers = np.frombuffer(data + bytes(40 - len(data) % 8), "<u8")
+        place, shift = start >> 3, ((start & 7) << 3).astype(np.uint64)
+        back = np.uint64(63) - shift
+        near = [numbers[np.minimum(place + i, len(numbers) - 1)] for i in range(4)]
+        keys = np.empty((len(start), 3), np.uint64)
+        for i in range(3):
+            keys[:, i] = ((near[i] >> shift) | ((near[i + 1] << np.uint64(1)) << back)) & MASKS[i][n]
+        keys[:, 2] |= (first.astype(np.uint64) + np.uint64(1)) << np.uint64(56)
+        out = known.find(keys)
+        out[~short] = -1
+        known.again[out[out >= 0]] = True
+        lost = np.flatnonzero((out < 0) & short)
+        if len(lost):
+            order = lost[np.lexsort(keys[lost].T)]
+            fresh = np.concatenate(([True], (keys[order[1:]] != keys[order[:-1]]).any(axis=1)))
+            made = self._make(data, start[order[fresh]], length[order[fresh]], first[order[fresh]], keys[order[fresh]])
+            out[order] = made[np.cumsum(fresh) - 1]
+        far = np.flatnonzero(~short).tolist()
+        if far:
+            names = [(f, data[a:a + n]) for f, a, n in zip(first[far].tolist(), start[far].tolist(), length[far].tolist(), strict=True)]
+            new = {name: i for name, i in zip(names, far, strict=True) if name not in known.longer}
+            if new:
+                i = np.array(list(new.values()))
+                made = self._make(data, start[i], length[i], first[i], np.zeros((len(i), 3), np.uint64))
+                known.longer.update(zip(new, made.tolist(), strict=True))
+                known.long_bytes += int(length[i].sum()) + int(known.size[made].sum())
+            out[far] = [known.longer[name] for name in names]
         return out
 
+    def _make(self, data: bytes, start: np.ndarray, length: np.ndarray, first: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Entries of different pieces that have none."""
+        pieces = [data[a:a + n].decode() for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+        pieces = ["\n" + p if f else p for p, f in zip(pieces, first.tolist(), strict=True)]
+        cut = len(self.feed)
+        found = [x and x[cut:] if f else x for x, f in zip(self._learn(pieces), first.tolist(), strict=True)]
+        size = np.array([-1 if x is None else len(x) // self.dtype.itemsize for x in found])
+        return self.known.add(keys, np.frombuffer(b"".join(filter(None, found)), self.dtype), size)
+
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
