@@ -39,7 +39,7 @@ def test_a_word_is_encoded_once_whatever_stands_around_it(monkeypatch, path, kee
 def test_pieces_met_again_stay_when_the_table_is_full():
     pieces = tokenization.Pieces(10, np.dtype("H"), [b""])
     keys = np.array([[i, 0, 1 << 56] for i in range(12)], np.uint64)
-    pieces.add(keys, np.arange(24, dtype="H"), np.full(12, 2))
+    pieces.enter(keys, np.arange(24, dtype="H"), np.full(12, 2))
     pieces.again[pieces.find(keys[3:5])] = True
     pieces.turn()
     at = pieces.find(keys)

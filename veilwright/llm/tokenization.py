@@ -18,6 +18,7 @@ import numpy as np
 import regex
 
 from .common import remembers
+from .keys import WIDTH, KeyTable, groups, grown, keys_of
 
 #: White space beyond blank and line feed, and characters that engines class in different ways.
 UNUSUAL = regex.compile("[\\x00-\\x09\\x0b-\\x1f\\x7f-\\xa0\\xad\\u0300-\\u036f\\u061c\\u1680\\u180e"
@@ -30,9 +31,7 @@ LIMIT = 1_500_000  # pieces that are remembered
 PARTS = 250_000
 CHARS = 4_000_000
 LINE = 64  # new words that are encoded as one text
-WIDTH = 23  # bytes of a piece in the table; longer ones are in a dictionary
 LONG_BYTES = 16_000_000  # of those in the dictionary, and their ids in the table
-SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 # Classes of bytes: where texts are cut, what is encoded whole, and what a comma or stop may follow.
 OTHER, WHITE, CONTROL, LETTER, STOP = range(5)
@@ -43,96 +42,50 @@ CLASSES[127] = CONTROL
 CLASSES[[10, 32]] = WHITE
 CLASSES[np.r_[65:91, 97:123]] = LETTER
 CLASSES[[44, 46]] = STOP
-# By length: which bits of a piece's three numbers are its bytes.
-MASKS = np.array([[(1 << 8 * min(max(n - at, 0), 8)) - 1 for at in (0, 8, 16)] for n in range(WIDTH + 1)], np.uint64).T.copy()
 
 
-class Pieces:
-    """Ids by piece, looked up many at a time. A piece of at most ``WIDTH`` bytes is three numbers that hold its bytes and its kind,
-    so equal numbers are equal pieces. When ``limit`` entries are there, those that were met again since the last time stay. The
-    entries of ``fixed`` always stay. An entry of size -1 has no ids: its piece is unusual."""
+class Pieces(KeyTable):
+    """Ids by piece. When ``limit`` entries are there, those that were met again since the last time stay. The entries of ``fixed``
+    always stay. An entry of size -1 has no ids: its piece is unusual."""
 
     def __init__(self, limit: int, dtype: np.dtype, fixed: list[bytes]) -> None:
         self.limit, self.dtype, self.fixed = limit, dtype, fixed
         self._empty()
 
     def _empty(self) -> None:
-        self.n, self.used = 0, 0
-        self.keys = np.zeros((1 << 10, 3), np.uint64)
+        super().__init__()
+        self.used = 0
         self.first, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
-        self.again = np.zeros(1 << 10, bool)
         self.ids = np.zeros(1 << 12, self.dtype)
         self.longer: dict[tuple[int, bytes], int] = {}
         self.long_bytes = 0
-        self.slots = np.full(1 << 12, -1, np.int32)
         size = np.array([len(x) for x in self.fixed], np.int64) // self.dtype.itemsize
-        self.add(np.zeros((len(size), 3), np.uint64), np.frombuffer(b"".join(self.fixed), self.dtype), size)
+        self.enter(np.zeros((len(size), 3), np.uint64), np.frombuffer(b"".join(self.fixed), self.dtype), size)
 
     def turn(self) -> None:
         """Called between texts, never while numbers of entries are in use."""
         if self.n <= self.limit and self.long_bytes <= LONG_BYTES:
             return
-        stay = np.flatnonzero(self.again[:self.n] & (self.size[:self.n] >= 0) & (self.keys[:self.n, 2] > 0))
+        stay = self.met_again()
+        stay = stay[self.size[stay] >= 0]
         keys, size = self.keys[stay], self.size[stay]
         ids = self.ids[spread(self.first[stay], size)]
         self._empty()
         if len(stay) <= self.limit // 2:
-            self.add(keys, ids, size)
+            self.enter(keys, ids, size)
 
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        mixed = keys @ SPREAD
-        mixed ^= mixed >> np.uint64(32)
-        return ((mixed * SPREAD[0]) >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each piece's entry, -1 if there is none."""
-        found = np.full(len(keys), -1, np.int64)
-        slot, open_ = self._place(keys), np.arange(len(keys))
-        while len(open_):
-            entry = self.slots[slot].astype(np.int64)
-            taken = entry >= 0
-            slot, open_, entry = slot[taken], open_[taken], entry[taken]
-            same = (self.keys[entry] == keys[open_]).all(axis=1)
-            found[open_[same]] = entry[same]
-            slot, open_ = (slot[~same] + 1) & (len(self.slots) - 1), open_[~same]
-        return found
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Entries for pieces that have none, their ids one after another. Keys of zeros are entries that are not looked up."""
-        n, used = self.n + len(keys), self.used + len(ids)
-        self.keys, self.first, self.size, self.again = (grown(x, n) for x in (self.keys, self.first, self.size, self.again))
-        self.ids = grown(self.ids, used)
-        new = np.arange(self.n, n)
-        self.keys[new], self.size[new], self.again[new] = keys, size, False
+    def enter(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Entries for pieces that have none, their ids one after another."""
+        new = self.add(keys)
+        self.first, self.size = grown(self.first, self.n), grown(self.size, self.n)
+        self.size[new] = size
         size = np.maximum(size, 0)
         self.first[new] = self.used + np.cumsum(size) - size
-        self.ids[self.used:used] = ids
-        self.n, self.used = n, used
-        if 2 * n > len(self.slots):
-            self.slots = np.full(1 << (4 * n).bit_length(), -1, np.int32)
-            self._enter(np.arange(n))
-        else:
-            self._enter(new)
+        self.ids = grown(self.ids, self.used + len(ids))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
         return new
 
-    def _enter(self, entry: np.ndarray) -> None:
-        entry = entry[self.keys[entry, 2] > 0]
-        slot = self._place(self.keys[entry])
-        while len(entry):
-            free = self.slots[slot] < 0
-            self.slots[slot[free]] = entry[free]
-            left = self.slots[slot] != entry
-            entry, slot = entry[left], (slot[left] + 1) & (len(self.slots) - 1)
-
-
-def grown(x: np.ndarray, n: int) -> np.ndarray:
-    """``x`` with room for ``n`` rows."""
-    if n <= len(x):
-        return x
-    out = np.zeros((n + n // 2, *x.shape[1:]), x.dtype)
-    out[:len(x)] = x
-    return out
-
 
 def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places first, first + 1, ... of each stretch, one stretch after another."""
@@ -299,25 +252,15 @@ class Encoder:
     def _entries(self, data: bytes, start: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The entry of each piece, new ones made; ``first``: the piece begins a line."""
         known = self.known
-        short = length <= WIDTH
-        n = np.where(short, length, 0)
-        numbers = np.frombuffer(data + bytes(40 - len(data) % 8), "<u8")
-        place, shift = start >> 3, ((start & 7) << 3).astype(np.uint64)
-        back = np.uint64(63) - shift
-        near = [numbers[np.minimum(place + i, len(numbers) - 1)] for i in range(4)]
-        keys = np.empty((len(start), 3), np.uint64)
-        for i in range(3):
-            keys[:, i] = ((near[i] >> shift) | ((near[i + 1] << np.uint64(1)) << back)) & MASKS[i][n]
-        keys[:, 2] |= (first.astype(np.uint64) + np.uint64(1)) << np.uint64(56)
+        keys = keys_of(data, start, length, first + 1)
         out = known.find(keys)
-        out[~short] = -1
-        known.again[out[out >= 0]] = True
+        short = length <= WIDTH
         lost = np.flatnonzero((out < 0) & short)
         if len(lost):
-            order = lost[np.lexsort(keys[lost].T)]
-            fresh = np.concatenate(([True], (keys[order[1:]] != keys[order[:-1]]).any(axis=1)))
-            made = self._make(data, start[order[fresh]], length[order[fresh]], first[order[fresh]], keys[order[fresh]])
-            out[order] = made[np.cumsum(fresh) - 1]
+            order, fresh = groups(keys[lost])
+            order = lost[order]
+            one = order[fresh]
+            out[order] = self._make(data, start[one], length[one], first[one], keys[one])[np.cumsum(fresh) - 1]
         far = np.flatnonzero(~short).tolist()
         if far:
             names = [(f, data[a:a + n]) for f, a, n in zip(first[far].tolist(), start[far].tolist(), length[far].tolist(), strict=True)]
@@ -337,7 +280,7 @@ class Encoder:
         cut = len(self.feed)
         found = [x and x[cut:] if f else x for x, f in zip(self._learn(pieces), first.tolist(), strict=True)]
         size = np.array([-1 if x is None else len(x) // self.dtype.itemsize for x in found])
-        return self.known.add(keys, np.frombuffer(b"".join(filter(None, found)), self.dtype), size)
+        return self.known.enter(keys, np.frombuffer(b"".join(filter(None, found)), self.dtype), size)
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
