@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrays, column, id_remainder, remembers
+from .keys import WIDTH, KeyTable, groups, grown, keys_of
 
 STRIP = b".,;:!?\"'()[]{}|*&%$#<>"
 STOPS = (b".", b"!", b"?")
@@ -124,50 +125,119 @@ def clean(word: bytes) -> list[str]:
     return [f[i:i + LONGEST] for f in forms for i in range(0, max(1, len(f) - half), half)]
 
 
+# Bytes in lower case: white space, what is stripped from a word, and what may follow the stop that ends a sentence.
+WHITE, MARKS, AFTER, ENDS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8))
+                             for x in (b" \t\n\r\x0b\x0c", STRIP, b"\"')]*&%$#|", b"".join(STOPS)))
+
+
 class Describer:
-    """Best matches of each sentence with each landmark, as bytes (255: equal); a worker remembers words from task to task."""
+    """Best matches of each sentence with each landmark, as bytes (255: equal); a worker remembers words from task to task.
+
+    Words that differ by case and marks around them only share a row. Words are cut and looked up by NumPy, many at a time. When
+    ``LIMIT`` words are there, those that were met again since the last time stay."""
 
-    LIMIT = 200_000
+    LIMIT = 250_000
+    GROUP = 1_000_000  # bytes of texts that are described at a time
 
     def __init__(self, kernel: Kernel) -> None:
         self.kernel = kernel
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.rows = np.zeros((0, len(self.kernel.landmarks)), np.uint8)
-        self.stop = np.zeros(0, bool)
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > self.LIMIT and self.known:
-            self._reset()
-            new = list(words)
-        parts = [clean(w) for w in new]
+        self._begin(np.zeros((0, 3), np.uint64), np.zeros((0, len(kernel.landmarks)), np.uint8))
+
+    def _begin(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        self.table, self.rows, self.longer = KeyTable(), rows, {}
+        self.table.add(keys)
+
+    def _turn(self) -> None:
+        """Called between texts, never while numbers of rows are in use."""
+        if self.table.n > self.LIMIT:
+            stay = self.table.met_again()
+            stay = stay[:0] if len(stay) > self.LIMIT // 2 else stay
+            self._begin(self.table.keys[stay], self.rows[stay])
+
+    def _learn(self, words: list[bytes], keys: np.ndarray) -> np.ndarray:
+        """The rows of different words, stripped and in lower case, that have none."""
+        parts = [[w.decode()] if len(w) <= LONGEST and w.isalpha() else clean(w) for w in words]
         flat = [x for p in parts for x in p]
         values = np.concatenate([np.rint(np.minimum(self.kernel(flat[s:s + 20_000]), 1) * 255).astype(np.uint8)
                                  for s in range(0, len(flat), 20_000)])
-        first = np.cumsum([0, *map(len, parts[:-1])])
-        at = len(self.rows)
-        self.rows = np.concatenate((self.rows, np.maximum.reduceat(values, first, axis=0)))
-        self.stop = np.concatenate((self.stop, [w.rstrip(b"\"')]*&%$#|").endswith(STOPS) for w in new]))
-        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+        new = self.table.add(keys)
+        self.rows = grown(self.rows, self.table.n)
+        self.rows[new] = highest(values, np.arange(len(flat)), np.cumsum([0, *map(len, parts[:-1])]))
+        return new
+
+    def _rows_of(self, data: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The row of each word of ``data``, new ones made."""
+        keys = keys_of(data, start, length, length + 1)
+        out = self.table.find(keys)
+        lost = np.flatnonzero((out < 0) & (length <= WIDTH))
+        if len(lost):
+            order, fresh = groups(keys[lost])
+            order = lost[order]
+            one = order[fresh]
+            words = [data[a:a + n] for a, n in zip(start[one].tolist(), length[one].tolist(), strict=True)]
+            out[order] = self._learn(words, keys[one])[np.cumsum(fresh) - 1]
+        far = np.flatnonzero(length > WIDTH)
+        if len(far):
+            names = [data[a:a + n] for a, n in zip(start[far].tolist(), length[far].tolist(), strict=True)]
+            new = list({w for w in names if w not in self.longer})
+            if new:
+                made = self._learn(new, np.zeros((len(new), 3), np.uint64))
+                self.longer.update(zip(new, made.tolist(), strict=True))
+            out[far] = [self.longer[w] for w in names]
+        return out
 
     def texts(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """For each text, a matrix of sentences by landmarks; without words it has no row."""
-        for s in range(0, len(texts), 200):
-            cut = [(t or b"").split() for t in texts[s:s + 200]]
-            self.learn({w for c in cut for w in c})
-            get = self.known.__getitem__
-            for c in cut:
-                if not c:
-                    yield self.rows[:0]
-                    continue
-                at = np.fromiter(map(get, c), np.int64, len(c))
-                start = np.concatenate(([0], np.flatnonzero(self.stop[at[:-1]]) + 1))
-                yield np.maximum.reduceat(self.rows[at], start, axis=0)
+        some, size = [], 0
+        for t in texts:
+            some.append(t or b"")
+            size += len(some[-1])
+            if size > self.GROUP:
+                yield from self._sentences(some)
+                some, size = [], 0
+        if some:
+            yield from self._sentences(some)
+
+    def _sentences(self, texts: list[bytes]) -> list[np.ndarray]:
+        self._turn()
+        data = b"\n".join([b"", *texts, b""]).lower()
+        buffer = np.frombuffer(data, np.uint8)
+        white = WHITE[buffer]
+        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+        start, end = edge[0::2], edge[1::2]
+        first = np.zeros(len(start) + 1, bool)  # words that begin a sentence
+        first[np.searchsorted(start, np.cumsum([0, *[len(t) + 1 for t in texts]]))] = True
+        low, high = start.copy(), end.copy()
+        marked = np.flatnonzero(MARKS[buffer[end - 1]])
+        if len(marked):
+            last = np.flatnonzero(~AFTER[buffer])
+            first[1:][marked] |= ENDS[buffer[last[np.searchsorted(last, end[marked]) - 1]]]
+        marked = np.flatnonzero(MARKS[buffer[start]] | MARKS[buffer[end - 1]])
+        if len(marked):
+            inner = np.flatnonzero(~(white | MARKS[buffer]))
+            a, b = np.searchsorted(inner, start[marked]), np.searchsorted(inner, end[marked])
+            some = b > a
+            low[marked[some]], high[marked[some]] = inner[a[some]], inner[b[some] - 1] + 1
+            high[marked[~some]] = low[marked[~some]]
+        row = self._rows_of(data, low, high - low)
+        begin = np.flatnonzero(first[:-1])
+        found = highest(self.rows, row, begin)
+        sentence = np.searchsorted(begin, np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts])))
+        return np.split(found, sentence[:-1])
+
+
+def highest(rows: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The maxima of ``rows[at]`` over stretches that begin at ``start``; neighbours are compared by pairs, again and again."""
+    size = np.diff(start, append=len(at))
+    while True:
+        half = (size + 1) // 2
+        begin = np.cumsum(half) - half
+        a = np.repeat(start - 2 * begin, half) + 2 * np.arange(int(half.sum()))
+        b = np.minimum(a + 1, np.repeat(start + size - 1, half))
+        rows = np.maximum(rows[at[a]], rows[at[b]]) if at is not None else np.maximum(rows[a], rows[b])
+        start, size, at = begin, half, None
+        if not len(size) or size.max() == 1:
+            return rows
 
 
 _describers: dict[tuple, Describer] = {}
