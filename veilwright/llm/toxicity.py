@@ -303,15 +303,42 @@ def _describe(landmarks: list[str], p: Toxicity):
     return job
 
 
-def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Squared hinge loss by Newton steps; the last column of ``x`` is constant."""
-    w = np.zeros(x.shape[1])
-    reg = np.full(x.shape[1], ridge)
+BLOCK = 4096  # described sentences that are turned into numbers of eight bytes at a time
+
+
+def _blocks(cells: np.ndarray, at: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows ``at`` of the bytes as doubles with a constant at the end, a few at a time."""
+    for s in range(0, len(at), BLOCK):
+        some = cells[at[s:s + BLOCK]]
+        wide = np.ones((len(some), some.shape[1] + 1))
+        wide[:, :-1] = some
+        yield slice(s, s + len(some)), wide
+
+
+def _margins(cells: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+    out = np.empty(len(at))
+    for place, wide in _blocks(cells, at):
+        out[place] = wide @ w
+    return out
+
+
+def _svm(cells: np.ndarray, at: np.ndarray, y: np.ndarray, c: np.ndarray, turn: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Squared hinge loss by Newton steps over rows ``at``, described by their bytes and a constant times ``turn``; the last
+    column is constant. ``c`` is one number per class. Only sums of products over a class are kept, so the rows stay bytes."""
+    w = np.zeros(turn.shape[1])
+    reg = np.full(len(w), ridge)
     reg[-1] = 1e-6
     for _ in range(30):
-        on = y * (x @ w) < 1
-        xs, cs = x[on], c[on]
-        new = np.linalg.solve((xs * cs[:, None]).T @ xs + np.diag(reg), xs.T @ (cs * y[on]))
+        on = y * _margins(cells, at, turn @ w) < 1
+        gram, pull = np.zeros((len(turn), len(turn))), np.zeros(len(turn))
+        for sign in (-1.0, 1.0):
+            some = on & (y == sign)
+            if some.any():
+                part = sum(wide.T @ wide for _, wide in _blocks(cells, at[some]))
+                cost = c[some][0]
+                gram += cost * part
+                pull += sign * cost * part[-1]
+        new = np.linalg.solve(turn.T @ gram @ turn + np.diag(reg), turn.T @ pull)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -371,7 +398,7 @@ def set_apart(words: list[str], p: Toxicity) -> list[str]:
 
 
 def learn(landmarks: list[str], rows: list[tuple[int, np.ndarray]], p: Toxicity) -> Model | None:
-    """The machine from described training documents."""
+    """The machine from described training documents. Their sentences stay bytes: the driver never holds them all as numbers."""
     rows = [r for r in rows if len(r[1])]
     toxic = np.array([t for t, _ in rows])
     if not len(rows) or toxic.min() == toxic.max():
@@ -380,12 +407,13 @@ def learn(landmarks: list[str], rows: list[tuple[int, np.ndarray]], p: Toxicity)
     values, vectors = np.linalg.eigh(gram)
     white = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
     counts = [len(m) for _, m in rows]
-    x = np.concatenate([m for _, m in rows]).astype(np.float64) / 255 @ white
-    x = np.hstack((x, np.ones((len(x), 1))))
+    cells = np.concatenate([m for _, m in rows])
+    turn = np.eye(len(landmarks) + 1)
+    turn[:-1, :-1] = white / 255
     owner = np.repeat(np.arange(len(rows)), counts)
+    every = np.arange(len(cells))
     label = toxic[owner]
-    strongest = np.concatenate([m.max(axis=1) for _, m in rows]).astype(np.float64)
-    margin = strongest
+    margin = cells.max(axis=1).astype(np.float64)
     for _ in range(p.rounds):
         # A toxic document lends its label to its three most suspicious sentences.
         order = np.lexsort((-margin, owner))
@@ -394,8 +422,8 @@ def learn(landmarks: list[str], rows: list[tuple[int, np.ndarray]], p: Toxicity)
         use = (label == 0) | (place < 3)
         y = np.where(label[use] == 1, 1.0, -1.0)
         c = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * 100
-        w = _svm(x[use], y, c)
-        margin = x @ w
+        w = _svm(cells, np.flatnonzero(use), y, c, turn)
+        margin = _margins(cells, every, turn @ w)
     docs = np.array([_top(m) for m in np.split(margin, np.cumsum(counts)[:-1])])
     curve = _logistic(docs, toxic.astype(np.float64))
     return Model(landmarks, p.decay, white @ w[:-1], float(w[-1]), curve)
