@@ -246,3 +246,53 @@ def test_machine_of_many_or_no_classes(spark):
     one = fit_kernel_machine(df.where("label = 'c1'"), 0.5)
     assert {r["prediction"] for r in one.predict(df).collect()} == {"c1"}
     assert {r["prediction"] for r in fit_kernel_machine(df.where("false"), 0.5).predict(df).collect()} == {None}
+
+
+def test_the_forest_keeps_node_ids_and_its_predictions(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    draw = np.random.default_rng(2)
+    rows = [(i, f"c{draw.integers(0, 3)}", [float(draw.integers(0, 9)), float(draw.normal())]) for i in range(200)]
+    df = spark.createDataFrame(rows, "key long, label string, x array<double>")
+    plain, seen = RandomForestClassifier.fit, []
+
+    def without(self, *args):
+        seen.append(self.getCacheNodeIds())
+        return plain(self.setCacheNodeIds(False), *args)
+
+    kept = fit_model("Random Forest", df, trees=8)(df).orderBy("key").collect()
+    monkeypatch.setattr(RandomForestClassifier, "fit", without)
+    assert fit_model("Random Forest", df, trees=8)(df).orderBy("key").collect() == kept
+    assert seen == [True]
+
+
+@pytest.mark.parametrize(("rows", "warm"), [(2, False), (90, False), (400, False), (400, True)])
+def test_dual_steps_are_those_of_the_plain_rule(rows, warm):
+    draw = np.random.default_rng(rows)
+    x = draw.integers(0, 12, (rows, 2)).astype(float)
+    y = np.where(x[:, 0] + draw.normal(0, 6, rows) > 6, 1.0, -1.0)
+    y[:2] = 1.0, -1.0
+    k, cost = rbf(x, x, 0.05), 1.0
+    start = np.zeros(rows)
+    if warm:
+        a, b = np.flatnonzero(y > 0)[:20], np.flatnonzero(y < 0)[:20]
+        start[a], start[b] = 0.5, 0.5
+    alpha = start.copy()
+    gradient = y * (k @ (alpha * y)) - 1.0
+    steps = 0
+    while True:
+        push = -y * gradient
+        up, down = np.where(y > 0, alpha < cost, alpha > 0), np.where(y > 0, alpha > 0, alpha < cost)
+        i = int(np.argmax(np.where(up, push, -np.inf)))
+        if push[i] - push[down].min() < 1e-3:
+            break
+        gap, curve = push[i] - push, np.maximum(k[i, i] + np.diag(k) - 2.0 * k[i], 1e-12)
+        j = int(np.argmax(np.where(down & (gap > 0), gap * gap / curve, -np.inf)))
+        move = min(gap[j] / curve[j], cost - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else cost - alpha[j])
+        alpha[i] += y[i] * move
+        alpha[j] -= y[j] * move
+        gradient += y * move * (k[i] - k[j])
+        steps += 1
+    assert steps
+    alpha[alpha < 1e-12], alpha[alpha > cost * (1 - 1e-12)] = 0.0, cost
+    assert np.array_equal(solve_dual(k, y, cost, start)[0], alpha)
