@@ -1,8 +1,12 @@
+from functools import reduce
+
 import numpy as np
 import pytest
+from conftest import SF
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.operators import neighbours
+from veilwright.operators import classifiers, neighbours
 from veilwright.operators.classifiers import ALL_MODELS, KNN, Task, all_predictions, fit_model
 from veilwright.operators.kernel_machine import fit_kernel_machine, rbf, solve_dual
 from veilwright.operators.neighbours import Index, fits_in_memory, knn_predict, nearest, search_effort, squared_distances
@@ -296,3 +300,29 @@ def test_dual_steps_are_those_of_the_plain_rule(rows, warm):
     assert steps
     alpha[alpha < 1e-12], alpha[alpha > cost * (1 - 1e-12)] = 0.0, cost
     assert np.array_equal(solve_dual(k, y, cost, start)[0], alpha)
+
+
+def test_cross_validation_of_a_large_table(spark, setting, monkeypatch):
+    """Beyond the size that is broadcast every fold is scored, with the same predictions, keys that repeat or are missing included."""
+    from veilwright.catalogue import jobs
+
+    rng = np.random.default_rng(11)
+    points = np.concatenate([rng.normal(0, 1, (300, 2)), np.ones((60, 2))])
+    keys = [None if i % 50 == 0 else (1 << 60) + i // 14 if i % 7 == 0 else (1 << 61) + i for i in range(len(points))]
+    # Equal distances are many, but not among rows with equal keys.
+    points = [p if i % 50 == 0 or i % 7 == 0 else np.round(p, 1) for i, p in enumerate(points)]
+    rows = spark.createDataFrame([(k, "abc"[int(p[0] * 10) % 3], [*map(float, p)]) for k, p in zip(keys, points, strict=True)],
+                                 "key long, label string, x array<double>")
+
+    def predictions():
+        parts = classifiers.cross_validated(rows, "Original", KNN)
+        return sorted(map(tuple, reduce(DataFrame.unionByName, parts).collect()))
+
+    def accuracies():
+        return sorted(map(tuple, jobs()["g7_cross_validated_accuracy"](spark, SF).collect()))
+
+    small = predictions(), accuracies()
+    monkeypatch.setattr(neighbours, "SMALL_BYTES", 0)
+    large = predictions(), accuracies()
+    assert {r[2] for r in large[0]} == set(range(5)) and len(large[1]) == 5
+    assert large == small
