@@ -322,7 +322,10 @@ def test_cross_validation_of_a_large_table(spark, setting, monkeypatch):
         return sorted(map(tuple, jobs()["g7_cross_validated_accuracy"](spark, SF).collect()))
 
     small = predictions(), accuracies()
+    built, plain = [], neighbours._build
+    monkeypatch.setattr(neighbours, "_build", lambda *args: built.append(args) or plain(*args))
     monkeypatch.setattr(neighbours, "SMALL_BYTES", 0)
     large = predictions(), accuracies()
+    assert len(built) == 2  # one tree for all folds
     assert {r[2] for r in large[0]} == set(range(5)) and len(large[1]) == 5
     assert large == small
